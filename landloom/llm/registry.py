@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import packing
+from . import packing, secrets, simhash
 
 QUERIES = {
+    "op10_simhash_near_dedup": simhash.query,
+    "op9_secret_scans": secrets.query,
     "op3_best_fit_packing": packing.query,
 }
 ORACLE_SQL: dict[str, str] = {}
