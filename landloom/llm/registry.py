@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import packing, secrets, simhash
+from . import hmm, packing, secrets, sharding, simhash
 
 QUERIES = {
     "op10_simhash_near_dedup": simhash.query,
+    "op6_lm_scoring": hmm.query,
+    "op7_sharding": sharding.query,
     "op9_secret_scans": secrets.query,
     "op3_best_fit_packing": packing.query,
 }
