@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import hmm, packing, secrets, sharding, simhash
+from . import hmm, packing, secrets, sharding, simhash, toxicity
 
 QUERIES = {
     "op10_simhash_near_dedup": simhash.query,
+    "op1_toxicity": toxicity.query,
     "op6_lm_scoring": hmm.query,
     "op7_sharding": sharding.query,
     "op9_secret_scans": secrets.query,
