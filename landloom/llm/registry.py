@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import hmm, packing, secrets, sharding, simhash, toxicity
+from . import collision, hmm, nndescent, packing, secrets, sharding, simhash, toxicity
 
 QUERIES = {
     "op10_simhash_near_dedup": simhash.query,
     "op1_toxicity": toxicity.query,
+    "op4_embedding_near_dedup": nndescent.query,
+    "op5_nearest_neighbours": collision.query,
     "op6_lm_scoring": hmm.query,
     "op7_sharding": sharding.query,
     "op9_secret_scans": secrets.query,
