@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import collision, hmm, nndescent, packing, secrets, sharding, simhash, toxicity
+from . import collision, hmm, mixing, nndescent, packing, secrets, sharding, simhash, toxicity, urls
 
 QUERIES = {
     "op10_simhash_near_dedup": simhash.query,
@@ -11,7 +11,11 @@ QUERIES = {
     "op5_nearest_neighbours": collision.query,
     "op6_lm_scoring": hmm.query,
     "op7_sharding": sharding.query,
+    "op8_mixing": mixing.query,
     "op9_secret_scans": secrets.query,
+    "op2_url_filters": urls.query,
     "op3_best_fit_packing": packing.query,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op8_mixing": mixing.sql(),
+}
