@@ -13,10 +13,13 @@ table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import sys
 import unicodedata
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections import defaultdict
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +31,7 @@ from ._common import materialise, partition_id, table
 
 CAPACITY, END_ID = 4096, 1
 #: Distinct words whose ids a Python worker remembers; beyond it the memory starts anew.
-CACHE = 300_000
+CACHE = 500_000
 CHUNK_ROWS = 200_000
 
 # ---------------------------------------------------------------- tokens
@@ -47,6 +50,13 @@ def _byte_letters() -> dict[int, str]:
     return out
 
 
+def _packed(ids: Iterable[int]) -> bytes:
+    words = array("I", ids)
+    if sys.byteorder != "little":
+        words.byteswap()
+    return words.tobytes()
+
+
 class WordIds(dict):
     """White-space separated piece of text -> its ids as little-endian 32-bit words; learns what it misses.
 
@@ -60,22 +70,30 @@ class WordIds(dict):
         self.model, self.letters = self.tokenizer.model, str.maketrans(_byte_letters())
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def part(self, part: str) -> bytes:
         got = self.parts.get(part)
         if got is None:
             if len(self.parts) >= CACHE:
                 self.parts.clear()
-            spelled = part.encode().decode("latin-1").translate(self.letters)
-            got = self.parts[part] = np.array([t.id for t in self.model.tokenize(spelled)], "<u4").tobytes()
+            spelled = part if part.isascii() else part.encode().decode("latin-1").translate(self.letters)
+            got = self.parts[part] = _packed(t.id for t in self.model.tokenize(spelled))
         return got
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= CACHE:
             self.clear()
-        if _PLAIN.fullmatch(word) and unicodedata.is_normalized("NFC", word):
-            ids = b"".join(map(self.part, _PRETOKEN.findall(word.lower())))
+        low = word.lower()
+        if word.isascii() and word.isprintable():  # letters with a stop or comma are most of what is missed
+            if word.isalpha():
+                ids = self.part(low)
+            elif word[-1] in ",." and word[:-1].isalpha():
+                ids = self.part(low[:-1]) + self.part(low[-1])
+            else:
+                ids = b"".join(map(self.part, _PRETOKEN.findall(low)))
+        elif _PLAIN.fullmatch(word) and unicodedata.is_normalized("NFC", word):
+            ids = b"".join(map(self.part, _PRETOKEN.findall(low)))
         else:
             ids = self.whole(word)
         self[word] = ids
