@@ -117,6 +117,76 @@ def near_duplicates(docs: DataFrame, words: int = 3, seed: int = SEED, bucket: i
     return own.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+# ---------------------------------------------------------------- near-duplicates by a similarity of shingle sets
+
+#: Partial fingerprints of a text, shingles in each, and members of a bucket that are all paired.
+SKETCHES, TAKE, PAIRED = 14, 4, 24
+_STIR = np.array([(0x9E3779B97F4A7C15 * (2 * j + 3) & ((1 << 64) - 1)) | 1 for j in range(SKETCHES)], np.uint64)
+
+
+def partial_fingerprints(hashes: np.ndarray) -> list[int]:
+    """``SKETCHES`` fingerprints, each of the ``TAKE`` shingles that come first in an order of its own.
+
+    Texts whose shingle sets have similarity s share each one with a chance of about s ** TAKE."""
+    own = np.unique(hashes)
+    if not len(own):
+        return []
+    out = []
+    for j, stir in enumerate(_STIR):
+        order = own * stir
+        order ^= order >> np.uint64(29)
+        first = own[np.argpartition(order, TAKE)[:TAKE]] if len(own) > TAKE else own
+        out.append(majority(first))
+    return out
+
+
+def _similar(left: str | None, right: str | None, words: int, similarity: float) -> bool:
+    a, b = (set(shingle_hashes(t, words).tolist()) for t in (left, right))
+    return bool(a and b) and len(a & b) >= similarity * len(a | b)
+
+
+def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of ``docs`` without near-duplicates: of each group the row with the smallest doc_id (nulls last) stays.
+
+    Groups are what links of equal texts, and of texts whose sets of ``words``-word shingles have a Jaccard similarity of
+    at least ``similarity``, connect.  Candidates share a partial SimHash fingerprint; every candidate pair is verified on
+    the whole texts.  A bucket of more than ``PAIRED`` different texts is paired with its smallest member, whose group the
+    others then join; those that fail there meet in their other buckets.  Empty and null texts are equal."""
+    rows = materialise(docs.withColumn("dedup row", F.monotonically_increasing_id()))
+    row, text = F.col("dedup row").alias("row"), F.coalesce("text", F.lit(""))
+    hashed = materialise(rows.select(row, F.col("doc_id").cast("long").alias("doc_id"), F.sha2(text, 256).alias("h")))
+    same = hashed.groupBy("h").agg(F.min("row").alias("node"))
+    nodes = materialise(hashed.join(same, "h").select("row", "doc_id", "node"))
+    first = nodes.where("row = node").select("row")
+
+    def sketch(batches):
+        for batch in batches:
+            own = [partial_fingerprints(shingle_hashes(t.as_py(), words)) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.list_(pa.int64()))], names=["row", "sketches"])
+
+    sketched = rows.select(row, "text").mapInArrow(sketch, "row long, sketches array<long>").join(first, "row")
+    entered = materialise(sketched.select("row", F.posexplode("sketches").alias("j", "fp")))
+    buckets = entered.groupBy("j", "fp").agg(F.count("*").alias("n"), F.min("row").alias("least")).where("n > 1")
+    shared = materialise(entered.join(buckets, ["j", "fp"]))
+    small = shared.where(F.col("n") <= PAIRED).select("j", "fp", "row")
+    paired = small.withColumnRenamed("row", "a").join(small.withColumnRenamed("row", "b"), ["j", "fp"]).where("a < b").select("a", "b")
+    starred = shared.where(F.col("n") > PAIRED).where("row <> least").select(F.col("least").alias("a"), F.col("row").alias("b"))
+    pairs = paired.unionByName(starred).distinct()
+    texts = rows.select(row, "text").join(entered.where("j = 0").select("row"), "row")
+    told = pairs.join(texts.select(F.col("row").alias("a"), F.col("text").alias("left")), "a").join(texts.select(F.col("row").alias("b"), F.col("text").alias("right")), "b")
+
+    def verify(batches):
+        for batch in batches:
+            fine = [_similar(x.as_py(), y.as_py(), words, similarity) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(fine, pa.bool_()))
+
+    near = materialise(told.select("a", "b", "left", "right").mapInArrow(verify, "a long, b long"))
+    grouped = nodes.join(components(near).withColumnRenamed("id", "node"), "node", "left").select("row", "doc_id", F.coalesce("component", "node").alias("group"))
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
+    stay = grouped.groupBy("group").agg(best.alias("best")).select(F.col("best.row").alias("dedup row"))
+    return rows.join(stay, "dedup row", "left_semi").drop("dedup row")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
