@@ -1 +1 @@
-
+"""Scalar expressions of the library."""
