@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from ._common import materialise, table
 from .vectors import matrix, usable
 
-HASHES, WIDTH, SHARE, GROWTH = 96, 2.7, 0.77, 1.1
-NEAREST, INDEX_BLOCK, QUERY_BLOCK = 10, 8192, 2048
+HASHES, WIDTH, SHARE, GROWTH = 96, 2.0, 0.62, 1.1
+NEAREST, INDEX_BLOCK, QUERY_BLOCK, TOGETHER = 10, 32_768, 2048, 64
 
 
 def search(x: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, nearest: int, seed: int = 42):
@@ -34,36 +34,37 @@ def search(x: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.nd
     projected = x @ lines
     order = np.argsort(projected, axis=0, kind="stable")
     ranked = np.ascontiguousarray(np.take_along_axis(projected, order, 0).T)
-    order = np.ascontiguousarray(order.T.astype(np.int32))
-    enough = int(np.ceil(SHARE * HASHES))
-    scale = np.sqrt((x * x).sum(1).mean()) or 1.0
-    for q, qid, at in zip(queries, query_ids, queries @ lines, strict=True):
-        counts, distance = np.zeros(len(x), np.int16), np.full(len(x), np.inf)
-        looked = np.zeros(len(x), bool)
-        looked[ids == qid] = True
-        wanted = min(nearest, int((~looked).sum()))
-        lo = np.array([np.searchsorted(r, v) for r, v in zip(ranked, at, strict=True)])
-        hi, radius = lo.copy(), scale / 16
-        while wanted:
-            half = WIDTH * radius / 2
-            for j in range(HASHES):
-                a, b = np.searchsorted(ranked[j], (at[j] - half, at[j] + half))
-                if a < lo[j]:
-                    counts[order[j, a : lo[j]]] += 1
-                    lo[j] = a
-                if b > hi[j]:
-                    counts[order[j, hi[j] : b]] += 1
-                    hi[j] = b
-            new = np.flatnonzero((counts >= enough) & ~looked)
-            if len(new):
-                looked[new] = True
-                distance[new] = np.sqrt(((x[new] - q) ** 2).sum(1))
-            if (distance <= radius).sum() >= wanted or (lo == 0).all() and (hi == len(x)).all():
-                break
-            # nothing can be within a radius that the windows have not left: jump while they are almost empty
-            radius *= GROWTH if counts.max(initial=0) >= enough // 2 else 2.0
-        near = np.lexsort((ids, distance))[:wanted]
-        yield qid, ids[near], distance[near]
+    order = np.ascontiguousarray(order.T.astype(np.intp))
+    enough, scale = int(np.ceil(SHARE * HASHES)), np.sqrt((x * x).sum(1).mean()) or 1.0
+    # radii of virtual rehashing: doubled while windows are narrow, then widened gently, at last without bound
+    radii = scale * np.concatenate([2.0 ** np.arange(-6, -1), 0.5 * GROWTH ** np.arange(int(np.log(8) / np.log(GROWTH)) + 1), [np.inf]])
+    halves = np.concatenate([-radii[::-1], radii]) * WIDTH / 2
+    n, levels = len(x), len(radii)
+    for begin in range(0, len(queries), TOGETHER):
+        part = slice(begin, begin + TOGETHER)
+        at = queries[part] @ lines
+        # where every window of every query begins and ends in every sorted array
+        ends = np.stack([np.searchsorted(ranked[j], (at[:, j, None] + halves[None, :]).ravel()).reshape(len(at), -1) for j in range(HASHES)], 1)
+        for q, qid, own in zip(queries[part], query_ids[part], ends, strict=True):
+            counts, distance, looked = np.zeros(n, np.int64), np.full(n, np.inf), ids == qid
+            wanted = min(nearest, n - int(looked.sum()))
+            lo = hi = own[:, levels]  # an empty window
+            for level in range(levels if wanted else 0):
+                a, b = own[:, levels - 1 - level], own[:, levels + level]
+                if level == 0:
+                    lo = hi = a
+                added = [order[j, a[j] : lo[j]] for j in np.flatnonzero(a < lo)] + [order[j, hi[j] : b[j]] for j in np.flatnonzero(b > hi)]
+                lo, hi = a, b
+                if added:
+                    counts += np.bincount(np.concatenate(added), minlength=n)
+                new = np.flatnonzero((counts >= enough) & ~looked)
+                if len(new):
+                    looked[new] = True
+                    distance[new] = np.sqrt(((x[new] - q) ** 2).sum(1))
+                if (distance <= radii[level]).sum() >= wanted:
+                    break
+            near = np.lexsort((ids, distance))[:wanted]
+            yield qid, ids[near], distance[near]
 
 
 def _search(index: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
