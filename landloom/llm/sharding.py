@@ -57,11 +57,14 @@ def differencing(sizes: Sequence[int], ways: int) -> list[int]:
     return out
 
 
-def _bundle(part: pd.DataFrame) -> pd.DataFrame:
-    """Difference one block into bundles, named by the block."""
-    part = part.sort_values(["bytes", "item"], ascending=[False, True], kind="stable")
-    subset = differencing(part["bytes"].tolist(), BUNDLES)
-    return pd.DataFrame({"item": part["item"], "bytes": part["bytes"], "bundle": [f"{b}.{k}" for b, k in zip(part["block"], subset, strict=True)]})
+def _bundler(bundles: int):
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        """Difference one block into bundles, named by the block."""
+        part = part.sort_values(["bytes", "item"], ascending=[False, True], kind="stable")
+        subset = differencing(part["bytes"].tolist(), bundles)
+        return pd.DataFrame({"item": part["item"], "bytes": part["bytes"], "bundle": [f"{b}.{k}" for b, k in zip(part["block"], subset, strict=True)]})
+
+    return run
 
 
 def assign(items: DataFrame, shards: int = SHARDS, large: DataFrame | None = None) -> DataFrame:
@@ -69,9 +72,9 @@ def assign(items: DataFrame, shards: int = SHARDS, large: DataFrame | None = Non
     spark = items.sparkSession
     levels: list[DataFrame] = []
     while (n := items.count()) > TOP:
-        blocks = max(-(-n // BLOCK), TOP // (4 * BUNDLES) if not levels and n > BLOCK * TOP // (4 * BUNDLES) else 1)
+        blocks = max(-(-n // BLOCK), TOP // (2 * BUNDLES))  # many small bundles for the last round
         dealt = items.withColumn("block", F.concat(F.lit(f"{len(levels)}."), F.pmod(F.xxhash64("item"), F.lit(blocks)).cast("string")))
-        made = materialise(dealt.groupBy("block").applyInPandas(_bundle, "item string, bytes long, bundle string"))
+        made = materialise(dealt.groupBy("block").applyInPandas(_bundler(BUNDLES), "item string, bytes long, bundle string"))
         levels.append(made.select("item", "bundle"))
         items = made.groupBy("bundle").agg(F.sum("bytes").alias("bytes")).withColumnRenamed("bundle", "item")
     last = [(r.item, r.bytes) for r in (items if large is None else items.unionByName(large)).collect()]  # TOP + 2 * LARGE at most
