@@ -21,7 +21,7 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._common import materialise, table
@@ -119,8 +119,8 @@ def near_duplicates(docs: DataFrame, words: int = 3, seed: int = SEED, bucket: i
 
 # ---------------------------------------------------------------- near-duplicates by a similarity of shingle sets
 
-#: Partial fingerprints of a text, shingles in each, and members of a bucket that are all paired.
-SKETCHES, TAKE, PAIRED = 14, 4, 24
+#: Partial fingerprints of a text, shingles in each, members of a bucket that are all paired, heads of a larger one, rounds.
+SKETCHES, TAKE, PAIRED, HEADS, ROUNDS = 14, 4, 24, 4, 6
 _STIR = np.array([(0x9E3779B97F4A7C15 * (2 * j + 3) & ((1 << 64) - 1)) | 1 for j in range(SKETCHES)], np.uint64)
 
 
@@ -150,8 +150,9 @@ def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
 
     Groups are what links of equal texts, and of texts whose sets of ``words``-word shingles have a Jaccard similarity of
     at least ``similarity``, connect.  Candidates share a partial SimHash fingerprint; every candidate pair is verified on
-    the whole texts.  A bucket of more than ``PAIRED`` different texts is paired with its smallest member, whose group the
-    others then join; those that fail there meet in their other buckets.  Empty and null texts are equal."""
+    the whole texts.  In a bucket of more than ``PAIRED`` different texts everyone is compared with its ``HEADS`` most
+    central members; then one text of each group that has formed meets again, until all buckets are small or ``ROUNDS``
+    have passed.  Empty and null texts are equal."""
     rows = materialise(docs.withColumn("dedup row", F.monotonically_increasing_id()))
     row, text = F.col("dedup row").alias("row"), F.coalesce("text", F.lit(""))
     hashed = materialise(rows.select(row, F.col("doc_id").cast("long").alias("doc_id"), F.sha2(text, 256).alias("h")))
@@ -166,22 +167,39 @@ def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
 
     sketched = rows.select(row, "text").mapInArrow(sketch, "row long, sketches array<long>").join(first, "row")
     entered = materialise(sketched.select("row", F.posexplode("sketches").alias("j", "fp")))
-    buckets = entered.groupBy("j", "fp").agg(F.count("*").alias("n"), F.min("row").alias("least")).where("n > 1")
-    shared = materialise(entered.join(buckets, ["j", "fp"]))
-    small = shared.where(F.col("n") <= PAIRED).select("j", "fp", "row")
-    paired = small.withColumnRenamed("row", "a").join(small.withColumnRenamed("row", "b"), ["j", "fp"]).where("a < b").select("a", "b")
-    starred = shared.where(F.col("n") > PAIRED).where("row <> least").select(F.col("least").alias("a"), F.col("row").alias("b"))
-    pairs = paired.unionByName(starred).distinct()
     texts = rows.select(row, "text").join(entered.where("j = 0").select("row"), "row")
-    told = pairs.join(texts.select(F.col("row").alias("a"), F.col("text").alias("left")), "a").join(texts.select(F.col("row").alias("b"), F.col("text").alias("right")), "b")
 
     def verify(batches):
         for batch in batches:
             fine = [_similar(x.as_py(), y.as_py(), words, similarity) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(fine, pa.bool_()))
 
-    near = materialise(told.select("a", "b", "left", "right").mapInArrow(verify, "a long, b long"))
-    grouped = nodes.join(components(near).withColumnRenamed("id", "node"), "node", "left").select("row", "doc_id", F.coalesce("component", "node").alias("group"))
+    near = told = None
+    for _ in range(ROUNDS):
+        buckets = entered.groupBy("j", "fp").agg(F.count("*").alias("n")).where("n > 1")
+        shared = materialise(entered.join(buckets, ["j", "fp"]))
+        small = shared.where(F.col("n") <= PAIRED).select("j", "fp", "row")
+        pairs = small.withColumnRenamed("row", "a").join(small.withColumnRenamed("row", "b"), ["j", "fp"]).where("a < b").select("a", "b")
+        large = shared.where(F.col("n") > PAIRED)
+        # whoever shares most of its fingerprints with others stands in the middle of them
+        middle = shared.groupBy("row").agg(F.sum("n").alias("met"))
+        ranked = large.join(middle, "row").withColumn("place", F.row_number().over(Window.partitionBy("j", "fp").orderBy(F.desc("met"), "row")))
+        heads = ranked.where(F.col("place") <= HEADS).select("j", "fp", F.col("row").alias("head"))
+        starred = large.join(heads, ["j", "fp"]).where("row <> head").select(F.least("row", "head").alias("a"), F.greatest("row", "head").alias("b"))
+        asked = pairs.unionByName(starred).distinct()
+        asked = materialise(asked if told is None else asked.join(told, ["a", "b"], "left_anti"))
+        with_texts = asked.join(texts.select(F.col("row").alias("a"), F.col("text").alias("left")), "a").join(texts.select(F.col("row").alias("b"), F.col("text").alias("right")), "b")
+        found = materialise(with_texts.select("a", "b", "left", "right").mapInArrow(verify, "a long, b long"))
+        told = asked if told is None else told.unionByName(asked)
+        near = found if near is None else near.unionByName(found)
+        joined = materialise(components(near))
+        if large.isEmpty():
+            break
+        # crowded buckets meet again with one text, the most central, of each group that has formed
+        best = joined.withColumnRenamed("id", "row").join(middle, "row", "left").groupBy("component").agg(F.max(F.struct(F.coalesce("met", F.lit(0)).alias("met"), "row")).alias("b"))
+        passed = joined.select(F.col("id").alias("row")).join(best.select(F.col("b.row").alias("row")), "row", "left_anti")
+        entered = materialise(large.select("row", "j", "fp").join(passed, "row", "left_anti"))
+    grouped = nodes.join(joined.withColumnRenamed("id", "node"), "node", "left").select("row", "doc_id", F.coalesce("component", "node").alias("group"))
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
     stay = grouped.groupBy("group").agg(best.alias("best")).select(F.col("best.row").alias("dedup row"))
     return rows.join(stay, "dedup row", "left_semi").drop("dedup row")
