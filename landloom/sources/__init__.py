@@ -1 +1 @@
-
+"""Readers."""
