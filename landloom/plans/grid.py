@@ -10,12 +10,13 @@ from ..operators import focal, transitions
 from .base import CELLS, EXTENT, GRID, PAIRS, G, cells, extents, grid, pairs, read
 from .registry import query
 
-N = F.count("*").alias("n")
+def _n():
+    return F.count("*").alias("n")
 
 
 @query(f"WITH {CELLS} SELECT year, CAST(CASE lu WHEN 1 THEN 6 WHEN 2 THEN 6 WHEN 5 THEN 1 WHEN 6 THEN 2 ELSE 0 END AS INT) AS lu, count(*) AS n, round(CAST(count(*) AS DOUBLE) * 100 / sum(count(*)) OVER (PARTITION BY year), 6) AS percent FROM cells GROUP BY 1, 2")
 def cells_remap_histogram(spark, sf):
-    counted = cells(spark, sf).groupBy("year", C.lookup(F.col("lu"), C.RAW_TO_CLASS).alias("lu")).agg(N)
+    counted = cells(spark, sf).groupBy("year", C.lookup(F.col("lu"), C.RAW_TO_CLASS).alias("lu")).agg(_n())
     return counted.withColumn("percent", F.round(F.col("n").cast("double") * 100 / F.sum("n").over(Window.partitionBy("year")), 6))
 
 
@@ -130,7 +131,7 @@ def transition_topk(spark, sf):
 @query(f"WITH {PAIRS} SELECT y1, lu1 AS from_class, lu2 AS to_class, count(*) AS n FROM pairs WHERE {_SAMPLED} AND lu1 <> lu2 GROUP BY GROUPING SETS ((y1, lu1, lu2), (lu1, lu2))")
 def transition_grouping_sets(spark, sf):
     kept = pairs(spark, sf).where(transitions.sampled() & transitions.updated()).select("y1", F.col("lu1").alias("from_class"), F.col("lu2").alias("to_class"))
-    return kept.groupingSets([["y1", "from_class", "to_class"], ["from_class", "to_class"]], "y1", "from_class", "to_class").agg(N)
+    return kept.groupingSets([["y1", "from_class", "to_class"], ["from_class", "to_class"]], "y1", "from_class", "to_class").agg(_n())
 
 
 _EXP = f"{_PAIRS_TAIL}, ex AS (SELECT p.y1, p.r, p.c, p.lu2 FROM pairs p JOIN extent b ON b.year = p.y1 + 1 AND b.r = p.r AND b.c = p.c ANTI JOIN extent a ON a.year = p.y1 AND a.r = p.r AND a.c = p.c)"
