@@ -117,10 +117,32 @@ def gaussian_diffuse(spark, sf):
     return focal.diffuse(points.withColumn("year", F.lit(0)), "value", 64, 64, 1.5).select("r", "c", F.round("value", 6).alias("value"))
 
 
+#: Cities lie side by side, further apart than any polyline or search radius of one city's board reaches.
+_APART = 1000
+#: More sources than a city has segments: betweenness is not sampled.
+_ALL = 1 << 31
+
+
+def _city_of(spark, sf):
+    """pid, city: the nation of the customer of every order; -1 where there is none."""
+    orders, customer = read(spark, sf, "orders"), read(spark, sf, "customer")
+    home = orders.select(C("o_orderkey").alias("pid"), "o_custkey").join(customer.select(C("c_custkey").alias("o_custkey"), "c_nationkey"), "o_custkey", "left")
+    return home.groupBy("pid").agg(F.coalesce(F.min("c_nationkey"), F.lit(-1)).cast("int").alias("city"))
+
+
+def _city_vertices(spark, sf):
+    """city and the vertices of all orders; no two cities share a node."""
+    own = vertices(spark, sf).join(_city_of(spark, sf), "pid", "left").withColumn("city", F.coalesce("city", F.lit(-1)))
+    return own.select("city", "pid", "k", (C("x") + C("city") * _APART).alias("x"), "y")
+
+
 def _cities(spark, sf):
-    """The segment graph of every hundredth order, as one city a remainder."""
-    nodes, poly_nodes, segs, edges = _graph(spark, sf, every=100)
-    return nodes, poly_nodes, segs.withColumn("city", F.lit(0)), edges.withColumn("city", F.lit(0))
+    """Nodes, ends, segments and edges of all orders' polylines, each city a graph of its own."""
+    own = _city_vertices(spark, sf)
+    nodes, poly_nodes = N.topology(own, 0.3)
+    home = own.select("pid", "city").distinct()
+    segs = N.segments(own).join(home, "pid")
+    return nodes, poly_nodes, segs, N.angular_edges(segs, poly_nodes).join(home.withColumnRenamed("pid", "src"), "src")
 
 
 @query()
@@ -132,7 +154,7 @@ def graph_metrics(spark, sf):
 @query()
 def betweenness(spark, sf):
     _, _, _, edges = _cities(spark, sf)
-    return N.betweenness(edges, 150.0)
+    return N.betweenness(edges, 150.0, sources=_ALL)
 
 
 @query()
@@ -143,15 +165,14 @@ def syntax_wide(spark, sf):
     names = ("nc", "td", "tl", "md", "integration", "nain")
     wide = metrics.groupBy("city", "pid").pivot("radius", list(radii)).agg(*(F.first(n).alias(n) for n in names))
     wide = wide.select("city", "pid", *(C(f"`{r}_{n}`").alias(f"r{int(r)}_{n}") for r in radii for n in names))
-    choice = N.betweenness(edges, radii[1])
+    choice = N.betweenness(edges, radii[1], sources=_ALL)
     return wide.join(choice, ["city", "pid"]).withColumn("r150_nach", N.nach(C("choice"), C("r150_td")))
 
 
 @query()
 def road_closure(spark, sf):
-    own = vertices(spark, sf, every=20)
-    nodes, poly_nodes = N.topology(own, 0.3)
-    segs = N.segments(own)
-    polys = segs.select(F.lit(0).alias("city"), "pid", (C("pid") % 7).cast("int").alias("grade"), (C("pid") % 11).cast("string").alias("name"), "length", (C("pid") % 3 != 0).alias("alive"))
-    edge = (C("x") <= 2) | (C("y") <= 2) | (C("x") >= 61) | (C("y") >= 61)
+    nodes, poly_nodes, segs, _ = _cities(spark, sf)
+    polys = segs.select("city", "pid", (C("pid") % 7).cast("int").alias("grade"), (C("pid") % 11).cast("string").alias("name"), "length", (C("pid") % 3 != 0).alias("alive"))
+    x = F.pmod("x", F.lit(_APART))
+    edge = (x <= 2) | (C("y") <= 2) | (x >= 61) | (C("y") >= 61)
     return N.close_roads(polys, poly_nodes, nodes.withColumn("boundary", edge))
