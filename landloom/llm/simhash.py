@@ -19,6 +19,7 @@ from __future__ import annotations
 from itertools import accumulate
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -121,6 +122,8 @@ def near_duplicates(docs: DataFrame, words: int = 3, seed: int = SEED, bucket: i
 
 #: Partial fingerprints of a text, shingles in each, members of a bucket that are all paired, heads of a larger one, rounds.
 SKETCHES, TAKE, PAIRED, HEADS, ROUNDS = 14, 4, 24, 4, 6
+#: Texts in a block of a larger bucket, shingles that blocks are multiplied over at once.
+BLOCK, WIDTH = 256, 8192
 _STIR = np.array([(0x9E3779B97F4A7C15 * (2 * j + 3) & ((1 << 64) - 1)) | 1 for j in range(SKETCHES)], np.uint64)
 
 
@@ -145,6 +148,63 @@ def _similar(left: str | None, right: str | None, words: int, similarity: float)
     return bool(a and b) and len(a & b) >= similarity * len(a | b)
 
 
+def _shared(own: list[np.ndarray], k: int) -> np.ndarray:
+    """How many shingles each of the first ``k`` sets shares with each of all."""
+    who = np.repeat(np.arange(len(own)), [len(x) for x in own])
+    _, at, often = np.unique(np.concatenate(own), return_inverse=True, return_counts=True)
+    common = (often > 1)[at]
+    who, at = who[common], np.unique(at[common], return_inverse=True)[1]
+    order = np.argsort(at, kind="stable")
+    who, at = who[order], at[order]
+    out = np.zeros((k, len(own)), np.float32)
+    for low in range(0, int(at[-1]) + 1 if len(at) else 0, WIDTH):
+        a, b = np.searchsorted(at, (low, low + WIDTH))
+        has = np.zeros((len(own), WIDTH), np.float32)
+        has[who[a:b], at[a:b] - low] = 1
+        out += has[:k] @ has.T
+    return out.astype(np.int64)
+
+
+def _crowded_links(crowded: DataFrame, joined: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(a, b): links that join all similar texts of a crowded bucket which ``joined`` has not joined.
+
+    Pairs of one group need no comparison, so a bucket's largest group is compared with the rest only, and the rest with
+    itself, each dealt into blocks; a pair of blocks returns what joins its groups, not all of its pairs."""
+    placed = crowded.join(joined.withColumnRenamed("id", "row"), "row", "left").select("j", "fp", "row", F.coalesce("component", "row").alias("group"))
+    sizes = placed.groupBy("j", "fp", "group").agg(F.count("*").alias("n")).groupBy("j", "fp").agg(F.max(F.struct("n", "group")).alias("most"), F.sum("n").alias("n"))
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    split = sizes.where("most.n < n").select("j", "fp", F.col("most.group").alias("main"), blocks(F.col("n") - F.col("most.n")).alias("rest"), blocks(F.col("most.n")).alias("held"))
+    met = placed.join(split, ["j", "fp"])
+    deal = lambda n: F.pmod(F.xxhash64("row"), F.col(n)).cast("int")
+    inside = F.col("group") == F.col("main")
+    dealt = met.withColumn("block", F.when(inside, F.col("rest") + deal("held")).otherwise(deal("rest")))
+    others = F.sequence(F.lit(0), F.when(inside, F.col("rest") - 1).otherwise(F.col("rest") + F.col("held") - 1))
+    pairs = dealt.withColumn("other", F.explode(others)).select("j", "fp", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "row", "group")
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["block", "row"])
+        own = [np.unique(shingle_hashes(t, words)) for t in part["text"]]
+        rows, k = part["row"].to_numpy(), int((part["block"] == part["lo"].iloc[0]).sum())
+        n, group = np.array([len(x) for x in own]), part["group"].to_numpy()
+        both = _shared(own, k)
+        fine = (both >= similarity * (n[:k, None] + n[None, :] - both)) & (both > 0) & (group[:k, None] != group[None, :])
+        root, out = {}, []
+
+        def find(x):
+            while x in root:
+                x = root[x]
+            return x
+
+        for i, j in zip(*np.nonzero(fine), strict=True):
+            a, b = find(group[i]), find(group[j])
+            if a != b:
+                root[max(a, b)] = min(a, b)
+                out.append((rows[i], rows[j]))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return pairs.join(texts, "row").groupBy("j", "fp", "lo", "hi").applyInPandas(run, "a long, b long")
+
+
 def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each group the row with the smallest doc_id (nulls last) stays.
 
@@ -152,7 +212,8 @@ def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
     at least ``similarity``, connect.  Candidates share a partial SimHash fingerprint; every candidate pair is verified on
     the whole texts.  In a bucket of more than ``PAIRED`` different texts everyone is compared with its ``HEADS`` most
     central members; then one text of each group that has formed meets again, until all buckets are small or ``ROUNDS``
-    have passed.  Empty and null texts are equal."""
+    have passed.  What these rounds have not joined in such a bucket is compared completely, in blocks, so every pair of a
+    bucket is either joined or verified.  Empty and null texts are equal."""
     rows = materialise(docs.withColumn("dedup row", F.monotonically_increasing_id()))
     row, text = F.col("dedup row").alias("row"), F.coalesce("text", F.lit(""))
     hashed = materialise(rows.select(row, F.col("doc_id").cast("long").alias("doc_id"), F.sha2(text, 256).alias("h")))
@@ -174,13 +235,14 @@ def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
             fine = [_similar(x.as_py(), y.as_py(), words, similarity) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(fine, pa.bool_()))
 
-    near = told = None
+    near = told = crowded = None
     for _ in range(ROUNDS):
         buckets = entered.groupBy("j", "fp").agg(F.count("*").alias("n")).where("n > 1")
         shared = materialise(entered.join(buckets, ["j", "fp"]))
         small = shared.where(F.col("n") <= PAIRED).select("j", "fp", "row")
         pairs = small.withColumnRenamed("row", "a").join(small.withColumnRenamed("row", "b"), ["j", "fp"]).where("a < b").select("a", "b")
         large = shared.where(F.col("n") > PAIRED)
+        crowded = large if crowded is None else crowded
         # whoever shares most of its fingerprints with others stands in the middle of them
         middle = shared.groupBy("row").agg(F.sum("n").alias("met"))
         ranked = large.join(middle, "row").withColumn("place", F.row_number().over(Window.partitionBy("j", "fp").orderBy(F.desc("met"), "row")))
@@ -199,6 +261,8 @@ def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
         best = joined.withColumnRenamed("id", "row").join(middle, "row", "left").groupBy("component").agg(F.max(F.struct(F.coalesce("met", F.lit(0)).alias("met"), "row")).alias("b"))
         passed = joined.select(F.col("id").alias("row")).join(best.select(F.col("b.row").alias("row")), "row", "left_anti")
         entered = materialise(large.select("row", "j", "fp").join(passed, "row", "left_anti"))
+    if not crowded.isEmpty():
+        joined = materialise(components(near.unionByName(materialise(_crowded_links(crowded, joined, texts, words, similarity)))))
     grouped = nodes.join(joined.withColumnRenamed("id", "node"), "node", "left").select("row", "doc_id", F.coalesce("component", "node").alias("group"))
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
     stay = grouped.groupBy("group").agg(best.alias("best")).select(F.col("best.row").alias("dedup row"))
