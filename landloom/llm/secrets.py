@@ -4,7 +4,8 @@ A text is the first layer.  Each layer is scanned with the patterns below, then
 and compressed parts are decoded into layers of their own, which join the worklist until none is new: a layer whose
 content was already seen at the same place is not decoded again, so the work ends also on texts that decode to
 themselves.  Each layer carries the place of its characters in the original text, and findings are reported there: exactly
-for escapes, by groups of four characters for base64, by the whole part for compressed data.
+for escapes, by groups of four characters for base64, by the whole part for compressed data.  Escapes are decoded where
+they stand in the whole layer; bytes that are not UTF-8 stay as they are; base64 may continue over line breaks.
 
 Rows: null text counts as empty; null ids stay; repeated rows get equal results; an empty table gives an empty result;
 other columns are ignored.  Data that does not decode is left alone.
@@ -34,10 +35,11 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")
 _WORDS = ("password", "passwd", "secret", "token", "api_key", "apikey")
 
-_URL = re.compile(r"(?<!\S)\S*?%[0-9A-Fa-f]{2}\S*")
+_URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|\\u\{[0-9A-Fa-f]{1,6}\}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};)")
-_UNICODE_RUN = re.compile(r"(?<!\S)\S*?(?:\\u|\\x|&#)\S*")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{12,}={0,2}")
+_LINE = re.compile(r"[A-Za-z0-9+/_-]+")
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:[ \t]*\r?\n[ \t]*[A-Za-z0-9+/_-]++)+={0,2}")
 #: A compressed part may grow to so many bytes in one layer; what is longer is read in windows of this size.
 WINDOW = 1 << 22
 
@@ -83,42 +85,56 @@ def _chars(data: bytes, first, last) -> Layer | None:
     return Layer(text, starts, ends)
 
 
+def _url_parts(layer: Layer) -> Iterator[tuple[int, int, str]]:
+    """(from, to, character) of the escapes that make UTF-8 characters; other bytes stay as they are."""
+    for m in _URL.finditer(layer.text):
+        data, at = bytes.fromhex(m.group().replace("%", "")), 0
+        while at < len(data):
+            try:
+                fine, bad = data[at:].decode(), len(data)
+            except UnicodeDecodeError as e:
+                fine, bad = data[at : at + e.start].decode(), at + e.end
+            for c in fine:
+                n = len(c.encode())
+                yield m.start() + 3 * at, m.start() + 3 * (at + n), c
+                at += n
+            at = bad
+
+
+def _unicode_parts(layer: Layer) -> Iterator[tuple[int, int, str]]:
+    for m in _UNICODE.finditer(layer.text):
+        n = m.group().strip("\\ux{}&#;X")
+        code = int(n, 10 if m.group().startswith("&#") and m.group()[2] not in "xX" else 16)
+        if code < 0x110000 and not 0xD800 <= code < 0xE000:
+            yield m.start(), m.end(), chr(code)
+
+
+def _replaced(layer: Layer, parts: Iterator[tuple[int, int, str]]) -> Iterator[Layer]:
+    """The whole layer with these parts decoded where they stand, as what is beside them matters to the patterns."""
+    out, starts, ends, at = [], array("q"), array("q"), 0
+
+    def plain(a: int, b: int) -> None:
+        out.append(layer.text[a:b])
+        starts.extend(range(a, b) if layer.starts is None else layer.starts[a:b])
+        ends.extend(range(a + 1, b + 1) if layer.ends is None else layer.ends[a:b])
+
+    for a, b, c in parts:
+        plain(at, a)
+        first, last = layer.place(a, b)
+        out.append(c)
+        starts.append(first)
+        ends.append(last)
+        at = b
+    if at:
+        plain(at, len(layer.text))
+        yield Layer("".join(out), starts, ends)
+
+
 def _escapes(layer: Layer) -> Iterator[Layer]:
     if "%" in layer.text:
-        for m in _URL.finditer(layer.text):
-            out, first, last, at = bytearray(), array("q"), array("q"), m.start()
-            while at < m.end():
-                c = layer.text[at]
-                if c == "%" and re.fullmatch("[0-9A-Fa-f]{2}", layer.text[at + 1 : at + 3]):
-                    raw, width = bytes([int(layer.text[at + 1 : at + 3], 16)]), 3
-                else:
-                    raw, width = c.encode("utf-8", "surrogatepass"), 1
-                a, b = layer.place(at, at + width)
-                out += raw
-                first.extend([a] * len(raw))
-                last.extend([b] * len(raw))
-                at += width
-            if got := _chars(bytes(out), first, last):
-                yield got
+        yield from _replaced(layer, _url_parts(layer))
     if "\\" in layer.text or "&#" in layer.text:
-        if _UNICODE.search(layer.text):
-            for m in _UNICODE_RUN.finditer(layer.text):  # what stands beside an escape matters to the patterns
-                out, starts, ends, at = [], array("q"), array("q"), m.start()
-                while at < m.end():
-                    e = _UNICODE.match(layer.text, at, m.end())
-                    c, width = layer.text[at], 1
-                    if e:
-                        n = e.group().strip("\\ux{}&#;X")
-                        code = int(n, 10 if e.group().startswith("&#") and e.group()[2] not in "xX" else 16)
-                        if code < 0x110000 and not 0xD800 <= code < 0xE000:
-                            c, width = chr(code), e.end() - at
-                    a, b = layer.place(at, at + width)
-                    out.append(c)
-                    starts.append(a)
-                    ends.append(b)
-                    at += width
-                if (text := "".join(out)) != m.group():
-                    yield Layer(text, starts, ends)
+        yield from _replaced(layer, _unicode_parts(layer))
 
 
 def _inflate(data: bytes) -> Iterator[bytes]:
@@ -177,6 +193,52 @@ def _encoded(layer: Layer) -> Iterator[Layer]:
             yield got
 
 
+def _readable(data: bytes) -> bytes:
+    """The printable UTF-8 that data begins with."""
+    try:
+        text = data.decode()
+    except UnicodeDecodeError as e:
+        text = data[: e.start].decode()
+    return next((text[:k] for k, c in enumerate(text) if not (c.isprintable() or c in "\t\n\r")), text).encode()
+
+
+def _wrapped(layer: Layer) -> Iterator[Layer]:
+    """Base64 that continues over line breaks.
+
+    The words beside it look like lines of it, so each line may be the first, and it ends where it is no longer readable."""
+    if "\n" not in layer.text:
+        return
+    for m in _WRAPPED.finditer(layer.text):
+        lines = [(x.start(), x.end()) for x in _LINE.finditer(layer.text, m.start(), m.end())]
+        at = array("q", (p for a, b in lines for p in range(a, b)))
+        body = "".join(layer.text[a:b] for a, b in lines).replace("-", "+").replace("_", "/")
+        low = done = 0
+        for a, b in lines[:-1]:
+            start, low = low, low + b - a
+            if start < done:
+                continue
+            head = base64.b64decode(body[start : start + 16][: (len(body) - start) // 4 * 4])
+            # a character may be cut where the head ends
+            if not (head[:2] == b"\x1f\x8b" or head[:3] == b"BZh" or head[:1] == b"\x78" or len(_readable(head)) > len(head) - 4):
+                continue
+            own = body[start : len(body) - ((len(body) - start) % 4 == 1)]
+            data = base64.b64decode(own + "=" * (-len(own) % 4))
+            squeezed = False
+            for part in _inflate(data):
+                squeezed, text = True, part.decode("utf-8", "replace")
+                first, last = layer.place(at[start], m.end())
+                yield Layer(text, _Same(first, len(text)), _Same(last, len(text)))
+            data = b"" if squeezed else _readable(data)
+            if len(data) < 8 or start + len(data) * 4 // 3 <= low:  # within one line
+                continue
+            done = start + len(data) // 3 * 4
+            spots = [start + 4 * (k // 3) for k in range(len(data))]
+            firsts = array("q", (layer.place(at[p], at[p] + 1)[0] for p in spots))
+            lasts = array("q", (layer.place(q := at[min(p + 3, len(at) - 1)], q + 1)[1] for p in spots))
+            if got := _chars(data, firsts, lasts):
+                yield got
+
+
 class _Same:
     """The same place for every character."""
 
@@ -184,7 +246,7 @@ class _Same:
         self.value, self.n = value, n
 
     def __getitem__(self, k):
-        return [self.value] if isinstance(k, slice) else self.value
+        return [self.value] * len(range(*k.indices(self.n))) if isinstance(k, slice) else self.value
 
 
 def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
@@ -198,7 +260,7 @@ def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, in
             for a, kind, b in base_spans(layer.text):
                 at, end = layer.place(a, b)
                 spans.add((at, kind, end))
-        for found in (*_escapes(layer), *_encoded(layer)):
+        for found in (*_escapes(layer), *_encoded(layer), *_wrapped(layer)):
             key = hashlib.blake2b(found.text.encode("utf-8", "surrogatepass"), digest_size=16).digest(), found.starts[0] if found.text else 0
             if found.text and key not in seen:
                 seen.add(key)

@@ -1,10 +1,16 @@
 """Texts in crowded places: everything that belongs together is found."""
 
+import base64
+import gzip
 import random
+import textwrap
+import urllib.parse
+
+import pytest
 
 from test_texts import brute_components, documents
 
-from landloom.llm import simhash
+from landloom.llm import secrets, simhash
 
 
 def shingles(text):
@@ -53,3 +59,42 @@ def test_shared_counts_equal_set_intersections(monkeypatch):
     want = [[len(set(a.tolist()) & set(b.tolist())) for b in own] for a in own[:8]]
     got = simhash._shared(own, 8)
     assert all(got[i][j] == want[i][j] for i in range(8) for j in range(20) if i != j)
+
+
+def escaped(text):
+    return "".join(f"%{b:02x}" for b in text.encode())
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        f"see password: {escaped('hunter22secret')} ok",
+        "see password = hun%74er2secret99 ok",
+        "see password = hun\\u0074er2secret99 ok",
+        "x%E9y&password%3Dhunter2secret%ff99 ok",
+        "caf%E9%41KIA" + "Z" * 20,
+        "token%20=%20" + urllib.parse.quote("päss") + "%20password%3D%3d12345678",
+    ],
+)
+def test_escapes_are_read_in_their_place(text):
+    _, spans = secrets.scan(text)
+    assert spans and "hunter2" not in secrets.redact(text) and "er2secret" not in secrets.redact(text)
+
+
+def test_places_in_the_whole_text():
+    text = "see password = hun%74er2secret99 ok"
+    assert secrets.said(secrets.scan(text)[1]) == f"assign:4:{len(text) - 3}"
+    assert secrets.redact(text) == f"see {secrets.MASK} ok"
+
+
+@pytest.mark.parametrize("width", [20, 64, 76])
+@pytest.mark.parametrize("break_", ["\n", "\r\n", "\n  "])
+def test_base64_over_line_breaks(width, break_):
+    said = "the line before; password = hunter2secret99; and what follows it for a while, until the line is long"
+    for data in (said.encode(), gzip.compress(said.encode() * 3)):
+        text = f"this is the blob{break_}{break_.join(textwrap.wrap(base64.b64encode(data).decode(), width))}{break_}and more"
+        kinds = secrets.said(secrets.scan(text)[1])
+        assert "assign" in kinds
+        _, kind, end = secrets.scan(text)[1][0]
+        assert kind == 0 and end <= len(text)
+    assert secrets.scan("one\nword\na\nline\nfrom\nhere\non")[1] == []
