@@ -6,7 +6,8 @@ stand beside it in ``TABLES`` orders by random sign codes, and keeps the ``LIST`
 new, and sends improvements to both; rounds end when few lists change.  Edges of at least the threshold are kept.
 
 A list is saturated when its last place still holds a link.  Then it is enlarged to everything its links reach: such a
-linked group is dealt into blocks and all its block pairs are compared, which returns counts, not pairs.  Recall is
+linked group is dealt into blocks and all its block pairs are compared, which returns counts, not pairs.  Before that, its
+saturated members are compared with all vectors of their label, so that links past the last place join groups.  Recall is
 audited against brute force for ``AUDIT`` vectors; below ``RECALL`` the search starts again with more tables.
 
 Rows: vectors that are null, zero or hold null or non-finite components, and rows with a null label or id, link with
@@ -126,12 +127,53 @@ def _group_counts(part: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"id": pd.concat([lo["id"], hi["id"]]), "n": np.concatenate([linked @ hi["many"].to_numpy(), linked.T @ lo["many"].to_numpy()])})
 
 
+def _bridging(part: pd.DataFrame) -> pd.DataFrame:
+    """Links between saturated classes and a block of their label that join different components."""
+    asked, held = part[part["asked"]], part[~part["asked"]]
+    if not len(asked) or not len(held):
+        return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+    x, y = unit(matrix(asked["e"])), unit(matrix(held["e"]))
+    g, h = asked["component"].to_numpy(), held["component"].to_numpy()
+    a, b, root, out = asked["id"].to_numpy(), held["id"].to_numpy(), {}, []
+
+    def find(v):
+        while v in root:
+            v = root[v]
+        return v
+
+    for i, j in zip(*np.nonzero((x @ y.T >= part["threshold"].iloc[0]) & (g[:, None] != h[None, :])), strict=True):
+        p, q = find(g[i]), find(h[j])
+        if p != q:
+            root[max(p, q)] = min(p, q)
+            out.append((a[i], b[j]))
+    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+
+def _bridges(classes: DataFrame, full: DataFrame, joined: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): links of saturated classes that lead out of their component, by all vectors of the label in blocks."""
+    placed = classes.select("id", "label", "dim", "e").join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    asked = placed.join(full, "id", "left_semi")
+    blocks = lambda own, name: own.groupBy("label", "dim").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
+    sizes = blocks(asked, "few").join(blocks(placed, "all"), ["label", "dim"])
+    deal = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = asked.join(sizes, ["label", "dim"]).withColumn("lo", deal("few")).withColumn("hi", each("all")).withColumn("asked", F.lit(True))
+    right = placed.join(sizes, ["label", "dim"]).withColumn("hi", deal("all")).withColumn("lo", each("few")).withColumn("asked", F.lit(False))
+    both = left.unionByName(right).select("label", "dim", "lo", "hi", "id", "e", "component", "asked", F.lit(threshold).alias("threshold"))
+    return both.groupBy("label", "dim", "lo", "hi").applyInPandas(_bridging, "a long, b long")
+
+
 def _links(classes: DataFrame, graph: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     """(id, n) linked vectors of other classes, and (id, component)."""
     close = graph.where(F.col("sim") >= threshold)
     edges = materialise(close.select(F.least("v", "u").alias("a"), F.greatest("v", "u").alias("b")).distinct())
     joined = materialise(components(edges))
-    full = close.groupBy("v").agg(F.count("*").alias("n")).where(F.col("n") >= LIST).select(F.col("v").alias("id"))
+    full = materialise(close.groupBy("v").agg(F.count("*").alias("n")).where(F.col("n") >= LIST).select(F.col("v").alias("id")))
+    if not full.isEmpty():
+        bridges = materialise(_bridges(classes, full, joined, threshold))
+        if not bridges.isEmpty():
+            edges = materialise(edges.unionByName(bridges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct())
+            joined = materialise(components(edges))
     crowded = joined.join(full, "id").select("component").distinct()
     many = classes.select("id", "many")
     sparse = joined.join(crowded, "component", "left_anti").select("id")
