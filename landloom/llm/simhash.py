@@ -120,11 +120,15 @@ def near_duplicates(docs: DataFrame, words: int = 3, seed: int = SEED, bucket: i
 
 # ---------------------------------------------------------------- near-duplicates by a similarity of shingle sets
 
-#: Partial fingerprints of a text, shingles in each, members of a bucket that are all paired, heads of a larger one, rounds.
-SKETCHES, TAKE, PAIRED, HEADS, ROUNDS = 14, 4, 24, 4, 6
+#: Partial fingerprints of a text, and shingles in each.  Two texts of similarity s share none of them with a chance of
+#: about (1 - s ** TAKE) ** SKETCHES: 3e-5 at 0.8, 2e-12 at 0.9.
+SKETCHES, TAKE = 20, 4
+#: Members of a bucket whose pairs are listed; larger buckets are compared in blocks.  Star rounds that come before.
+PAIRED, STARS = 24, 2
 #: Texts in a block of a larger bucket, shingles that blocks are multiplied over at once.
 BLOCK, WIDTH = 256, 8192
-_STIR = np.array([(0x9E3779B97F4A7C15 * (2 * j + 3) & ((1 << 64) - 1)) | 1 for j in range(SKETCHES)], np.uint64)
+#: Odd factors without a common pattern: multiples of one factor would put the same shingles first in every order.
+_STIR = np.random.default_rng(SEED).integers(0, 1 << 64, SKETCHES, np.uint64) | np.uint64(1)
 
 
 def partial_fingerprints(hashes: np.ndarray) -> list[int]:
@@ -135,17 +139,19 @@ def partial_fingerprints(hashes: np.ndarray) -> list[int]:
     if not len(own):
         return []
     out = []
-    for j, stir in enumerate(_STIR):
-        order = own * stir
-        order ^= order >> np.uint64(29)
+    for stir in _STIR:
+        order = (own ^ own >> np.uint64(31)) * stir
         first = own[np.argpartition(order, TAKE)[:TAKE]] if len(own) > TAKE else own
         out.append(majority(first))
     return out
 
 
 def _similar(left: str | None, right: str | None, words: int, similarity: float) -> bool:
-    a, b = (set(shingle_hashes(t, words).tolist()) for t in (left, right))
-    return bool(a and b) and len(a & b) >= similarity * len(a | b)
+    a, b = (np.unique(shingle_hashes(t, words)) for t in (left, right))
+    if min(len(a), len(b)) < similarity * max(len(a), len(b)) or not len(a):
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= similarity * (len(a) + len(b) - both)
 
 
 def _shared(own: list[np.ndarray], k: int) -> np.ndarray:
@@ -165,16 +171,32 @@ def _shared(own: list[np.ndarray], k: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _crowded_links(crowded: DataFrame, joined: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """(a, b): links that join all similar texts of a crowded bucket which ``joined`` has not joined.
+def _grouped(buckets: DataFrame, joined: DataFrame | None) -> DataFrame:
+    """buckets(row, j, fp, n, met) with each row's group, only buckets that hold several groups."""
+    if joined is None:
+        return buckets.withColumn("group", F.col("row"))
+    placed = buckets.join(joined.withColumnRenamed("id", "row"), "row", "left").withColumn("group", F.coalesce("component", "row")).drop("component")
+    several = placed.groupBy("j", "fp").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo < hi").select("j", "fp")
+    return placed.join(several, ["j", "fp"])
+
+
+def _star(placed: DataFrame) -> DataFrame:
+    """(a, b): each row with one head, the most central member of most of its buckets that is not of its own group."""
+    heads = placed.groupBy("j", "fp").agg(F.max(F.struct("met", "row", "group")).alias("head"))
+    met = placed.join(heads, ["j", "fp"]).where(F.col("group") != F.col("head.group")).groupBy("row", F.col("head.row").alias("head")).agg(F.count("*").alias("times"))
+    best = met.groupBy("row").agg(F.max(F.struct("times", "head")).alias("best"))
+    return best.select(F.least("row", "best.head").alias("a"), F.greatest("row", "best.head").alias("b")).distinct()
+
+
+def _crowded_links(crowded: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(a, b): links that join all similar texts of the buckets (row, j, fp, group) which groups have not joined.
 
     Pairs of one group need no comparison, so a bucket's largest group is compared with the rest only, and the rest with
     itself, each dealt into blocks; a pair of blocks returns what joins its groups, not all of its pairs."""
-    placed = crowded.join(joined.withColumnRenamed("id", "row"), "row", "left").select("j", "fp", "row", F.coalesce("component", "row").alias("group"))
-    sizes = placed.groupBy("j", "fp", "group").agg(F.count("*").alias("n")).groupBy("j", "fp").agg(F.max(F.struct("n", "group")).alias("most"), F.sum("n").alias("n"))
+    sizes = crowded.groupBy("j", "fp", "group").agg(F.count("*").alias("n")).groupBy("j", "fp").agg(F.max(F.struct("n", "group")).alias("most"), F.sum("n").alias("n"))
     blocks = lambda n: F.ceil(n / BLOCK).cast("int")
     split = sizes.where("most.n < n").select("j", "fp", F.col("most.group").alias("main"), blocks(F.col("n") - F.col("most.n")).alias("rest"), blocks(F.col("most.n")).alias("held"))
-    met = placed.join(split, ["j", "fp"])
+    met = crowded.select("j", "fp", "row", "group").join(split, ["j", "fp"])
     deal = lambda n: F.pmod(F.xxhash64("row"), F.col(n)).cast("int")
     inside = F.col("group") == F.col("main")
     dealt = met.withColumn("block", F.when(inside, F.col("rest") + deal("held")).otherwise(deal("rest")))
@@ -205,68 +227,77 @@ def _crowded_links(crowded: DataFrame, joined: DataFrame, texts: DataFrame, word
     return pairs.join(texts, "row").groupBy("j", "fp", "lo", "hi").applyInPandas(run, "a long, b long")
 
 
+def _free_name(docs: DataFrame, name: str) -> str:
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each group the row with the smallest doc_id (nulls last) stays.
 
     Groups are what links of equal texts, and of texts whose sets of ``words``-word shingles have a Jaccard similarity of
-    at least ``similarity``, connect.  Candidates share a partial SimHash fingerprint; every candidate pair is verified on
-    the whole texts.  In a bucket of more than ``PAIRED`` different texts everyone is compared with its ``HEADS`` most
-    central members; then one text of each group that has formed meets again, until all buckets are small or ``ROUNDS``
-    have passed.  What these rounds have not joined in such a bucket is compared completely, in blocks, so every pair of a
-    bucket is either joined or verified.  Empty and null texts are equal."""
-    rows = materialise(docs.withColumn("dedup row", F.monotonically_increasing_id()))
-    row, text = F.col("dedup row").alias("row"), F.coalesce("text", F.lit(""))
-    hashed = materialise(rows.select(row, F.col("doc_id").cast("long").alias("doc_id"), F.sha2(text, 256).alias("h")))
-    same = hashed.groupBy("h").agg(F.min("row").alias("node"))
-    nodes = materialise(hashed.join(same, "h").select("row", "doc_id", "node"))
-    first = nodes.where("row = node").select("row")
+    at least ``similarity``, connect.  Texts whose fingerprints the segment-popcount grid brings together are candidates
+    first; at that similarity fingerprints differ in up to 17 of 64 bits, where no count of bits selects, so texts that
+    share one of ``SKETCHES`` partial fingerprints are candidates too.  Every candidate pair is verified on the whole texts
+    unless its two texts are already of one group.  ``STARS`` rounds that compare each text with one central text of its
+    buckets spare most comparisons; they decide nothing, since afterwards all pairs of a bucket between different groups
+    are compared: listed where it is small, in blocks where it holds more than ``PAIRED`` texts.  Empty and null texts are
+    equal."""
+    mark = _free_name(docs, "dedup row")
+    rows = materialise(docs.withColumn(mark, F.monotonically_increasing_id()))
+    row, text = F.col(mark).alias("row"), F.coalesce("text", F.lit(""))
+    best = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").cast("long").alias("doc_id"), row)
+    nodes = materialise(rows.groupBy(F.sha2(text, 256)).agg(F.min(best).alias("best")).select(F.col("best.row").alias("row"), "best"))  # one row for equal texts
 
     def sketch(batches):
         for batch in batches:
-            own = [partial_fingerprints(shingle_hashes(t.as_py(), words)) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.list_(pa.int64()))], names=["row", "sketches"])
+            own = [shingle_hashes(t.as_py(), words) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(map(majority, own), pa.int64()), pa.array(map(partial_fingerprints, own), pa.list_(pa.int64()))], names=["row", "whole", "sketches"]
+            )
 
-    sketched = rows.select(row, "text").mapInArrow(sketch, "row long, sketches array<long>").join(first, "row")
-    entered = materialise(sketched.select("row", F.posexplode("sketches").alias("j", "fp")))
-    texts = rows.select(row, "text").join(entered.where("j = 0").select("row"), "row")
+    sketched = materialise(rows.select(row, "text").mapInArrow(sketch, "row long, whole long, sketches array<long>").join(nodes.select("row"), "row").where(F.size("sketches") > 0))
+    texts = rows.select(row, "text").join(sketched.select("row"), "row", "left_semi")
 
     def verify(batches):
         for batch in batches:
             fine = [_similar(x.as_py(), y.as_py(), words, similarity) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(fine, pa.bool_()))
 
-    near = told = crowded = None
-    for _ in range(ROUNDS):
-        buckets = entered.groupBy("j", "fp").agg(F.count("*").alias("n")).where("n > 1")
-        shared = materialise(entered.join(buckets, ["j", "fp"]))
-        small = shared.where(F.col("n") <= PAIRED).select("j", "fp", "row")
-        pairs = small.withColumnRenamed("row", "a").join(small.withColumnRenamed("row", "b"), ["j", "fp"]).where("a < b").select("a", "b")
-        large = shared.where(F.col("n") > PAIRED)
-        crowded = large if crowded is None else crowded
-        # whoever shares most of its fingerprints with others stands in the middle of them
-        middle = shared.groupBy("row").agg(F.sum("n").alias("met"))
-        ranked = large.join(middle, "row").withColumn("place", F.row_number().over(Window.partitionBy("j", "fp").orderBy(F.desc("met"), "row")))
-        heads = ranked.where(F.col("place") <= HEADS).select("j", "fp", F.col("row").alias("head"))
-        starred = large.join(heads, ["j", "fp"]).where("row <> head").select(F.least("row", "head").alias("a"), F.greatest("row", "head").alias("b"))
-        asked = pairs.unionByName(starred).distinct()
-        asked = materialise(asked if told is None else asked.join(told, ["a", "b"], "left_anti"))
+    near = told = None
+
+    def ask(pairs: DataFrame) -> DataFrame:
+        """Verifies the pairs that were not asked before; the groups that all links so far connect."""
+        nonlocal near, told
+        asked = materialise(pairs if told is None else pairs.join(told, ["a", "b"], "left_anti"))
         with_texts = asked.join(texts.select(F.col("row").alias("a"), F.col("text").alias("left")), "a").join(texts.select(F.col("row").alias("b"), F.col("text").alias("right")), "b")
         found = materialise(with_texts.select("a", "b", "left", "right").mapInArrow(verify, "a long, b long"))
-        told = asked if told is None else told.unionByName(asked)
-        near = found if near is None else near.unionByName(found)
-        joined = materialise(components(near))
-        if large.isEmpty():
-            break
-        # crowded buckets meet again with one text, the most central, of each group that has formed
-        best = joined.withColumnRenamed("id", "row").join(middle, "row", "left").groupBy("component").agg(F.max(F.struct(F.coalesce("met", F.lit(0)).alias("met"), "row")).alias("b"))
-        passed = joined.select(F.col("id").alias("row")).join(best.select(F.col("b.row").alias("row")), "row", "left_anti")
-        entered = materialise(large.select("row", "j", "fp").join(passed, "row", "left_anti"))
-    if not crowded.isEmpty():
-        joined = materialise(components(near.unionByName(materialise(_crowded_links(crowded, joined, texts, words, similarity)))))
-    grouped = nodes.join(joined.withColumnRenamed("id", "node"), "node", "left").select("row", "doc_id", F.coalesce("component", "node").alias("group"))
-    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
-    stay = grouped.groupBy("group").agg(best.alias("best")).select(F.col("best.row").alias("dedup row"))
-    return rows.join(stay, "dedup row", "left_semi").drop("dedup row")
+        told, near = (asked, found) if told is None else (told.unionByName(asked), near.unionByName(found))
+        return materialise(components(near))
+
+    # fingerprints within two bits: each of a fingerprint's texts with its least one, and the least ones with each other
+    least = sketched.groupBy("whole").agg(F.min("row").alias("a"))
+    beside = links(least.select(F.col("whole").alias("fp"))).join(least.select(F.col("whole").alias("a"), F.col("a").alias("x")), "a").join(least.select(F.col("whole").alias("b"), F.col("a").alias("y")), "b")
+    alike = sketched.join(least, "whole").where("row <> a").select("a", F.col("row").alias("b"))
+    joined = ask(alike.unionByName(beside.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))).distinct())
+
+    entered = sketched.select("row", F.posexplode("sketches").alias("j", "fp"))
+    sizes = entered.groupBy("j", "fp").agg(F.count("*").alias("n")).where("n > 1")
+    # whoever shares most of its fingerprints with others stands in the middle of them
+    buckets = materialise(entered.join(sizes, ["j", "fp"]).withColumn("met", F.sum("n").over(Window.partitionBy("row"))))
+    for _ in range(STARS):
+        joined = ask(_star(_grouped(buckets, joined)))
+    placed = materialise(_grouped(buckets, joined))
+    small = placed.where(F.col("n") <= PAIRED).select("j", "fp", "row", "group")
+    pairs = small.select("j", "fp", F.col("row").alias("a"), F.col("group").alias("g")).join(small.select("j", "fp", F.col("row").alias("b"), F.col("group").alias("h")), ["j", "fp"]).where("a < b and g <> h").select("a", "b").distinct()
+    crowded = materialise(_crowded_links(placed.where(F.col("n") > PAIRED), texts, words, similarity))
+    ask(pairs)
+    joined = components(near.unionByName(crowded))
+    grouped = nodes.join(joined.withColumnRenamed("id", "row"), "row", "left").select("best", F.coalesce("component", "row").alias("group"))
+    stay = grouped.groupBy("group").agg(F.min("best").alias("best")).select(F.col("best.row").alias(mark))
+    return rows.join(stay, mark, "left_semi").drop(mark)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
