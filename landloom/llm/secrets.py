@@ -5,7 +5,13 @@ and compressed parts are decoded into layers of their own, which join the workli
 content was already seen at the same place is not decoded again, so the work ends also on texts that decode to
 themselves.  Each layer carries the place of its characters in the original text, and findings are reported there: exactly
 for escapes, by groups of four characters for base64, by the whole part for compressed data.  Escapes are decoded where
-they stand in the whole layer; bytes that are not UTF-8 stay as they are; base64 may continue over line breaks.
+they stand in the whole layer; bytes that are not UTF-8 stay as they are.  Base64 may continue over line breaks and begin
+anywhere in a run of its letters (after a path, say): all four alignments are decoded, and whatever is readable or
+compressed in them is a layer.
+
+The worklist is a stack of generators: layers are made one at a time, the innermost first, so that memory is bounded by the
+depth of nesting and not by the number of layers.  Compressed data is read in windows of ``WINDOW`` characters; a window
+takes the end of the one before it along, a whole run of base64 letters where it ends in one that is shorter than a window.
 
 Rows: null text counts as empty; null ids stay; repeated rows get equal results; an empty table gives an empty result;
 other columns are ignored.  Data that does not decode is left alone.
@@ -13,15 +19,14 @@ other columns are ignored.  Data that does not decode is left alone.
 
 from __future__ import annotations
 
-import base64
 import binascii
 import bz2
-import gzip
 import hashlib
 import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -36,10 +41,18 @@ _HEX = re.compile(r"[0-9a-f]{32,}")
 _WORDS = ("password", "passwd", "secret", "token", "api_key", "apikey")
 
 _URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-_UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|\\u\{[0-9A-Fa-f]{1,6}\}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};)")
-_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{12,}={0,2}")
+_UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|\\u\{[0-9A-Fa-f]{1,6}\}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};)")
+_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{12,}")
 _LINE = re.compile(r"[A-Za-z0-9+/_-]+")
-_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:[ \t]*\r?\n[ \t]*[A-Za-z0-9+/_-]++)+={0,2}")
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:[ \t]*\r?\n[ \t]*[A-Za-z0-9+/_-]++)+")
+_STANDARD = str.maketrans("-_", "+/")
+#: Readable stretches of decoded bytes: UTF-8 without control characters, and UTF-16 of plain characters.
+_UTF8 = re.compile(rb"(?:[\t\n\r\x20-\x7e]|[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}){8,}")
+_UTF16 = re.compile(rb"(?:[\t\n\r\x20-\x7e]\x00){8,}")
+#: How gzip, bzip2 and zlib data begins.
+_SQUEEZED = re.compile(rb"\x1f\x8b\x08|BZh[1-9]|\x78[\x01\x5e\x9c\xda]")
+_TAIL = re.compile(rb"[A-Za-z0-9+/_-]+\Z")
+OVERLAP = 4096
 #: A compressed part may grow to so many bytes in one layer; what is longer is read in windows of this size.
 WINDOW = 1 << 22
 
@@ -103,7 +116,7 @@ def _url_parts(layer: Layer) -> Iterator[tuple[int, int, str]]:
 
 def _unicode_parts(layer: Layer) -> Iterator[tuple[int, int, str]]:
     for m in _UNICODE.finditer(layer.text):
-        n = m.group().strip("\\ux{}&#;X")
+        n = m.group().strip("\\uUx{}&#;X")
         code = int(n, 10 if m.group().startswith("&#") and m.group()[2] not in "xX" else 16)
         if code < 0x110000 and not 0xD800 <= code < 0xE000:
             yield m.start(), m.end(), chr(code)
@@ -112,22 +125,26 @@ def _unicode_parts(layer: Layer) -> Iterator[tuple[int, int, str]]:
 def _replaced(layer: Layer, parts: Iterator[tuple[int, int, str]]) -> Iterator[Layer]:
     """The whole layer with these parts decoded where they stand, as what is beside them matters to the patterns."""
     out, starts, ends, at = [], array("q"), array("q"), 0
+    one_place = isinstance(layer.starts, _Same)
 
     def plain(a: int, b: int) -> None:
         out.append(layer.text[a:b])
-        starts.extend(range(a, b) if layer.starts is None else layer.starts[a:b])
-        ends.extend(range(a + 1, b + 1) if layer.ends is None else layer.ends[a:b])
+        if not one_place:
+            starts.extend(range(a, b) if layer.starts is None else layer.starts[a:b])
+            ends.extend(range(a + 1, b + 1) if layer.ends is None else layer.ends[a:b])
 
     for a, b, c in parts:
         plain(at, a)
-        first, last = layer.place(a, b)
         out.append(c)
-        starts.append(first)
-        ends.append(last)
+        if not one_place:
+            first, last = layer.place(a, b)
+            starts.append(first)
+            ends.append(last)
         at = b
     if at:
         plain(at, len(layer.text))
-        yield Layer("".join(out), starts, ends)
+        text = "".join(out)
+        yield Layer(text, _Same(layer.starts.value, len(text)), _Same(layer.ends.value, len(text))) if one_place else Layer(text, starts, ends)
 
 
 def _escapes(layer: Layer) -> Iterator[Layer]:
@@ -137,106 +154,90 @@ def _escapes(layer: Layer) -> Iterator[Layer]:
         yield from _replaced(layer, _unicode_parts(layer))
 
 
-def _inflate(data: bytes) -> Iterator[bytes]:
-    """The content of gzip, zlib or bzip2 data, in windows that overlap by 4 KB; nothing if it is none of these."""
-    if data[:2] == b"\x1f\x8b":
-        make = lambda: zlib.decompressobj(31)
-    elif data[:1] == b"\x78" and len(data) > 1 and (data[0] * 256 + data[1]) % 31 == 0:
-        make = zlib.decompressobj
-    elif data[:3] == b"BZh":
-        make = bz2.BZ2Decompressor
-    else:
-        return
-    machine, feed, kept = make(), data, b""
-    while True:
-        try:
-            got = machine.decompress(feed, WINDOW)
-        except (zlib.error, OSError, EOFError):
-            return
-        if got:
-            yield kept + got
-            kept = got[-4096:]
-        feed = getattr(machine, "unconsumed_tail", b"")
-        if machine.eof or not got or not (feed or isinstance(machine, bz2.BZ2Decompressor)):
-            return
+class _Inflated:
+    """The content of compressed data in overlapping windows; ``used`` is how many bytes of the data it took so far."""
 
+    def __init__(self, data: bytes):
+        self.data, self.used = data, 0
 
-def _printable(text: str) -> bool:
-    return all(c.isprintable() or c in "\t\n\r" for c in text)
+    def __iter__(self) -> Iterator[bytes]:
+        head, data = bytes(self.data[:3]), self.data
+        machine = zlib.decompressobj(31) if head[:2] == b"\x1f\x8b" else bz2.BZ2Decompressor() if head == b"BZh" else zlib.decompressobj(15 if head[:1] == b"\x78" else -15)
+        kept, at, ended = b"", 0, False
+        while not machine.eof:
+            feed = getattr(machine, "unconsumed_tail", b"")
+            if not feed and getattr(machine, "needs_input", True):
+                feed, at = data[at : at + (1 << 16)], at + (1 << 16)
+                ended = not feed
+            try:
+                got = machine.decompress(feed, WINDOW)
+            except (zlib.error, OSError, EOFError, ValueError):
+                return
+            self.used = min(at, len(data)) - len(machine.unused_data)
+            if not got and ended:
+                return
+            if got:
+                yield kept + got
+                run = _TAIL.search(got, max(0, len(got) - WINDOW // 2))
+                kept = got[min(len(got) - OVERLAP, run.start()) if run and run.start() > 0 else -OVERLAP :]
+
+
+def _payloads(layer: Layer, body: str, at) -> Iterator[Layer]:
+    """What base64 letters, which stand at ``at`` in the layer, hold in each of their four alignments."""
+    for shift in range(4):
+        whole = (len(body) - shift) // 4 * 4
+        rest = (len(body) - shift) % 4
+        if whole < 8:
+            continue
+        data = binascii.a2b_base64(body[shift:] + "=" * (4 - rest) if rest > 1 else body[shift : shift + whole])
 
+        def place(a: int, b: int, shift=shift) -> tuple[int, int]:
+            """Of bytes a to b, by the groups of four letters that hold them."""
+            first, last = shift + 4 * (a // 3), min(shift + 4 * ((b - 1) // 3) + 4, len(body))
+            return layer.place(at[first], at[last - 1] + 1)
 
-def _encoded(layer: Layer) -> Iterator[Layer]:
-    for m in _BASE64.finditer(layer.text):
-        body = m.group().rstrip("=")
-        if len(body) % 4 == 1:
-            body = body[:-1]
-        try:
-            data = base64.b64decode(body.replace("-", "+").replace("_", "/") + "=" * (-len(body) % 4), validate=True)
-        except (binascii.Error, ValueError):
-            continue
-        a, b = layer.place(m.start(), m.end())
-        squeezed = False
-        for part in _inflate(data):
-            squeezed = True
-            text = part.decode("utf-8", "replace")
-            yield Layer(text, _Same(a, len(text)), _Same(b, len(text)))
-        if squeezed:
-            continue
-        # places by groups of four characters
-        n = len(data)
-        if n < 8:
-            continue
-        spots = [m.start() + 4 * (k // 3) for k in range(n)]
-        first = array("q", (layer.place(s, s + 1)[0] for s in spots))
-        last = array("q", (layer.place(min(s + 3, m.end() - 1), min(s + 4, m.end()))[1] for s in spots))
-        if (got := _chars(data, first, last)) and _printable(got.text):
-            yield got
+        done = 0
+        for m in _SQUEEZED.finditer(data):
+            if m.start() % 3 or m.start() < done:
+                continue
+            content = _Inflated(memoryview(data)[m.start() :])
+            for part in content:
+                a, b = place(m.start(), max(m.start() + 1, m.start() + content.used))
+                yield _anywhere(part, a, b)
+                done = m.start() + content.used
+        if not done and shift == 0 and not _UTF8.fullmatch(data):
+            content = _Inflated(memoryview(data))  # deflated without a head
+            for part in content:
+                if not _UTF8.match(part):
+                    break
+                yield _anywhere(part, *place(0, max(1, content.used)))
+        for m in _UTF8.finditer(data):
+            spots = [place(k, k + 1) for k in range(*m.span())]
+            if found := _chars(m.group(), array("q", (a for a, _ in spots)), array("q", (b for _, b in spots))):
+                yield found
+        for m in _UTF16.finditer(data):
+            spots = [place(k, k + 2) for k in range(m.start(), m.end(), 2)]
+            yield Layer(m.group()[::2].decode(), array("q", (a for a, _ in spots)), array("q", (b for _, b in spots)))
+
+
+def _anywhere(part: bytes, a: int, b: int) -> Layer:
+    text = part.decode("utf-8", "replace")
+    return Layer(text, _Same(a, len(text)), _Same(b, len(text)))
 
 
-def _readable(data: bytes) -> bytes:
-    """The printable UTF-8 that data begins with."""
-    try:
-        text = data.decode()
-    except UnicodeDecodeError as e:
-        text = data[: e.start].decode()
-    return next((text[:k] for k, c in enumerate(text) if not (c.isprintable() or c in "\t\n\r")), text).encode()
+def _encoded(layer: Layer) -> Iterator[Layer]:
+    for m in _BASE64.finditer(layer.text):
+        yield from _payloads(layer, m.group().translate(_STANDARD), range(m.start(), m.end()))
 
 
 def _wrapped(layer: Layer) -> Iterator[Layer]:
-    """Base64 that continues over line breaks.
-
-    The words beside it look like lines of it, so each line may be the first, and it ends where it is no longer readable."""
+    """Base64 that continues over line breaks; the words beside it look like lines of it."""
     if "\n" not in layer.text:
         return
     for m in _WRAPPED.finditer(layer.text):
         lines = [(x.start(), x.end()) for x in _LINE.finditer(layer.text, m.start(), m.end())]
-        at = array("q", (p for a, b in lines for p in range(a, b)))
-        body = "".join(layer.text[a:b] for a, b in lines).replace("-", "+").replace("_", "/")
-        low = done = 0
-        for a, b in lines[:-1]:
-            start, low = low, low + b - a
-            if start < done:
-                continue
-            head = base64.b64decode(body[start : start + 16][: (len(body) - start) // 4 * 4])
-            # a character may be cut where the head ends
-            if not (head[:2] == b"\x1f\x8b" or head[:3] == b"BZh" or head[:1] == b"\x78" or len(_readable(head)) > len(head) - 4):
-                continue
-            own = body[start : len(body) - ((len(body) - start) % 4 == 1)]
-            data = base64.b64decode(own + "=" * (-len(own) % 4))
-            squeezed = False
-            for part in _inflate(data):
-                squeezed, text = True, part.decode("utf-8", "replace")
-                first, last = layer.place(at[start], m.end())
-                yield Layer(text, _Same(first, len(text)), _Same(last, len(text)))
-            data = b"" if squeezed else _readable(data)
-            if len(data) < 8 or start + len(data) * 4 // 3 <= low:  # within one line
-                continue
-            done = start + len(data) // 3 * 4
-            spots = [start + 4 * (k // 3) for k in range(len(data))]
-            firsts = array("q", (layer.place(at[p], at[p] + 1)[0] for p in spots))
-            lasts = array("q", (layer.place(q := at[min(p + 3, len(at) - 1)], q + 1)[1] for p in spots))
-            if got := _chars(data, firsts, lasts):
-                yield got
+        if sum(b - a for a, b in lines) >= 12:
+            yield from _payloads(layer, "".join(layer.text[a:b] for a, b in lines).translate(_STANDARD), array("q", (p for a, b in lines for p in range(a, b))))
 
 
 class _Same:
@@ -253,18 +254,19 @@ def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, in
     """The patterns' spans of the text itself, and all spans with those of its decoded layers: (start, kind, end), in order."""
     base = base_spans(text)
     spans = set(base)
-    work, seen = [Layer(text, None, None)], set()
+    seen, first = set(), Layer(text, None, None)
+    work = [chain(_escapes(first), _encoded(first), _wrapped(first))]
     while work:
-        layer = work.pop()
-        if layer.starts is not None:
+        if (layer := next(work[-1], None)) is None:
+            work.pop()
+            continue
+        key = hashlib.blake2b(layer.text.encode("utf-8", "surrogatepass"), digest_size=16).digest(), layer.starts[0] if layer.text else 0
+        if layer.text and key not in seen:
+            seen.add(key)
             for a, kind, b in base_spans(layer.text):
                 at, end = layer.place(a, b)
                 spans.add((at, kind, end))
-        for found in (*_escapes(layer), *_encoded(layer), *_wrapped(layer)):
-            key = hashlib.blake2b(found.text.encode("utf-8", "surrogatepass"), digest_size=16).digest(), found.starts[0] if found.text else 0
-            if found.text and key not in seen:
-                seen.add(key)
-                work.append(found)
+            work.append(chain(_escapes(layer), _encoded(layer), _wrapped(layer)))
     return base, sorted(spans)
 
 
