@@ -2,11 +2,15 @@
 
 A disguised word is a sequence of symbols that stand for letters (leetspeak), for nothing (separators, spacing) or for one
 letter several times (repetition).  The symbols' readings form a lattice; Viterbi search under a character trigram model,
-counted over the whole corpus, restores the likeliest word.  A logistic model over words and word beginnings then scores
-the restored text.  Words of plain letters are their own only reading and skip the search.
+counted over the whole corpus, keeps the ``BEST`` paths into every state (its last two letters) and so finds the likeliest
+words exactly.  A logistic model over words and word beginnings then scores the restored text.  Words of plain letters
+without a repeated one are their own only reading and skip the search, as do figures and addresses.  Letters that stand
+apart are read as one word, and two neighbouring words as one where that is a word of the model and likelier under the
+trigrams than the two.
 
-Labels are learned from at most ``LABELLED`` rows (those with the smallest hashes) of the training folds: word and
-beginning counts by label over different texts select candidates, and a ridge-penalised logistic regression weighs them.  Language, source and id are no inputs of a score.
+Labels are learned from at most ``LABELLED`` rows (those with the smallest hashes) of the training folds.  Features are all
+words and beginnings that at least ``LEAST`` different toxic texts hold and that are commoner there than in others; a
+ridge-penalised logistic regression weighs them.  Language, source and id are no inputs of a score.
 
 Rows: null text counts as empty and gets the model's base rate; null ids stay and are not held out; repeated rows get equal
 scores; labels with null ids or values teach nothing, and of several for one id the largest counts; with no labels at all
@@ -18,6 +22,9 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter, defaultdict
+from heapq import nlargest
+from itertools import pairwise
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +33,7 @@ from pyspark.sql import functions as F
 
 from ._common import crc_bucket_col, materialise, table
 
-LABELLED, CANDIDATES, LEAST, BEGINNING = 20_000, 1000, 3, 4
+LABELLED, LEAST, BEGINNING = 20_000, 3, 4
 MEMORY = 400_000
 
 # ---------------------------------------------------------------- characters
@@ -94,41 +101,69 @@ LEET = {
 }
 #: Costs in nats of a reading: symbol as letter, symbol as nothing, run of a letter as fewer of them.
 AS_LETTER, AS_NOTHING, SEPARATOR, SHORTENED = 0.7, 9.0, 0.7, 1.0
-#: Readings that are looked at: so many, and none so many nats behind the best.
+#: Readings that are features of a token: so many, and none so many nats behind the best.
 BEST, BEHIND = 6, 9.0
 _RUN = re.compile(r"(.)\1*", re.S)
-_THRICE = re.compile(r"(.)\1\1", re.S)
-BEAM = 48
+_TWICE = re.compile(r"(.)\1", re.S)
 
 
-def restore(token: str, model: np.ndarray, best: int = BEST) -> list[str]:
-    """The likeliest words that a disguised token stands for, best first."""
-    states = {(0, 0): [(0.0, "")]}
+def lattice(token: str) -> list[list[tuple[str, float]]]:
+    """The readings, with their costs, of each run of a character."""
+    out = []
     for m in _RUN.finditer(token.lower()):
         c, n = m.group(1), m.end() - m.start()
         if c.isalpha():
-            readings = [(c * k, 0.0 if k == n else SHORTENED) for k in {n, min(n, 2), 1}] if n > 1 else [(c, 0.0)]
+            readings = [(c * k, 0.0 if k == n else SHORTENED) for k in sorted({n, min(n, 2), 1})]
         else:
             readings = [("", (AS_NOTHING if c.isalnum() or c in "@$" else SEPARATOR))]
             for x in LEET.get(c, ""):
                 cost = AS_LETTER + (2.0 if c == "*" else 0.0)
-                readings += [(x * k, cost * k if k == n else cost + SHORTENED) for k in {n, 1}] if n < 4 else [(x, cost + SHORTENED)]
+                readings += [(x * k, cost * k if k == n else cost + SHORTENED) for k in sorted({n, 1})] if n < 4 else [(x, cost + SHORTENED)]
+        out.append(readings)
+    return out
+
+
+def _spelled(letters: str, a: int, b: int, model: np.ndarray) -> tuple[float, int, int]:
+    """The log probability of the letters after the state (a, b), and the state they lead to."""
+    total = 0.0
+    for ch in letters:
+        z = int(_CODE[min(ord(ch), 0x250)]) or OTHER
+        total += float(model[a, b, z])
+        a, b = b, z
+    return total, a, b
+
+
+def spelling(word: str, model: np.ndarray) -> float:
+    """The log probability of a whole word."""
+    total, a, b = _spelled(word, 0, 0, model)
+    return total + float(model[a, b, 0])
+
+
+def restore(token: str, model: np.ndarray, best: int = BEST) -> list[str]:
+    """The likeliest words that a disguised token stands for, best first."""
+    states: dict = {(0, 0): [(0.0, None)]}  # state -> its best paths: score, (path before, letters)
+    for readings in lattice(token):
         after: dict = defaultdict(list)
         for (a, b), paths in states.items():
             for letters, cost in readings:
-                x, y, add = a, b, -cost
-                for ch in letters:
-                    z = int(_CODE[min(ord(ch), 0x250)]) or OTHER
-                    add += float(model[x, y, z])
-                    x, y = y, z
-                after[x, y] += [(s + add, w + letters) for s, w in paths]
-        states = {k: sorted(v, reverse=True)[:best] for k, v in sorted(after.items(), key=lambda v: -max(v[1])[0])[:BEAM]}
-    ended = sorted(((s + float(model[a, b, 0]), w) for (a, b), paths in states.items() for s, w in paths), reverse=True)
-    return [w for s, w in ended[:best] if w and s > ended[0][0] - BEHIND]
+                add, x, y = _spelled(letters, a, b, model)
+                after[x, y] += [(s + add - cost, (path, letters) if letters else path) for s, path in paths]
+        states = {k: nlargest(best, v, key=itemgetter(0)) for k, v in after.items()}
+    ended = nlargest(best, ((s + float(model[a, b, 0]), path) for (a, b), paths in states.items() for s, path in paths), key=itemgetter(0))
+    out = []
+    for s, path in ended:
+        letters = []
+        while path:
+            path, own = path
+            letters.append(own)
+        if letters and s > ended[0][0] - BEHIND:
+            out.append("".join(reversed(letters)))
+    return out
 
 
-_TAIL, _HEAD = "#%&*$@!?.,;:'\"`)]}>…»”’-_~^=|", "#%&*?.,;:'\"`([{<«“‘-_~^="
-_SPACED = re.compile(r"(?<!\S)(?:\S[ \t]){3,}\S?(?!\S)")
+_TAIL, _HEAD = "#%&?.,;:'\"`)]}>…»”’-_~^=", "#%&?.,;:'\"`([{<«“‘-_~^="
+_SPACED = re.compile(r"(?<!\S)(?:\S\s+){2,}\S(?!\S)")
+_SYMBOLS = frozenset("@$!|+*€£¥")
 
 
 class Readings(dict):
@@ -137,6 +172,7 @@ class Readings(dict):
     def __init__(self, model: np.ndarray, known: dict[str, int] | None):
         super().__init__()
         self.model, self.known = model, known
+        self.long = {f: k for f, k in (known or {}).items() if len(f) > BEGINNING and not f.endswith("+")}
 
     def features(self, word: str) -> tuple:
         own = (word, word[:BEGINNING] + "+") if len(word) > BEGINNING else (word,)
@@ -145,8 +181,8 @@ class Readings(dict):
     def words(self, token: str) -> list[str]:
         core = token.lower().rstrip(_TAIL).lstrip(_HEAD)
         if core.isalpha():
-            return [core] if not _THRICE.search(core) else restore(core, self.model)
-        if not core or not any(map(str.isalpha, core)) or ("@" in core[1:] and "." in core[core.rindex("@") :]) or "://" in core:
+            return [core] if not _TWICE.search(core) else restore(core, self.model)
+        if not any(c.isalpha() or c in _SYMBOLS for c in core) or ("@" in core[1:] and "." in core[core.rindex("@") :]) or "://" in core:
             return []  # figures, addresses
         return restore(core, self.model)
 
@@ -164,24 +200,60 @@ class Readings(dict):
             for w in self.words(letters):
                 out |= set(self.features(w))
                 if self.known is not None:
-                    out |= {k for f, k in self.known.items() if len(f) > BEGINNING and not f.endswith("+") and f in w}
+                    out |= {k for f, k in self.long.items() if f in w}
+        return out
+
+    def split(self, words: list[str]) -> set:
+        """Features of known words that stand in two parts, where one word is likelier than two."""
+        out: set = set()
+        for a, b in pairwise(words):
+            if (w := a + b) in self.long and spelling(w, self.model) - SEPARATOR > spelling(a, self.model) + spelling(b, self.model):
+                out |= set(self.features(w))
         return out
 
     def text(self, text: str) -> set:
-        return set().union(*map(self.__getitem__, set(text.split()))) | self.spaced(text) if text else set()
+        if not text:
+            return set()
+        words = text.lower().split()
+        return set().union(*map(self.__getitem__, set(words)), self.spaced(text), self.split(words) if self.long else ())
 
 
 # ---------------------------------------------------------------- labels
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, times: np.ndarray, ridge: float = 1.0) -> np.ndarray:
-    """Newton's method on the ridge-penalised likelihood; the last weight is the constant's, unpenalised."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    w, penalty = np.zeros(x.shape[1]), np.full(x.shape[1], ridge)
-    penalty[-1] = 1e-6
-    for _ in range(40):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (times * p * (1 - p) + 1e-9)[:, None]).T @ x + np.diag(penalty), x.T @ (times * (y - p)) - penalty * w)
+class Sparse:
+    """Rows of positions that hold a one, and a last column of ones."""
+
+    def __init__(self, rows: list[list[int]], width: int):
+        self.width, self.sizes = width, np.array([len(r) for r in rows])
+        self.at, self.row = np.array([k for r in rows for k in r], np.int64), np.repeat(np.arange(len(rows)), self.sizes)
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, weights=w[self.at], minlength=len(self.sizes)) + w[-1]
+
+    def across(self, v: np.ndarray) -> np.ndarray:
+        return np.append(np.bincount(self.at, weights=v[self.row], minlength=self.width), v.sum())
+
+
+def _logistic(x: Sparse, y: np.ndarray, times: np.ndarray, ridge: float = 1.0) -> np.ndarray:
+    """Newton's method, its steps by conjugate gradients, on the ridge-penalised likelihood; the last weight is the
+    constant's, unpenalised."""
+    w, penalty = np.zeros(x.width + 1), np.append(np.full(x.width, ridge), 1e-6)
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-np.clip(x.times(w), -30, 30)))
+        bend = times * p * (1 - p) + 1e-9
+        step, left = np.zeros_like(w), x.across(times * (y - p)) - penalty * w
+        scale = 1 / (x.across(bend) + penalty)  # the diagonal
+        toward, size = scale * left, left @ (scale * left)
+        least = 1e-16 * size
+        for _ in range(400):
+            if size <= least or size == 0:
+                break
+            bent = x.across(bend * x.times(toward)) + penalty * toward
+            far = size / (toward @ bent)
+            step, left = step + far * toward, left - far * bent
+            size, before = left @ (scale * left), size
+            toward = scale * left + size / before * toward
         w += step * min(1.0, 2 / max(1e-9, np.abs(step).max()))
         if np.abs(step).max() < 1e-6:
             break
@@ -208,17 +280,16 @@ def fit(docs: DataFrame, labels: DataFrame, model: np.ndarray, labelled: int = L
         return None
     by = single.select("toxic", F.explode("features").alias("f")).groupBy("f").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
     lift = F.log((F.col("t") + 0.5) / (n_toxic + 1) / ((F.col("c") + 0.5) / (n_clean + 1)))
-    named = by.where((F.col("t") >= LEAST) & (F.col("t") > F.col("c"))).withColumn("lift", lift).where("lift > 1").orderBy(F.desc(F.col("t") * F.col("lift")), "f").limit(CANDIDATES)
-    names = [r.f for r in named.select("f").collect()]
+    named = by.where((F.col("t") >= LEAST) & (F.col("t") > F.col("c"))).withColumn("lift", lift).where("lift > 1").select("f")
+    names = sorted(r.f for r in named.collect())  # of LABELLED texts at most
     if not names:
         return {}, np.array([math.log((n_toxic + 0.5) / (n_clean + 0.5))])
-    kept = single.select("toxic", F.array_intersect("features", F.array(*map(F.lit, names))).alias("features"))
-    rows = [(r.toxic, frozenset(r.features)) for r in kept.collect()]  # the sample's rows, candidates only
-    known, same = {f: k for k, f in enumerate(names)}, Counter(rows)
-    x = np.zeros((len(same), len(names)), np.float32)
-    for i, (_, own) in enumerate(same):
-        x[i, [known[f] for f in own]] = 1
-    return known, _logistic(x, np.array([t for t, _ in same], float), np.array(list(same.values()), float))
+    kept = single.select("toxic", F.explode_outer("features").alias("f"), "text_key").join(F.broadcast(named.withColumn("own", F.col("f"))), "f", "left")
+    kept = kept.groupBy("text_key", "toxic").agg(F.array_sort(F.collect_list("own")).alias("features"))
+    rows = [(r.toxic, tuple(r.features)) for r in kept.collect()]  # LABELLED rows at most, selected features only
+    known, same = {f: k for k, f in enumerate(names)}, sorted(Counter(rows).items())
+    x = Sparse([[known[f] for f in own] for (_, own), _ in same], len(names))
+    return known, _logistic(x, np.array([t for (t, _), _ in same], float), np.array([n for _, n in same], float))
 
 
 def score(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> DataFrame:
