@@ -138,11 +138,13 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
 
 def _price(values: np.ndarray, units: int) -> list[int]:
     """The most valuable multiset of sizes 1..units that fits: unbounded knapsack."""
-    best, last = np.zeros(units + 1), np.zeros(units + 1, int)
+    last = np.zeros(units + 1, int)
+    turned = np.zeros(units + 1)  # the best value of each room, the largest room first, so that sums run side by side
+    sizes, gains = np.ascontiguousarray(values[1:]), np.empty(units)
     for room in range(1, units + 1):
-        gains = values[1 : room + 1] + best[room - 1 :: -1]
-        k = int(gains.argmax())
-        best[room], last[room] = gains[k], k + 1
+        own = np.add(sizes[:room], turned[units - room + 1 :], out=gains[:room])
+        k = int(own.argmax())
+        turned[units - room], last[room] = own[k], k + 1
     out, room = [], units
     while room > 0 and values[last[room]] > 0:
         out.append(int(last[room]))
@@ -150,11 +152,11 @@ def _price(values: np.ndarray, units: int) -> list[int]:
     return out
 
 
-def configurations(counts: np.ndarray, rounds: int = 600, rate: float = 4.0) -> list[tuple[list[int], float]]:
+def configurations(counts: np.ndarray, rounds: int = 200, rate: float = 4.0) -> list[tuple[list[int], float]]:
     """Multiplicative weights on the covering program: min sum x_P with sum_P a_Pu x_P >= counts_u.
 
-    ``counts[u]`` is how many pieces have size u (in units of the capacity over ``len(counts) - 1``).  A size's weight falls
-    by the share of it that is covered; each round adds the configuration that is worth most."""
+    ``counts[u]`` is how many pieces have length u, up to the capacity.  A length's weight falls by the share of it that is
+    covered; each round adds the configuration that is worth most.  What ``rounds`` leave uncovered is for best fit."""
     units, wanted = len(counts) - 1, counts.astype(float)
     present = wanted > 0
     covered, chosen = np.zeros(units + 1), defaultdict(float)
@@ -176,7 +178,7 @@ def configurations(counts: np.ndarray, rounds: int = 600, rate: float = 4.0) ->
     return [(list(p), x) for p, x in chosen.items()]
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY, units: int = 512) -> list[tuple[int, int, int, int, int, int]]:
+def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int, int]]:
     """Runs (length, first rank, sequences, copies per sequence, first sequence, offset) that place every piece.
 
     Rank r of a run's length goes to sequence first + (r - rank) // copies at offset + (r - rank) % copies * length."""
@@ -186,41 +188,25 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, units: int = 512)
     if histogram.get(capacity):
         runs.append((capacity, 0, queue[capacity][1], 1, 0, 0))
         sequences = queue.pop(capacity)[1]
-    unit = 1 if len(queue) <= 24 else -(-capacity // units)  # few lengths: their exact sizes are priced
-    by_size: dict[int, list[int]] = defaultdict(list)
-    for n in sorted(queue):
-        by_size[-(-n // unit)].append(n)  # the longest of a size goes first
-    counts = np.zeros(capacity // unit + 1, int)
-    for u, lengths in by_size.items():
-        if u < len(counts):
-            counts[u] = sum(queue[n][1] for n in lengths)
-    left = counts.copy()
+    counts = np.zeros(capacity + 1, int)
+    for n, (_, there) in queue.items():
+        counts[n] = there
     gaps: dict[int, list[tuple[int, int]]] = defaultdict(list)  # free tokens -> (first sequence, how many)
     for pattern, x in sorted(configurations(counts), key=lambda p: -p[1]):
         kinds, times = np.unique(pattern, return_counts=True)
-        if (m := int(min(x, *(left[u] // a for u, a in zip(kinds, times, strict=True))))) <= 0:
+        if (m := int(min(x, *(queue.get(n, (0, 0))[1] // a for n, a in zip(kinds.tolist(), times.tolist(), strict=True))))) <= 0:
             continue
-        groups = [(sequences, m, 0)]
+        used = 0
+        for n in pattern:
+            rank, there = queue[n]
+            runs.append((n, rank, m, 1, sequences, used))
+            queue[n] = [rank + m, there - m]
+            used += n
+            if there == m:
+                del queue[n]
+        if used < capacity:
+            gaps[capacity - used].append((sequences, m))
         sequences += m
-        for u in pattern:
-            left[u] -= m
-            after = []
-            for first, many, used in groups:
-                while many:
-                    n = by_size[u][-1]
-                    rank, there = queue[n]
-                    take = min(many, there)
-                    runs.append((n, rank, take, 1, first, used))
-                    queue[n] = [rank + take, there - take]
-                    if take == there:
-                        by_size[u].pop()
-                        del queue[n]
-                    after.append((first, take, used + n))
-                    first, many = first + take, many - take
-            groups = after
-        for first, many, used in groups:
-            if used < capacity:
-                gaps[capacity - used].append((first, many))
     rooms = sorted(gaps)
     for n in sorted(queue, reverse=True):  # best fit, longest first
         rank, there = queue[n]

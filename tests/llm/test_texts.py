@@ -99,6 +99,25 @@ def test_plan_is_complete_and_tight(histogram):
         assert len(fill) == 1000  # the program finds the configuration that fits exactly
 
 
+def test_many_lengths_that_fit_in_exact_pairs():
+    histogram = {n: 100 for k in range(20) for n in (2049 + 7 * k, 2047 - 7 * k)}
+    runs = packing.plan(histogram)
+    assert max(first + many for _, _, many, _, first, _ in runs) == 2000
+
+
+def test_pricing_equals_enumeration():
+    rng = np.random.default_rng(3)
+    for _ in range(30):
+        units = int(rng.integers(1, 14))
+        values = np.append(0, rng.random(units) * (rng.random(units) < 0.6))
+
+        def best(room, least=1):
+            return max([0.0] + [values[u] + best(room - u, u) for u in range(least, room + 1) if values[u] > 0])
+
+        own = packing._price(values, units)
+        assert sum(own) <= units and np.isclose(sum(values[u] for u in own), best(units))
+
+
 # ---------------------------------------------------------------- near-duplicates
 
 
