@@ -146,8 +146,9 @@ def _price(values: np.ndarray, units: int) -> list[int]:
         k = int(own.argmax())
         turned[units - room], last[room] = own[k], k + 1
     out, room = [], units
-    while room > 0 and values[last[room]] > 0:
-        out.append(int(last[room]))
+    while room > 0:
+        if values[last[room]] > 0:  # else room that stays empty
+            out.append(int(last[room]))
         room -= last[room]
     return out
 
