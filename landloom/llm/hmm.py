@@ -9,9 +9,12 @@ classes.  A word that training never saw has half a count in its class, as in th
 Documents are first coded into blocks of bounded size, each with a dictionary of its own; a block is one row of a table in
 the shared folder.  Word counts are pre-aggregated per block, summed by word over all blocks and joined back to each block
 by (block, word), so no task ever holds the vocabulary.  Baum-Welch passes read all training texts of the table: each task
-sums its expected counts over its blocks, Spark adds them up, and the driver only divides tables of fixed size.  Training
-texts longer than ``SEGMENT`` tokens are passed in consecutive segments (all of them); scoring never cuts a text.  Only
-the starting point of the passes comes from a bounded sample: ``SAMPLE`` tokens of the first block.
+sums its expected counts over its blocks, Spark adds them up, and the driver only divides tables of fixed size.  No text is
+cut, neither in training nor in scoring.  Training goes through the segments (``SEGMENT`` tokens) of all texts side by
+side: what a segment does to any message is a small matrix, the matrices of a text give the exact forward and backward
+messages at its segments' borders, and from these each segment is passed alone.  The first
+``WARM`` passes read a share of the training texts of every block (one in ``SHARE``, by hash, so it grows with the corpus),
+the last ``PASSES`` all of them.
 
 Rows: null text counts as empty (the end token alone); a null id is in training and not held out; repeated rows count
 each; an empty table gives an empty result; other columns are ignored.
@@ -20,6 +23,7 @@ each; an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -27,11 +31,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import crc_bucket, materialise, partition_id, table
+from ._common import crc_bucket, hashed_parts, materialise, partition_id, table
 
-STATES, CLASSES, PASSES, WARM = 8, 4096, 4, 25
+STATES, CLASSES, PASSES, WARM, SHARE = 8, 4096, 4, 12, 16
 END = CLASSES
-BLOCK_BYTES, SEGMENT, BATCH, SAMPLE = 12 << 20, 256, 2048, 400_000
+BLOCK_BYTES, BATCH, SEGMENT, CHUNK = 12 << 20, 2048, 1024, 2 << 20
 
 
 class _Ids(dict):
@@ -86,74 +90,114 @@ def coded_blocks(docs: DataFrame, fold: int, folds: int) -> DataFrame:
 
 
 class Model:
-    """start, start of a segment, transitions (states x states), emissions (classes x states)."""
+    """start, transitions (states x states), emissions (classes x states)."""
 
-    def __init__(self, start, inside, moves, emits):
-        self.start, self.inside, self.moves, self.emits = start, inside, moves, emits
+    def __init__(self, start, moves, emits):
+        self.start, self.moves, self.emits = start, moves, emits
 
     @staticmethod
     def begin(class_counts: np.ndarray, seed: int = 42) -> Model:
         draw = np.random.default_rng(seed)
         emits = (class_counts + 0.5)[:, None] * np.exp(0.5 * draw.standard_normal((len(class_counts), STATES)))
         moves = np.full((STATES, STATES), 0.1 / (STATES - 1)) + np.eye(STATES) * (0.9 - 0.1 / (STATES - 1))
-        even = np.full(STATES, 1 / STATES)
-        return Model(even, even, moves, emits / emits.sum(0))
+        return Model(np.full(STATES, 1 / STATES), moves, emits / emits.sum(0))
 
     @staticmethod
     def divide(counts: np.ndarray, class_counts: np.ndarray) -> Model:
         """Expected counts, as :func:`expect` lays them out, to probabilities; each class keeps a little of its overall share."""
         k = STATES
         share = (class_counts + 0.5) / (class_counts + 0.5).sum()
-        start, inside, moves, emits = counts[0] + 1e-2, counts[1] + 1e-2, counts[2 : 2 + k] + 1e-2, counts[2 + k :] + share[:, None]
-        return Model(start / start.sum(), inside / inside.sum(), moves / moves.sum(1, keepdims=True), emits / emits.sum(0))
+        start, moves, emits = counts[0] + 1e-2, counts[1 : 1 + k] + 1e-2, counts[1 + k :] + share[:, None]
+        return Model(start / start.sum(), moves / moves.sum(1, keepdims=True), emits / emits.sum(0))
+
+
+def _by_time(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The classes of all sequences, longest first already, as all first ones, all second ones and so on; where each time
+    begins."""
+    lengths = np.array([len(s) for s in sequences])
+    active = np.searchsorted(-lengths, -np.arange(int(lengths[0])), side="left")  # how many are longer than each time
+    begin = np.concatenate([[0], np.cumsum(active)])
+    out = np.empty(int(begin[-1]), np.uint16)
+    for j, s in enumerate(sequences):
+        out[begin[: len(s)] + j] = s
+    return out, begin
+
+
+def _batches(parts: list[np.ndarray], own: list[int]) -> Iterator[list[int]]:
+    """The parts named by ``own``, longest first, at most CHUNK tokens at a time (one part at least)."""
+    batch, size = [], 0
+    for i in sorted(own, key=lambda i: -len(parts[i])):
+        if batch and size + len(parts[i]) > CHUNK:
+            yield batch
+            batch, size = [], 0
+        batch.append(i)
+        size += len(parts[i])
+    if batch:
+        yield batch
+
+
+def _transfers(model: Model, parts: list[np.ndarray], first: list[bool], own: list[int]) -> dict[int, np.ndarray]:
+    """What each part does to the message before it, up to a factor; a first part gives its own message in every row."""
+    out, moves, emits = {}, model.moves.astype(np.float32), model.emits.astype(np.float32)
+    for batch in _batches(parts, own):
+        seen, begin = _by_time([parts[i] for i in batch])
+        a = np.where(np.array([first[i] for i in batch])[:, None, None], model.start.astype(np.float32)[None, None, :], moves[None])
+        for t in range(len(begin) - 1):
+            n = begin[t + 1] - begin[t]
+            after = (a[:n] if t == 0 else (a[:n].reshape(-1, STATES) @ moves).reshape(n, STATES, STATES)) * emits[seen[begin[t] : begin[t + 1]]][:, None, :]
+            a[:n] = after / after.sum((1, 2), keepdims=True)
+        out |= dict(zip(batch, a.astype(float), strict=True))
+    return out
+
+
+def _borders(model: Model, parts: list[np.ndarray], first: list[bool], last: list[bool]) -> tuple[np.ndarray, np.ndarray]:
+    """The forward message before each part (the start for first ones) and the backward message after it."""
+    before, after = np.repeat(model.start[None, :], len(parts), 0), np.ones((len(parts), STATES))
+    step = _transfers(model, parts, first, [i for i in range(len(parts)) if not (first[i] and last[i])])
+    for i in range(len(parts)):
+        if not first[i]:
+            message = step[i - 1][0] if first[i - 1] else before[i - 1] @ step[i - 1]
+            before[i] = message / message.sum()
+    for i in reversed(range(len(parts))):
+        if not last[i]:
+            message = step[i + 1] @ after[i + 1]
+            after[i] = message / (before[i + 1] @ message)
+    return before, after
 
 
 def expect(model: Model, sequences: list[np.ndarray]) -> np.ndarray:
-    """Baum-Welch expected counts of the class sequences: rows start, inside, moves (states), emissions (classes)."""
+    """Baum-Welch expected counts of the whole class sequences: rows start, moves (states), emissions (classes)."""
     k = STATES
-    out = np.zeros((2 + k + CLASSES + 1, k))
-    parts, first = [], []
-    for s in sequences:
-        for at in range(0, len(s), SEGMENT):
-            parts.append(s[at : at + SEGMENT])
-            first.append(at == 0)
-    order = sorted(range(len(parts)), key=lambda i: -len(parts[i]))
+    out, jumps = np.zeros((1 + k + CLASSES + 1, k)), np.zeros((k, k))
+    parts = [s[at : at + SEGMENT] for s in sequences for at in range(0, len(s), SEGMENT)]
+    first = [at == 0 for s in sequences for at in range(0, len(s), SEGMENT)]
+    last = [*first[1:], True]
+    before, after = _borders(model, parts, first, last)
     moves, emits = model.moves.astype(np.float32), model.emits.astype(np.float32)
-    heads = np.stack([model.inside, model.start]).astype(np.float32)
-    for at in range(0, len(order), BATCH):
-        own = order[at : at + BATCH]
-        lengths = np.array([len(parts[i]) for i in own])
-        span, many = int(lengths[0]), len(own)
-        seen = np.zeros((span, many), np.uint16)
-        for j, i in enumerate(own):
-            seen[: lengths[j], j] = parts[i]
-        active = [int(n) for n in np.searchsorted(-lengths, -np.arange(span), side="left")]
-        is_first = np.array([first[i] for i in own])
-        alpha, scale = np.zeros((span, many, k), np.float32), np.ones((span, many), np.float32)
-        a = heads[is_first.astype(int)]
-        for t in range(span):
-            n = active[t]
-            a = (a[:n] if t == 0 else a[:n] @ moves) * emits[seen[t, :n]]
+    for own in _batches(parts, range(len(parts))):
+        seen, begin = _by_time([parts[i] for i in own])
+        starts, came, ends = np.array([first[i] for i in own]), before[own].astype(np.float32), after[own].astype(np.float32)
+        a = np.where(starts[:, None], came, came @ moves)
+        alpha, scale = np.empty((len(seen), k), np.float32), np.empty(len(seen), np.float32)
+        for t in range(len(begin) - 1):
+            at, to = begin[t], begin[t + 1]
+            a = (a if t == 0 else a[: to - at] @ moves) * emits[seen[at:to]]
             c = a.sum(1)
             a /= c[:, None]
-            alpha[t, :n], scale[t, :n] = a, c
-        jumps = np.zeros((k, k))
-        beta = np.ones((active[-1], k), np.float32)
-        for t in range(span - 2, -1, -1):
-            n, after = active[t], active[t + 1]
-            x = beta * emits[seen[t + 1, :after]] / scale[t + 1, :after, None]
-            jumps += alpha[t, :after].T @ x
-            alpha[t + 1, :after] *= beta
-            beta = np.ones((n, k), np.float32)
-            beta[:after] = x @ moves.T
-        alpha[0] *= beta
-        out[2 : 2 + k] += jumps * model.moves
-        out[0] += alpha[0][is_first].sum(0)
-        out[1] += alpha[0][~is_first].sum(0)
-        valid = (np.arange(span)[:, None] < lengths[None, :]).ravel()
-        flat, classes = alpha.reshape(-1, k)[valid], seen.ravel()[valid]
+            alpha[at:to], scale[at:to] = a, c
+        later = np.empty((0, k), np.float32)
+        for t in range(len(begin) - 2, -1, -1):
+            at, to = begin[t], begin[t + 1]
+            back = ends[: to - at].copy()  # of the parts that end here; the others follow what the time after says
+            back[: len(later)] = later @ moves.T
+            jumps += alpha[at : at + len(later)].T @ later
+            later = back * emits[seen[at:to]] / scale[at:to, None]
+            alpha[at:to] *= back
+        jumps += came[~starts].T @ later[~starts]
+        out[0] += alpha[: begin[1]][starts].sum(0)
         for s in range(k):
-            out[2 + k :, s] += np.bincount(classes, weights=flat[:, s], minlength=CLASSES + 1)
+            out[1 + k :, s] += np.bincount(seen, weights=alpha[:, s], minlength=CLASSES + 1)
+    out[1 : 1 + k] = jumps * model.moves
     return out
 
 
@@ -189,19 +233,42 @@ def _sequences(ids: bytes, classes: bytes, lengths: list[int], keep: list[bool]
     return out
 
 
-def _pass(blocks: DataFrame, model: Model) -> np.ndarray:
-    """One Baum-Welch pass over all training texts."""
-    rows = 2 + STATES + CLASSES + 1
+def _shared(blocks: DataFrame) -> DataFrame:
+    """The class sequences of one training text in ``SHARE``, by hash, of every block: (sequences, lengths)."""
+
+    def run(batches):
+        for batch in batches:
+            for doc_ids, ids, classes, lengths, held in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                keep = [not h and zlib.crc32(b"warm %d" % (j if d is None else d)) % SHARE == 0 for j, (d, h) in enumerate(zip(doc_ids, held, strict=True))]
+                if own := _sequences(ids, classes, lengths, keep):
+                    yield pa.RecordBatch.from_arrays([pa.array([np.concatenate(own).tobytes()], pa.binary()), pa.array([[len(s) for s in own]], pa.list_(pa.int32()))], names=["classes", "lengths"])
+
+    return blocks.select("doc_ids", "ids", "classes", "lengths", "held").mapInArrow(run, "classes binary, lengths array<int>")
+
+
+def _training(batch: pa.RecordBatch):
+    """The training sequences of each row of blocks, or of their share."""
+    columns = {n: batch.column(n).to_pylist() for n in batch.schema.names}
+    for j, lengths in enumerate(columns["lengths"]):
+        if "ids" in columns:
+            yield _sequences(columns["ids"][j], columns["classes"][j], lengths, [not h for h in columns["held"][j]])
+        else:
+            yield np.split(np.frombuffer(columns["classes"][j], np.uint16), np.cumsum(lengths)[:-1])
+
+
+def _pass(texts: DataFrame, model: Model) -> np.ndarray:
+    """One Baum-Welch pass over all training texts of blocks, or of their share."""
+    rows = 1 + STATES + CLASSES + 1
 
     def run(batches):
         total = np.zeros((rows, STATES))
         for batch in batches:
-            for ids, classes, lengths, held in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if own := _sequences(ids, classes, lengths, [not h for h in held]):
+            for own in _training(batch):
+                if own:
                     total += expect(model, own)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(rows, dtype=np.int32)), pa.FixedSizeListArray.from_arrays(pa.array(total.ravel()), STATES).cast(pa.list_(pa.float64()))], names=["row", "counts"])
 
-    got = blocks.select("ids", "classes", "lengths", "held").mapInArrow(run, "row int, counts array<double>")
+    got = texts.mapInArrow(run, "row int, counts array<double>")
     out = np.zeros((rows, STATES))
     for r in got.groupBy("row").agg(*(F.sum(F.col("counts")[s]).alias(f"c{s}") for s in range(STATES))).collect():  # classes + states rows
         out[r.row] = r[1:]
@@ -224,17 +291,11 @@ def score(docs: DataFrame, fold: int = 1, folds: int = 5) -> DataFrame:
     tokens, words = int(class_counts.sum()), int(class_words.sum()) + (train_docs > 0)
 
     model = Model.begin(class_counts)
-    if first := blocks.select("ids", "classes", "lengths", "held").where(F.col("block") == (blocks.agg(F.min("block")).first()[0] or 0)).collect():  # one block
-        own, size = [], 0
-        for s in _sequences(first[0].ids, first[0].classes, first[0].lengths, [not h for h in first[0].held]):
-            if size < SAMPLE:
-                own.append(s[: SAMPLE - size])
-                size += len(own[-1])
-        for _ in range(WARM if own else 0):
-            model = Model.divide(expect(model, own), class_counts)
-        del own, first
+    share = materialise(_shared(blocks))
+    for _ in range(0 if share.isEmpty() else WARM):
+        model = Model.divide(_pass(share, model), class_counts)
     for _ in range(PASSES if train_docs else 0):
-        model = Model.divide(_pass(blocks, model), class_counts)
+        model = Model.divide(_pass(blocks.select("ids", "classes", "lengths", "held"), model), class_counts)
 
     base_total, class_total = np.log10(tokens + 0.5 * (words + 1)), np.log10(class_counts + 0.5 * (class_words + 1))
     end_base = np.log10(train_docs + 0.5) - base_total
@@ -254,7 +315,9 @@ def score(docs: DataFrame, fold: int = 1, folds: int = 5) -> DataFrame:
         return pd.concat(out) if out else pd.DataFrame(columns=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     known = flat.select(F.col("block").alias("home"), "id", "word").join(counts, "word").select("home", "id", "c")
-    return blocks.select("block", "doc_ids", "held", "lengths", "ids", "classes").groupBy("block").cogroup(known.groupBy("home")).applyInPandas(rate, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    parts = hashed_parts(spark, blocks.count(), 2)  # a task holds a few blocks, whatever the number of shuffle partitions
+    own = blocks.select("block", "doc_ids", "held", "lengths", "ids", "classes").repartition(parts, "block")
+    return own.groupBy("block").cogroup(known.repartition(parts, "home").groupBy("home")).applyInPandas(rate, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -284,7 +284,7 @@ def test_forward_equals_enumeration():
     rng = np.random.default_rng(1)
     k = hmm.STATES
     emits = rng.random((hmm.CLASSES + 1, k))
-    model = hmm.Model(rng.dirichlet(np.ones(k)), np.ones(k) / k, rng.dirichlet(np.ones(k), k), emits / emits.sum(0))
+    model = hmm.Model(rng.dirichlet(np.ones(k)), rng.dirichlet(np.ones(k), k), emits / emits.sum(0))
     seqs = [np.array([3, 5, hmm.END], np.uint16), np.array([hmm.END], np.uint16), np.array([7, 7, 7, 2, hmm.END], np.uint16)]
     for s, got in zip(seqs, hmm.log_likelihood(model, seqs)):
         a = model.start * model.emits[s[0]]
@@ -300,11 +300,11 @@ def test_training_raises_the_likelihood():
     model, last = hmm.Model.begin(counts), -np.inf
     for _ in range(8):
         now = hmm.log_likelihood(model, seqs).sum()
-        assert now > last - 1.0
+        assert now > last - 1e-3 * abs(last) / 100
         last = now
         model = hmm.Model.divide(hmm.expect(model, seqs), counts)
     counted = hmm.expect(model, seqs)
-    assert abs(counted[2 + hmm.STATES :].sum() - sum(map(len, seqs))) < 1
+    assert abs(counted[1 + hmm.STATES :].sum() - sum(map(len, seqs))) < 1
 
 
 # ---------------------------------------------------------------- toxicity
