@@ -236,8 +236,9 @@ def nach(choice: Column, td: Column) -> Column:
 def close_roads(polys: DataFrame, poly_nodes: DataFrame, nodes: DataFrame, main: int = 3, rounds: int = 15) -> DataFrame:
     """Main-road closure.  polys(city, pid, grade, name, length, alive); nodes has boundary.
 
-    At a node where one main road ends though other roads lead on (not at the boundary, not a dead end), the best of those
-    joins: the best grade, then the same name, then the shortest; at most one grade below.  The nodes of a round are fixed
+    At a node where one main road ends though other roads lead on (not at the boundary, not a dead end), the best of the
+    main roads among those joins: the best grade, then the same name (empty ones differ), then the shortest; at most one
+    grade below.  The nodes of a round are fixed
     when it begins, but what one node takes is no longer there for the next.  A city's network is the unit."""
 
     def run(p: pd.DataFrame, n: pd.DataFrame) -> pd.DataFrame:
@@ -256,9 +257,9 @@ def close_roads(polys: DataFrame, poly_nodes: DataFrame, nodes: DataFrame, main:
                     broken.append((node, here[0]))
             added = 0
             for node, ref in broken:
-                want = [q for q in at[node] if q not in alive and rows[q].grade <= rows[ref].grade + 1]
+                want = [q for q in at[node] if q not in alive and rows[q].grade <= min(main, rows[ref].grade + 1)]
                 if want:
-                    alive.add(min(want, key=lambda q: (rows[q].grade, rows[q].name != rows[ref].name, rows[q].length, q)))
+                    alive.add(min(want, key=lambda q: (rows[q].grade, not rows[q].name or rows[q].name != rows[ref].name, rows[q].length, q)))
                     added += 1
             if not added:
                 break

@@ -130,9 +130,9 @@ MOVES = """moves AS (SELECT * FROM (SELECT user_id AS city, CAST(day(ts) AS INT)
 # ---------------------------------------------------------------- polylines
 
 
-def vertices(spark: SparkSession, sf: str, every: int = 1) -> DataFrame:
+def vertices(spark: SparkSession, sf: str) -> DataFrame:
     """pid, k (from 0), x, y: the points of each order's polyline."""
-    line = read(spark, sf, "lineitem").where(F.col("l_orderkey") % every == 0)
+    line = read(spark, sf, "lineitem")
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
     return line.select(F.col("l_orderkey").alias("pid"), (F.row_number().over(order) - 1).cast("int").alias("k"), (F.col("l_partkey") % 64).cast("int").alias("x"), (F.col("l_suppkey") % 64).cast("int").alias("y"))
 

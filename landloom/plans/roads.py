@@ -10,20 +10,57 @@ from .base import VERTICES, read, vertices
 from .registry import query
 
 C = F.col
-_SOME = VERTICES.replace("FROM lineitem)", "FROM lineitem WHERE l_orderkey % 10 = 0)")
+#: Cities lie side by side, further apart than any polyline or search radius of one city's board reaches.
+_APART = 1000
+_CITY_OF = "home AS (SELECT o_orderkey AS pid, CAST(coalesce(min(c_nationkey), -1) AS INT) AS city FROM orders LEFT JOIN customer ON c_custkey = o_custkey GROUP BY 1)"
+_CITY = (
+    VERTICES.replace("v AS (", "own AS (", 1) + f", {_CITY_OF}, "
+    f"v AS (SELECT coalesce(city, -1) AS city, own.pid, k, x + {_APART} * coalesce(city, -1) AS x, y FROM own LEFT JOIN home ON home.pid = own.pid)"
+)
 _STEPS = ", s AS (SELECT * FROM (SELECT pid, k, CAST(x AS DOUBLE) AS x0, CAST(y AS DOUBLE) AS y0, CAST(lead(x) OVER w AS DOUBLE) AS x1, CAST(lead(y) OVER w AS DOUBLE) AS y1 FROM v WINDOW w AS (PARTITION BY pid ORDER BY k)) WHERE x1 IS NOT NULL), l AS (SELECT *, sqrt((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0)) AS len FROM s)"
 _ARCS = _STEPS + ", a AS (SELECT *, sum(len) OVER (PARTITION BY pid ORDER BY k) - len AS before, sum(len) OVER (PARTITION BY pid) AS total FROM l)"
 _ENDS = ", e AS (SELECT pid * 2 AS eid, pid, x, y FROM v WHERE k = 0 AND pid IN (SELECT pid FROM v GROUP BY 1 HAVING count(*) > 1) UNION ALL SELECT pid * 2 + 1, pid, arg_max(x, k), arg_max(y, k) FROM v GROUP BY pid HAVING count(*) > 1)"
-_NODES = "RECURSIVE " + _SOME + _ENDS + ", n AS (SELECT a.eid AS a, b.eid AS b FROM e a JOIN e b ON a.eid <> b.eid AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 0.09), w AS (SELECT eid, eid AS root FROM e UNION SELECT n.b, w.root FROM w JOIN n ON n.a = w.eid), q AS (SELECT eid, min(root) AS nid FROM w GROUP BY 1), m AS (SELECT q.nid, e.* FROM e JOIN q USING (eid)), pn AS (SELECT a.pid, a.nid AS na, b.nid AS nb FROM m a JOIN m b ON a.pid = b.pid AND a.eid % 2 = 0 AND b.eid % 2 = 1)"
 
 
-def _some(spark, sf):
-    return vertices(spark, sf, every=10)
+def _reach_sql(name: str, start: str, edges: str) -> str:
+    """name(id, root): the smallest id that edges(a, b), in both directions, lead to from each id of start."""
+    return (
+        f"{name}(id, root) USING KEY (id) AS (SELECT id, id FROM ({start}) UNION (SELECT e.b, min(w.root) FROM {name} w JOIN {edges} e ON e.a = w.id "
+        f"JOIN recurring.{name} k ON k.id = e.b WHERE w.root < k.root GROUP BY e.b))"
+    )
+
+
+def _nodes_sql(radius: float) -> str:
+    """The ends of all polylines merged within the radius (under 2): places are whole numbers, so partners are at most a step away."""
+    return (
+        f"RECURSIVE {_CITY}{_ENDS}, place AS (SELECT x, y, min(eid) AS eid FROM e GROUP BY 1, 2), "
+        f"beside AS (SELECT p.eid AS a, n.eid AS b FROM place p CROSS JOIN range(-1, 2) i CROSS JOIN range(-1, 2) j JOIN place n ON n.x = p.x + i.range AND n.y = p.y + j.range "
+        f"WHERE n.eid <> p.eid AND (n.x - p.x) * (n.x - p.x) + (n.y - p.y) * (n.y - p.y) <= {radius * radius}), "
+        + _reach_sql("merged", "SELECT eid AS id FROM place", "beside")
+        + ", m AS (SELECT root AS nid, e.* FROM e JOIN place ON place.x = e.x AND place.y = e.y JOIN merged ON merged.id = place.eid), "
+        "pn AS (SELECT a.pid, a.nid AS na, b.nid AS nb FROM m a JOIN m b ON a.pid = b.pid AND a.eid % 2 = 0 AND b.eid % 2 = 1)"
+    )
+
+
+_NODES = _nodes_sql(0.3)
+
+
+def _city_of(spark, sf):
+    """pid, city: the nation of the customer of every order; -1 where there is none."""
+    orders, customer = read(spark, sf, "orders"), read(spark, sf, "customer")
+    home = orders.select(C("o_orderkey").alias("pid"), "o_custkey").join(customer.select(C("c_custkey").alias("o_custkey"), "c_nationkey"), "o_custkey", "left")
+    return home.groupBy("pid").agg(F.coalesce(F.min("c_nationkey"), F.lit(-1)).cast("int").alias("city"))
+
+
+def _city_vertices(spark, sf):
+    """city and the vertices of all orders; no two cities share a node."""
+    own = vertices(spark, sf).join(_city_of(spark, sf), "pid", "left").withColumn("city", F.coalesce("city", F.lit(-1)))
+    return own.select("city", "pid", "k", (C("x") + C("city") * _APART).alias("x"), "y")
 
 
-@query(f"WITH {_SOME}{_STEPS}, p AS (SELECT pid, x0, y0, x1, y1, i.range AS i, greatest(CAST(trunc(len) AS INT) * 3, 3) AS n FROM l, LATERAL range(greatest(CAST(trunc(len) AS INT) * 3, 3)) i) SELECT DISTINCT pid, CAST(round_even(y0 + (y1 - y0) * (CAST(i AS DOUBLE) / (n - 1)), 0) AS INT) AS r, CAST(round_even(x0 + (x1 - x0) * (CAST(i AS DOUBLE) / (n - 1)), 0) AS INT) AS c FROM p")
+@query(f"WITH {VERTICES}{_STEPS}, p AS (SELECT pid, x0, y0, x1, y1, i.range AS i, greatest(CAST(trunc(len) AS INT) * 3, 3) AS n FROM l, LATERAL range(greatest(CAST(trunc(len) AS INT) * 3, 3)) i) SELECT DISTINCT pid, CAST(round_even(y0 + (y1 - y0) * (CAST(i AS DOUBLE) / (n - 1)), 0) AS INT) AS r, CAST(round_even(x0 + (x1 - x0) * (CAST(i AS DOUBLE) / (n - 1)), 0) AS INT) AS c FROM p")
 def line_rasterise(spark, sf):
-    return N.rasterise(_some(spark, sf), 64, 64)
+    return N.rasterise(vertices(spark, sf), 64, 64)
 
 
 @query(f"WITH {VERTICES}{_STEPS} SELECT pid, k, round(len, 6) AS len, round(sum(len) OVER (PARTITION BY pid ORDER BY k), 6) AS through FROM l")
@@ -39,69 +76,81 @@ def arc_midpoint(spark, sf):
     return N.along(own, half).select("pid", F.round("x", 5).alias("x"), F.round("y", 5).alias("y"))
 
 
-@query(f"WITH {_SOME}{_ARCS}, t AS (SELECT pid, max(total) AS total, greatest(5, least(200, CAST(trunc(max(total)) AS INT))) AS n FROM a GROUP BY 1 HAVING max(total) >= 1), d AS (SELECT pid, i.range AS i, CASE WHEN i.range = n - 1 THEN total - 1e-9::DOUBLE ELSE i.range * total / (n - 1) END AS d FROM t, LATERAL range(n) i), f AS (SELECT d.pid, d.i, d.d, a.*, row_number() OVER (PARTITION BY d.pid, d.i ORDER BY k) AS j FROM d JOIN a ON a.pid = d.pid AND len > 0 AND d.d >= before AND d.d <= before + len), x AS (SELECT pid, CAST(round_even(x0 + (x1 - x0) * ((d - before) / len), 0) AS INT) AS c, CAST(round_even(y0 + (y1 - y0) * ((d - before) / len), 0) AS INT) AS r FROM f WHERE j = 1), h AS (SELECT pid, avg(CASE WHEN (r + c) % 2 = 0 AND r BETWEEN 0 AND 63 AND c BETWEEN 0 AND 63 THEN 1.0 ELSE 0.0 END) AS hit FROM x GROUP BY 1) SELECT v.pid, round(coalesce(max(hit), 0), 4) AS hit FROM v LEFT JOIN h ON h.pid = v.pid GROUP BY 1")
+@query(f"WITH {VERTICES}{_ARCS}, t AS (SELECT pid, max(total) AS total, greatest(5, least(200, CAST(trunc(max(total)) AS INT))) AS n FROM a GROUP BY 1 HAVING max(total) >= 1), d AS (SELECT pid, i.range AS i, CASE WHEN i.range = n - 1 THEN total - 1e-9::DOUBLE ELSE i.range * total / (n - 1) END AS d FROM t, LATERAL range(n) i), f AS (SELECT d.pid, d.i, d.d, a.*, row_number() OVER (PARTITION BY d.pid, d.i ORDER BY k) AS j FROM d JOIN a ON a.pid = d.pid AND len > 0 AND d.d >= before AND d.d <= before + len), x AS (SELECT pid, CAST(round_even(x0 + (x1 - x0) * ((d - before) / len), 0) AS INT) AS c, CAST(round_even(y0 + (y1 - y0) * ((d - before) / len), 0) AS INT) AS r FROM f WHERE j = 1), h AS (SELECT pid, avg(CASE WHEN (r + c) % 2 = 0 AND r BETWEEN 0 AND 63 AND c BETWEEN 0 AND 63 THEN 1.0 ELSE 0.0 END) AS hit FROM x GROUP BY 1) SELECT v.pid, round(coalesce(max(hit), 0), 4) AS hit FROM v LEFT JOIN h ON h.pid = v.pid GROUP BY 1")
 def line_hit_ratio(spark, sf):
     from ..operators.cells import spine
 
     board = spine(spark, 64, 64).where((C("r") + C("c")) % 2 == 0)
-    return N.hit_ratio(_some(spark, sf), board).select("pid", F.round("hit", 4).alias("hit"))
+    return N.hit_ratio(vertices(spark, sf), board).select("pid", F.round("hit", 4).alias("hit"))
 
 
 @query(f"WITH {_NODES} SELECT nid, round(avg(x), 6) AS x, round(avg(y), 6) AS y, count(DISTINCT pid) AS degree FROM m GROUP BY 1")
 def endpoint_topology(spark, sf):
-    nodes, _ = N.topology(_some(spark, sf), 0.3)
+    nodes, _ = N.topology(_city_vertices(spark, sf), 0.3)
     return nodes.select("nid", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), "degree")
 
 
-@query(f"WITH {_SOME}{_ENDS}, p AS (SELECT x, y, min(eid) AS eid FROM e GROUP BY 1, 2) SELECT least(a.eid, b.eid) AS a, greatest(a.eid, b.eid) AS b FROM p a JOIN p b ON a.eid < b.eid AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 2.25 UNION ALL SELECT p.eid, e.eid FROM e JOIN p ON e.x = p.x AND e.y = p.y AND e.eid <> p.eid")
+@query(f"WITH {_nodes_sql(1.5)} SELECT a, b FROM beside WHERE a < b UNION ALL SELECT place.eid, e.eid FROM e JOIN place ON e.x = place.x AND e.y = place.y AND e.eid <> place.eid")
 def distance_join(spark, sf):
-    return N.within(N.endpoints(_some(spark, sf)).select("eid", "x", "y"), 1.5)
+    return N.within(N.endpoints(_city_vertices(spark, sf)).select("eid", "x", "y"), 1.5)
+
 
+_LINKED = _nodes_sql(1.5) + ", line AS (SELECT na AS a, nb AS b FROM pn UNION SELECT nb, na FROM pn), " + _reach_sql("joined", "SELECT a AS id FROM line", "line")
 
-@query(f"WITH {_NODES}, ed AS (SELECT na AS a, nb AS b FROM pn UNION SELECT nb, na FROM pn), cw AS (SELECT DISTINCT na AS id, na AS root FROM pn UNION SELECT ed.b, cw.root FROM cw JOIN ed ON ed.a = cw.id), cc AS (SELECT id, min(root) AS comp FROM (SELECT * FROM cw UNION SELECT nb, nb FROM pn) GROUP BY 1), z AS (SELECT pid, comp FROM pn JOIN cc ON cc.id = na) SELECT pid, comp AS component FROM z WHERE comp = (SELECT comp FROM z GROUP BY 1 ORDER BY count(*) DESC, comp LIMIT 1)".replace(_SOME, _SOME.replace("% 10 = 0", "% 100 = 0")))
+
+@query(f"WITH {_LINKED}, z AS (SELECT pid, root AS component FROM pn JOIN joined ON joined.id = na) SELECT pid, component FROM z WHERE component = (SELECT component FROM z GROUP BY 1 ORDER BY count(*) DESC, component LIMIT 1)")
 def largest_component(spark, sf):
-    _, poly_nodes = N.topology(vertices(spark, sf, every=100), 0.3)
+    _, poly_nodes = N.topology(_city_vertices(spark, sf), 1.5)
     return N.largest_component(poly_nodes)
 
 
-@query(f"WITH {_NODES}, b AS (SELECT nid, avg(x) AS x, avg(y) AS y, count(DISTINCT pid) AS degree FROM m GROUP BY 1) SELECT nid, degree, x <= 2 OR y <= 2 OR x >= 61 OR y >= 61 AS boundary, degree = 1 AS dead_end FROM b")
+_EDGE = f"(((x % {_APART}) + {_APART}) % {_APART} <= 2 OR y <= 2 OR ((x % {_APART}) + {_APART}) % {_APART} >= 61 OR y >= 61)"
+
+
+def _at_edge(x):
+    return (F.pmod(x, F.lit(_APART)) <= 2) | (C("y") <= 2) | (F.pmod(x, F.lit(_APART)) >= 61) | (C("y") >= 61)
+
+
+@query(f"WITH {_NODES}, b AS (SELECT nid, avg(x) AS x, avg(y) AS y, count(DISTINCT pid) AS degree FROM m GROUP BY 1) SELECT nid, degree, {_EDGE} AS boundary, degree = 1 AS dead_end FROM b")
 def boundary_nodes(spark, sf):
-    nodes, _ = N.topology(_some(spark, sf), 0.3)
-    return nodes.select("nid", "degree", ((C("x") <= 2) | (C("y") <= 2) | (C("x") >= 61) | (C("y") >= 61)).alias("boundary"), (C("degree") == 1).alias("dead_end"))
+    nodes, _ = N.topology(_city_vertices(spark, sf), 0.3)
+    return nodes.select("nid", "degree", _at_edge(C("x")).alias("boundary"), (C("degree") == 1).alias("dead_end"))
 
 
 _SEG = ", per AS (SELECT pid, count(*) - 1 AS parts FROM v GROUP BY 1), len AS (SELECT pid, max(total) AS total FROM a GROUP BY 1), dir AS (SELECT v.pid, max(CASE WHEN k = 0 THEN x END) ax, max(CASE WHEN k = 0 THEN y END) ay, max(CASE WHEN k = least(3, parts) THEN x END) a1x, max(CASE WHEN k = least(3, parts) THEN y END) a1y, max(CASE WHEN k = parts THEN x END) bx, max(CASE WHEN k = parts THEN y END) by_, max(CASE WHEN k = parts - least(3, parts) THEN x END) b1x, max(CASE WHEN k = parts - least(3, parts) THEN y END) b1y FROM v JOIN per ON per.pid = v.pid GROUP BY 1), sd AS (SELECT pn.pid, total, na AS n, a1x - ax AS dx, a1y - ay AS dy FROM pn JOIN dir USING (pid) JOIN len USING (pid) WHERE na <> nb AND total > 0 UNION ALL SELECT pn.pid, total, nb, b1x - bx, b1y - by_ FROM pn JOIN dir USING (pid) JOIN len USING (pid) WHERE na <> nb AND total > 0), ae AS (SELECT a.pid AS src, b.pid AS dst, min((180 - degrees(acos(greatest(-1, least(1, CAST(a.dx * b.dx + a.dy * b.dy AS DOUBLE) / (sqrt(CAST(a.dx * a.dx + a.dy * a.dy AS DOUBLE)) * sqrt(CAST(b.dx * b.dx + b.dy * b.dy AS DOUBLE)))))))) / 90) AS ang, min((a.total + b.total) / 2) AS geo FROM sd a JOIN sd b ON a.n = b.n AND a.pid < b.pid WHERE (a.dx <> 0 OR a.dy <> 0) AND (b.dx <> 0 OR b.dy <> 0) GROUP BY 1, 2)"
 
 
-def _graph(spark, sf, every=10):
-    own = vertices(spark, sf, every=every)
+def _cities(spark, sf):
+    """Nodes, ends, segments and edges of all orders' polylines, each city a graph of its own."""
+    own = _city_vertices(spark, sf)
     nodes, poly_nodes = N.topology(own, 0.3)
-    segs = N.segments(own)
-    return nodes, poly_nodes, segs, N.angular_edges(segs, poly_nodes)
+    home = own.select("pid", "city").distinct()
+    segs = N.segments(own).join(home, "pid")
+    return nodes, poly_nodes, segs, N.angular_edges(segs, poly_nodes).join(home.withColumnRenamed("pid", "src"), "src")
 
 
 @query(f"WITH {_NODES}{_ARCS}{_SEG} SELECT src, dst, round(ang, 4) AS ang, round(geo, 5) AS geo FROM ae")
 def angular_edges(spark, sf):
-    return _graph(spark, sf)[3].select("src", "dst", F.round("ang", 4).alias("ang"), F.round("geo", 5).alias("geo"))
+    return _cities(spark, sf)[3].select("src", "dst", F.round("ang", 4).alias("ang"), F.round("geo", 5).alias("geo"))
 
 
 @query(f"WITH {_NODES}{_ARCS}{_SEG} SELECT count(*) FILTER (WHERE ang < 0.499999) AS straight, count(*) FILTER (WHERE ang >= 0.499999 AND ang < 1.499999) AS turning, count(*) FILTER (WHERE ang >= 1.499999) AS back FROM ae")
 def cost_bins(spark, sf):
     a = C("ang")
-    return _graph(spark, sf)[3].agg(F.count_if(a < 0.499999).alias("straight"), F.count_if((a >= 0.499999) & (a < 1.499999)).alias("turning"), F.count_if(a >= 1.499999).alias("back"))
+    return _cities(spark, sf)[3].agg(F.count_if(a < 0.499999).alias("straight"), F.count_if((a >= 0.499999) & (a < 1.499999)).alias("turning"), F.count_if(a >= 1.499999).alias("back"))
 
 
-@query(f"WITH {_SOME}{_STEPS}, p AS (SELECT pid, x0, y0, x1, y1, i.range AS i, greatest(CAST(trunc(len) AS INT) * 3, 3) AS n FROM l, LATERAL range(greatest(CAST(trunc(len) AS INT) * 3, 3)) i), px AS (SELECT DISTINCT pid, CAST(round_even(y0 + (y1 - y0) * (CAST(i AS DOUBLE) / (n - 1)), 0) AS INT) AS r, CAST(round_even(x0 + (x1 - x0) * (CAST(i AS DOUBLE) / (n - 1)), 0) AS INT) AS c FROM p) SELECT DISTINCT CAST((r + a.range) * 64 + c + b.range AS BIGINT) AS cell, pid FROM px, range(-1, 2) a, range(-1, 2) b WHERE r + a.range BETWEEN 0 AND 63 AND c + b.range BETWEEN 0 AND 63")
+@query(f"WITH {VERTICES}{_STEPS}, p AS (SELECT pid, x0, y0, x1, y1, i.range AS i, greatest(CAST(trunc(len) AS INT) * 3, 3) AS n FROM l, LATERAL range(greatest(CAST(trunc(len) AS INT) * 3, 3)) i), px AS (SELECT DISTINCT pid, CAST(round_even(y0 + (y1 - y0) * (CAST(i AS DOUBLE) / (n - 1)), 0) AS INT) AS r, CAST(round_even(x0 + (x1 - x0) * (CAST(i AS DOUBLE) / (n - 1)), 0) AS INT) AS c FROM p) SELECT DISTINCT CAST((r + a.range) * 64 + c + b.range AS BIGINT) AS cell, pid FROM px, range(-1, 2) a, range(-1, 2) b WHERE r + a.range BETWEEN 0 AND 63 AND c + b.range BETWEEN 0 AND 63")
 def cell_links(spark, sf):
-    return N.cell_links(N.rasterise(_some(spark, sf), 64, 64), 64, 64)
+    return N.cell_links(N.rasterise(vertices(spark, sf), 64, 64), 64, 64)
 
 
-_PX = f"{_SOME}{_STEPS}, p AS (SELECT pid, x0, y0, x1, y1, i.range AS i, greatest(CAST(trunc(len) AS INT) * 2, 3) AS n FROM l, LATERAL range(greatest(CAST(trunc(len) AS INT) * 2, 3)) i), px AS (SELECT DISTINCT pid, CAST(round_even(y0 + (y1 - y0) * (CAST(i AS DOUBLE) / (n - 1)), 0) AS INT) AS r, CAST(round_even(x0 + (x1 - x0) * (CAST(i AS DOUBLE) / (n - 1)), 0) AS INT) AS c FROM p)"
+_PX = f"{VERTICES}{_STEPS}, p AS (SELECT pid, x0, y0, x1, y1, i.range AS i, greatest(CAST(trunc(len) AS INT) * 2, 3) AS n FROM l, LATERAL range(greatest(CAST(trunc(len) AS INT) * 2, 3)) i), px AS (SELECT DISTINCT pid, CAST(round_even(y0 + (y1 - y0) * (CAST(i AS DOUBLE) / (n - 1)), 0) AS INT) AS r, CAST(round_even(x0 + (x1 - x0) * (CAST(i AS DOUBLE) / (n - 1)), 0) AS INT) AS c FROM p)"
 
 
 @query(f"WITH {_PX} SELECT r, c, max(pid) AS value, count(*) AS presence FROM px GROUP BY 1, 2")
 def scatter_max(spark, sf):
-    return N.rasterise(_some(spark, sf), 64, 64, per=2).groupBy("r", "c").agg(F.max("pid").alias("value"), F.count("*").alias("presence"))
+    return N.rasterise(vertices(spark, sf), 64, 64, per=2).groupBy("r", "c").agg(F.max("pid").alias("value"), F.count("*").alias("presence"))
 
 
 def _kernel_sql(sigma):
@@ -109,42 +158,17 @@ def _kernel_sql(sigma):
 
 
 @query(
-    f"WITH pt AS (SELECT CAST(l_partkey % 64 AS INT) AS r, CAST(l_suppkey % 64 AS INT) AS c, CAST(max(l_orderkey % 100) AS DOUBLE) AS v FROM lineitem WHERE l_orderkey % 50 = 0 GROUP BY 1, 2), {_kernel_sql(1.5)}, h AS (SELECT q.q + d AS r, c, sum(v * w) AS v, sum(w) AS p FROM (SELECT unnest([r, -r - 1, 127 - r]) AS q, c, v FROM pt) q, kn WHERE q.q + d BETWEEN 0 AND 63 GROUP BY 1, 2), g AS (SELECT r, q.q + d AS c, sum(v * w) AS v, sum(p * w) AS p FROM (SELECT r, unnest([c, -c - 1, 127 - c]) AS q, v, p FROM h) q, kn WHERE q.q + d BETWEEN 0 AND 63 GROUP BY 1, 2) SELECT CAST(r AS INT) AS r, CAST(c AS INT) AS c, round(CASE WHEN p > 1e-9 THEN v / p ELSE 0 END, 6) AS value FROM g"
+    f"WITH pt AS (SELECT CAST(l_partkey % 64 AS INT) AS r, CAST(l_suppkey % 64 AS INT) AS c, CAST(max(l_orderkey % 100) AS DOUBLE) AS v FROM lineitem GROUP BY 1, 2), {_kernel_sql(5.0)}, h AS (SELECT q.q + d AS r, c, sum(v * w) AS v, sum(w) AS p FROM (SELECT unnest([r, -r - 1, 127 - r]) AS q, c, v FROM pt) q, kn WHERE q.q + d BETWEEN 0 AND 63 GROUP BY 1, 2), g AS (SELECT r, q.q + d AS c, sum(v * w) AS v, sum(p * w) AS p FROM (SELECT r, unnest([c, -c - 1, 127 - c]) AS q, v, p FROM h) q, kn WHERE q.q + d BETWEEN 0 AND 63 GROUP BY 1, 2) SELECT CAST(r AS INT) AS r, CAST(c AS INT) AS c, round(CASE WHEN p > 1e-9 THEN v / p ELSE 0 END, 6) AS value FROM g"
 )
 def gaussian_diffuse(spark, sf):
-    line = read(spark, sf, "lineitem").where("l_orderkey % 50 = 0")
-    points = line.groupBy((C("l_partkey") % 64).cast("int").alias("r"), (C("l_suppkey") % 64).cast("int").alias("c")).agg(F.max(C("l_orderkey") % 100).cast("double").alias("value"))
-    return focal.diffuse(points.withColumn("year", F.lit(0)), "value", 64, 64, 1.5).select("r", "c", F.round("value", 6).alias("value"))
+    points = read(spark, sf, "lineitem").groupBy((C("l_partkey") % 64).cast("int").alias("r"), (C("l_suppkey") % 64).cast("int").alias("c")).agg(F.max(C("l_orderkey") % 100).cast("double").alias("value"))
+    return focal.diffuse(points.withColumn("year", F.lit(0)), "value", 64, 64, 5.0).select("r", "c", F.round("value", 6).alias("value"))
 
 
-#: Cities lie side by side, further apart than any polyline or search radius of one city's board reaches.
-_APART = 1000
 #: More sources than a city has segments: betweenness is not sampled.
 _ALL = 1 << 31
 
 
-def _city_of(spark, sf):
-    """pid, city: the nation of the customer of every order; -1 where there is none."""
-    orders, customer = read(spark, sf, "orders"), read(spark, sf, "customer")
-    home = orders.select(C("o_orderkey").alias("pid"), "o_custkey").join(customer.select(C("c_custkey").alias("o_custkey"), "c_nationkey"), "o_custkey", "left")
-    return home.groupBy("pid").agg(F.coalesce(F.min("c_nationkey"), F.lit(-1)).cast("int").alias("city"))
-
-
-def _city_vertices(spark, sf):
-    """city and the vertices of all orders; no two cities share a node."""
-    own = vertices(spark, sf).join(_city_of(spark, sf), "pid", "left").withColumn("city", F.coalesce("city", F.lit(-1)))
-    return own.select("city", "pid", "k", (C("x") + C("city") * _APART).alias("x"), "y")
-
-
-def _cities(spark, sf):
-    """Nodes, ends, segments and edges of all orders' polylines, each city a graph of its own."""
-    own = _city_vertices(spark, sf)
-    nodes, poly_nodes = N.topology(own, 0.3)
-    home = own.select("pid", "city").distinct()
-    segs = N.segments(own).join(home, "pid")
-    return nodes, poly_nodes, segs, N.angular_edges(segs, poly_nodes).join(home.withColumnRenamed("pid", "src"), "src")
-
-
 @query()
 def graph_metrics(spark, sf):
     _, _, segs, edges = _cities(spark, sf)
@@ -173,6 +197,4 @@ def syntax_wide(spark, sf):
 def road_closure(spark, sf):
     nodes, poly_nodes, segs, _ = _cities(spark, sf)
     polys = segs.select("city", "pid", (C("pid") % 7).cast("int").alias("grade"), (C("pid") % 11).cast("string").alias("name"), "length", (C("pid") % 3 != 0).alias("alive"))
-    x = F.pmod("x", F.lit(_APART))
-    edge = (x <= 2) | (C("y") <= 2) | (x >= 61) | (C("y") >= 61)
-    return N.close_roads(polys, poly_nodes, nodes.withColumn("boundary", edge))
+    return N.close_roads(polys, poly_nodes, nodes.withColumn("boundary", _at_edge(C("x"))))

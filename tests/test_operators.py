@@ -204,3 +204,14 @@ def test_nothing_in_the_library_imports_the_optional_part():
     for p in root.rglob("*.py"):
         if "llm" not in p.parts[len(root.parts) :][0]:
             assert not re.search(r"import .*\bllm\b|from .*\bllm\b", p.read_text()), p
+
+
+def test_road_closure_takes_main_roads_and_real_names_only(spark):
+    # at node 11 a grade-3 main road ends: grade 4 is no main road; at 21 the shorter of two nameless roads joins, as no name is shared
+    polys = spark.createDataFrame(
+        [(0, 1, 3, "a", 5.0, True), (0, 2, 4, "a", 1.0, False), (1, 3, 2, "", 5.0, True), (1, 4, 3, "", 9.0, False), (1, 5, 3, "x", 2.0, False)],
+        "city int, pid long, grade int, name string, length double, alive boolean",
+    )
+    ends = spark.createDataFrame([(1, 10, 11), (2, 11, 12), (3, 20, 21), (4, 21, 22), (5, 21, 23)], "pid long, na long, nb long")
+    nodes = spark.createDataFrame([(n, n in (10, 20)) for n in (10, 11, 12, 20, 21, 22, 23)], "nid long, boundary boolean")
+    assert {r.pid for r in roads.close_roads(polys, ends, nodes, main=3).collect() if r.added} == {5}
