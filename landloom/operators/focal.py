@@ -11,6 +11,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .components import grid_components
+
 
 def box(cells: DataFrame, columns: Sequence[str], radii: Sequence[int], group: Sequence[str] = ("year",), how=F.sum) -> DataFrame:
     """``{column}_{k}`` for each radius k: the aggregate over the (2k+1) x (2k+1) box; what is off the grid adds nothing."""
@@ -49,11 +51,12 @@ def neighbourhood(cells: DataFrame, radii: Sequence[int], group: Sequence[str] =
     return summed.select(*group, "r", "c", *(v.alias(n) for n, v in out.items()))
 
 
-def functional(cells: DataFrame, radii: Sequence[int], group: Sequence[str] = ("year",), classes: int = 7) -> DataFrame:
-    """Per radius: entropy, purity (largest less second share), built-up share and boundary (one less the largest share)."""
+def functional(cells: DataFrame, radii: Sequence[int], rows: int, cols: int, group: str = "year", classes: int = 7) -> DataFrame:
+    """Per radius entropy, purity (largest less second share), built-up share and boundary (one less the largest share);
+    then the log of one more than the size of the cell's cluster of its class, and its neighbours of another class."""
     names = [f"c{k}" for k in range(classes)]
-    hot = cells.select(*group, "r", "c", *((F.col("lu") == k).cast("int").alias(n) for k, n in enumerate(names)))
-    summed = box(hot, names, radii, group)
+    hot = cells.select(group, "r", "c", *((F.col("lu") == k).cast("int").alias(n) for k, n in enumerate(names)))
+    summed = box(hot, names, radii, (group,))
     out: dict[str, Column] = {}
     for k in radii:
         area = float((2 * k + 1) ** 2)
@@ -65,7 +68,13 @@ def functional(cells: DataFrame, radii: Sequence[int], group: Sequence[str] = ("
             f"built_{k}": (counts[1] + counts[2] + counts[3] + counts[4]).cast("double") / area,
             f"boundary_{k}": 1 - most.cast("double") / area,
         }
-    return summed.select(*group, "r", "c", *(v.alias(n) for n, v in out.items()))
+    windows = summed.select(group, "r", "c", *(v.alias(n) for n, v in out.items()))
+    key = (F.col(group).cast("long") * classes + F.col("lu")).alias("kind")  # a class of a group is a mask of its own
+    labelled = grid_components(cells.select(key, "r", "c"), rows, cols, group="kind")
+    sizes = labelled.groupBy("kind", "comp").agg(F.count("*").alias("n"))
+    clusters = labelled.join(sizes, ["kind", "comp"]).select(F.expr(f"kind div {classes}").cast(cells.schema[group].dataType).alias(group), "r", "c", F.log1p("n").alias("cluster_size_log"))
+    other = differing_neighbours(cells, rows, cols, (group,)).drop("distinct_classes")
+    return windows.join(clusters, [group, "r", "c"]).join(other, [group, "r", "c"])
 
 
 def differing_neighbours(cells: DataFrame, rows: int, cols: int, group: Sequence[str] = ("year",)) -> DataFrame:
@@ -91,8 +100,10 @@ def gaussian_kernel(sigma: float, truncate: float = 4.0) -> Mapping[int, float]:
     return {d: w / total for d, w in raw.items()}
 
 
-def diffuse(points: DataFrame, value: str, rows: int, cols: int, sigma: float, group: Sequence[str] = ("year",), floor: float = 1e-9) -> DataFrame:
-    """Normalised diffusion G(value) / G(presence) of sparse points with reflected edges; 0 where the weight is at most ``floor``."""
+def diffuse(points: DataFrame, values: str | Sequence[str], rows: int, cols: int, sigma: float, group: Sequence[str] = ("year",), floor: float = 1e-9) -> DataFrame:
+    """Normalised diffusion G(value) / G(presence) of sparse points with reflected edges, of one value or several in one
+    pass; 0 where the weight is at most ``floor``."""
+    values = [values] if isinstance(values, str) else list(values)
     kernel = gaussian_kernel(sigma)
     steps = F.array(*(F.struct(F.lit(d).alias("d"), F.lit(w).alias("w")) for d, w in kernel.items()))
 
@@ -100,9 +111,10 @@ def diffuse(points: DataFrame, value: str, rows: int, cols: int, sigma: float, g
         other = "c" if axis == "r" else "r"
         # a point is felt at p - d for each source place of the mirrored line; mirrored copies are explicit
         copies = F.explode(F.array(F.col(axis), -F.col(axis) - 1, 2 * size - 1 - F.col(axis))).alias("q")
-        spread = df.select(*group, other, copies, "v", "p").select("*", F.explode(steps).alias("s"))
-        return spread.withColumn(axis, F.col("q") + F.col("s.d")).where(F.col(axis).between(0, size - 1)).groupBy(*group, "r", "c").agg(F.sum(F.col("v") * F.col("s.w")).alias("v"), F.sum(F.col("p") * F.col("s.w")).alias("p"))
+        spread = df.select(*group, other, copies, *values, "presence").select("*", F.explode(steps).alias("s"))
+        at = spread.withColumn(axis, F.col("q") + F.col("s.d")).where(F.col(axis).between(0, size - 1))
+        return at.groupBy(*group, "r", "c").agg(*(F.sum(F.col(v) * F.col("s.w")).alias(v) for v in [*values, "presence"]))
 
-    start = points.select(*group, "r", "c", F.col(value).cast("double").alias("v"), F.lit(1.0).alias("p"))
+    start = points.select(*group, "r", "c", *(F.col(v).cast("double").alias(v) for v in values), F.lit(1.0).alias("presence"))
     out = smear(smear(start, "r", rows), "c", cols)
-    return out.select(*group, "r", "c", F.when(F.col("p") > floor, F.col("v") / F.col("p")).otherwise(0.0).alias(value))
+    return out.select(*group, "r", "c", *(F.when(F.col("presence") > floor, F.col(v) / F.col("presence")).otherwise(0.0).alias(v) for v in values))

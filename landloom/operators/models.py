@@ -14,17 +14,30 @@ from pyspark.sql import functions as F
 from . import stats
 
 C = F.col
+#: Boosting rounds and depth of the ablation and of the importance models (the operators take others).
+ROUNDS, DEPTH = 20, 4
 
 
-def _place(keys: Sequence[str], row_id: str, seed: int):
-    """The place of a row among its label's, in the order of a hash of its id."""
-    return F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64(row_id, F.lit(seed)), row_id))
+PLACES = 256
+
+
+def _place(df: DataFrame, keys: Sequence[str], row_id: str, seed: int, name: str = "place") -> DataFrame:
+    """``df`` with the place of each row among those of its keys, in the order of a hash of its id.
+
+    The hash's order is cut into ``PLACES`` parts that are ordered alone and counted before: no key is one task's."""
+    order = F.conv(F.substring(F.md5(F.concat_ws(" ", C(row_id).cast("string"), F.lit(seed))), 1, 8), 16, 10).cast("long")
+    parted = df.withColumn("place order", order).withColumn("place part", F.expr(f"`place order` div {2**32 // PLACES}"))
+    sizes = parted.groupBy(*keys, "place part").agg(F.count("*").alias("place own"))
+    before = Window.partitionBy(*(keys or [F.lit(1)])).orderBy("place part").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = sizes.select(*keys, "place part", F.coalesce(F.sum("place own").over(before), F.lit(0)).alias("place earlier"))  # PLACES rows a key
+    inside = F.row_number().over(Window.partitionBy(*keys, "place part").orderBy("place order", row_id))
+    return parted.join(earlier, [*keys, "place part"]).withColumn(name, inside + C("place earlier")).drop("place order", "place part", "place earlier")
 
 
 def stratified_split(df: DataFrame, label: str, row_id: str, train: float = 0.65, seed: int = 42, keys: Sequence[str] = ()) -> DataFrame:
     """``is_train``: the given share of each class (of each key), by hash; repeated runs agree."""
     sizes = df.groupBy(*keys, label).agg(F.count("*").alias("size"))
-    placed = df.withColumn("place", _place([*keys, label], row_id, seed))
+    placed = _place(df, [*keys, label], row_id, seed)
     return placed.join(sizes, [*keys, label]).withColumn("is_train", C("place") <= F.round(C("size") * F.lit(train))).drop("place", "size")
 
 
@@ -35,7 +48,7 @@ def stratified_cap(df: DataFrame, label: str, row_id: str, most: int, seed: int
     if total <= most:
         return df
     quota = F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, max(1, round(most * n / total)))))
-    return df.withColumn("place", _place([label], row_id, seed)).where(C("place") <= quota[C(label)]).drop("place")
+    return _place(df, [label], row_id, seed).where(C("place") <= quota[C(label)]).drop("place")
 
 
 def balanced_weights(df: DataFrame, label: str) -> DataFrame:
@@ -71,7 +84,7 @@ def evaluate(model: PipelineModel, df: DataFrame, label: str) -> tuple[float | N
     return stats.auc(own, label, "score").first()[0], stats.average_precision(own, label, "score").first()[0]
 
 
-def ablation(train: DataFrame, test: DataFrame, label: str, configs: Mapping[str, Sequence[str]], rounds: int = 20, depth: int = 4) -> DataFrame:
+def ablation(train: DataFrame, test: DataFrame, label: str, configs: Mapping[str, Sequence[str]], rounds: int = ROUNDS, depth: int = DEPTH) -> DataFrame:
     """(model, auc, ap, n_dim, delta) of each feature set; delta is the AUC less that of the second set."""
     rows = []
     for name, features in configs.items():
@@ -87,8 +100,7 @@ def permutation_importance(model: PipelineModel, df: DataFrame, label: str, feat
 
     One plan for all features: each row is scored once per feature, with that feature from another row of a hash order."""
     sample = stratified_cap(df, label, row_id, most, seed).select(row_id, label, *features)
-    one = sample.withColumn("one", F.lit(1))
-    placed = one.withColumn("a", _place(["one"], row_id, seed)).withColumn("b", _place(["one"], row_id, seed + 1)).drop("one")
+    placed = _place(_place(sample, [], row_id, seed, "a"), [], row_id, seed + 1, "b")
     donor = placed.select(C("b").alias("a"), *(C(f).alias(f"{f}__other") for f in features))
     pairs = placed.join(donor, "a").withColumn("feature", F.explode(F.array(F.lit(""), *map(F.lit, features))))
     shuffled = pairs.select(row_id, label, "feature", *(F.when(C("feature") == f, C(f"{f}__other")).otherwise(C(f)).alias(f) for f in features))

@@ -84,6 +84,14 @@ def sql_label(name: str, mask: str, near: str = EIGHT) -> str:
     )
 
 
+def sql_least(name: str, start: str, edges: str) -> str:
+    """name(id, root): the smallest id that edges(a, b), given in both directions, lead to from each id of start."""
+    return (
+        f"{name}(id, root) USING KEY (id) AS (SELECT id, id FROM ({start}) UNION (SELECT e.b, min(w.root) FROM {name} w JOIN {edges} e ON e.a = w.id "
+        f"JOIN recurring.{name} k ON k.id = e.b WHERE w.root < k.root GROUP BY e.b))"
+    )
+
+
 BORDER = f"(r IN (0, {G - 1}) OR c IN (0, {G - 1}))"
 CLOSED = "RECURSIVE " + GRID + ", " + ", ".join([
     sql_disk("disk", RADIUS), f"seed AS (SELECT year, r, c FROM grid WHERE lu IN {SEEDS})", sql_dilate("dil", "seed", "disk"), sql_erode("ero", "dil", "disk"),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import cells as C
 from ..operators import focal, transitions
-from .base import CELLS, EXTENT, GRID, PAIRS, G, cells, extents, grid, pairs, read
+from .base import CELLS, EXTENT, GRID, PAIRS, G, cells, extents, grid, pairs, read, sql_least
 from .registry import query
 
 def _n():
@@ -205,10 +205,23 @@ def wide_long_roundtrip(spark, sf):
 # ---------------------------------------------------------------- focal windows
 
 
-def _box_sql(ks, cols="c{k}", classes=range(7)):
-    sums = ", ".join(f"CAST(sum(CASE WHEN b.lu = {k} AND abs(b.r - a.r) <= {r} AND abs(b.c - a.c) <= {r} THEN 1 ELSE 0 END) AS BIGINT) AS c{k}_{r}" for r in ks for k in classes)
-    m = max(ks)
-    return f"s AS (SELECT a.year, a.r, a.c, {sums} FROM grid a JOIN grid b ON a.year = b.year AND b.r BETWEEN a.r - {m} AND a.r + {m} AND b.c BETWEEN a.c - {m} AND a.c + {m} WHERE a.year IN (1996, 1997) GROUP BY ALL)"
+#: Working radii in cells: of the neighbourhood and of the functional features.
+NEAR_RADII, FUNCTIONAL_RADII = (10, 15, 20, 30, 40, 50), (5, 10, 20)
+
+
+def _box_sql(ks, classes=range(7)):
+    """s(year, r, c, c0_2, ...): how many cells of each class a box of each radius holds, rows first and then columns."""
+    flat = ", ".join(f"sum(CASE WHEN lu = {k} THEN 1 ELSE 0 END) OVER (PARTITION BY year, r ORDER BY c RANGE BETWEEN {r} PRECEDING AND {r} FOLLOWING) AS c{k}_{r}" for r in ks for k in classes)
+    tall = ", ".join(f"CAST(sum(c{k}_{r}) OVER (PARTITION BY year, c ORDER BY r RANGE BETWEEN {r} PRECEDING AND {r} FOLLOWING) AS BIGINT) AS c{k}_{r}" for r in ks for k in classes)
+    return f"s AS (SELECT year, r, c, {tall} FROM (SELECT year, r, c, {flat} FROM grid))"
+
+
+def _area(r):
+    return f"CAST({float((2 * r + 1) ** 2)} AS DOUBLE)"
+
+
+def _counts(r):
+    return "[" + ", ".join(f"c{k}_{r}" for k in range(7)) + "]"
 
 
 def _entropy_sql(r):
@@ -217,39 +230,65 @@ def _entropy_sql(r):
     return "-(" + " + ".join(f"(c{k}_{r} / CAST({area} AS DOUBLE) / {total}) * ln(c{k}_{r} / CAST({area} AS DOUBLE) / {total} + CAST(1e-9 AS DOUBLE))" for k in range(7)) + ")"
 
 
-def _two_years(spark, sf):
-    return grid(spark, sf).where(F.col("year").isin(1996, 1997))
+def near_sql(ks):
+    """The neighbourhood columns of s."""
+    return ", ".join(
+        ", ".join(f"round(c{k}_{r} / {_area(r)}, 6) AS ratio_c{k}_{r}" for k in range(7))
+        + f", round((c1_{r} + c2_{r} + c3_{r} + c4_{r}) / {_area(r)}, 6) AS built_{r}, round(c5_{r} / {_area(r)}, 6) AS road_{r}, round({_entropy_sql(r)}, 6) AS entropy_{r}, "
+        f"CAST(list_position({_counts(r)}, list_max({_counts(r)})) - 1 AS INT) AS dominant_{r}"
+        for r in ks
+    )
+
+
+def functional_sql(ks, prefix=""):
+    """The functional columns of s for radii."""
+    return ", ".join(
+        f"round({_entropy_sql(r)}, 6) AS {prefix}entropy_{r}, round((list_sort({_counts(r)}, 'DESC')[1] - list_sort({_counts(r)}, 'DESC')[2]) / {_area(r)}, 6) AS {prefix}purity_{r}, "
+        f"round((c1_{r} + c2_{r} + c3_{r} + c4_{r}) / {_area(r)}, 6) AS {prefix}built_{r}, round(1 - list_max({_counts(r)}) / {_area(r)}, 6) AS {prefix}boundary_{r}"
+        for r in ks
+    )
+
+
+#: f(year, r, c, cluster_size_log, diversity): cells of the own class that steps of that class reach; neighbours of another class, edges repeated.
+WHOLE = (
+    f"cell AS (SELECT year * {G * G} + r * {G} + c AS id, * FROM grid), "
+    "part AS (SELECT *, c - row_number() OVER (PARTITION BY year, r, lu ORDER BY c) AS k FROM cell), "
+    "run AS (SELECT min(id) AS id, year, r, lu, k, min(c) AS c0, max(c) AS c1, count(*) AS n FROM part GROUP BY year, r, lu, k), "
+    "same AS (SELECT a.id AS a, b.id AS b FROM run a JOIN run b ON a.year = b.year AND a.lu = b.lu AND b.r IN (a.r - 1, a.r + 1) AND b.c0 <= a.c1 + 1 AND b.c1 >= a.c0 - 1), "
+    + sql_least("cluster", "SELECT id FROM run", "same")
+    + ", size AS (SELECT root, sum(n) AS n FROM cluster JOIN run USING (id) GROUP BY 1), "
+    "d AS (SELECT CAST(x.range AS INT) AS dr, CAST(y.range AS INT) AS dc FROM range(-1, 2) x, range(-1, 2) y WHERE x.range <> 0 OR y.range <> 0), "
+    f"other AS (SELECT a.id, CAST(count(*) FILTER (WHERE b.lu <> a.lu) AS INT) AS n FROM cell a CROSS JOIN d JOIN cell b ON b.year = a.year AND b.r = least(greatest(a.r + dr, 0), {G - 1}) AND b.c = least(greatest(a.c + dc, 0), {G - 1}) GROUP BY 1), "
+    "f AS (SELECT year, part.r, part.c, round(ln(1 + size.n), 6) AS cluster_size_log, other.n AS diversity FROM part JOIN run USING (year, r, lu, k) JOIN cluster ON cluster.id = run.id JOIN size ON size.root = cluster.root JOIN other ON other.id = part.id)"
+)
+
+
+def rounded(df, keep):
+    """All columns but ``keep`` and whole numbers, to six places."""
+    kinds = dict(df.dtypes)
+    return df.select(*(F.round(x, 6).alias(x) if kinds[x] == "double" and x not in keep else F.col(x) for x in df.columns))
 
 
 @query(f"WITH {GRID}, {_box_sql((2, 5))} SELECT * FROM s")
 def focal_box_features(spark, sf):
     names = [f"c{k}" for k in range(7)]
-    hot = C.one_hot(_two_years(spark, sf))
+    hot = C.one_hot(grid(spark, sf))
     return focal.box(hot, names, (2, 5)).select("year", "r", "c", *(f"{n}_{k}" for k in (2, 5) for n in names))
 
 
-@query(
-    f"WITH {GRID}, {_box_sql((1, 3))} SELECT year, r, c, " + ", ".join(
-        f"round({_entropy_sql(r)}, 6) AS entropy_{r}, round((list_sort([{', '.join(f'c{k}_{r}' for k in range(7))}], 'DESC')[1] - list_sort([{', '.join(f'c{k}_{r}' for k in range(7))}], 'DESC')[2]) / CAST({(2 * r + 1) ** 2} AS DOUBLE), 6) AS purity_{r}, round((c1_{r} + c2_{r} + c3_{r} + c4_{r}) / CAST({(2 * r + 1) ** 2} AS DOUBLE), 6) AS built_{r}, round(1 - greatest({', '.join(f'c{k}_{r}' for k in range(7))}) / CAST({(2 * r + 1) ** 2} AS DOUBLE), 6) AS boundary_{r}"
-        for r in (1, 3)) + " FROM s"
-)
+@query(f"WITH RECURSIVE {GRID}, {_box_sql(FUNCTIONAL_RADII)}, {WHOLE} SELECT year, r, c, {functional_sql(FUNCTIONAL_RADII)}, cluster_size_log, diversity FROM s JOIN f USING (year, r, c)")
 def focal_entropy_purity(spark, sf):
-    out = focal.functional(_two_years(spark, sf), (1, 3))
-    return out.select("year", "r", "c", *(F.round(x, 6).alias(x) for x in out.columns[3:]))
+    return rounded(focal.functional(grid(spark, sf), FUNCTIONAL_RADII, G, G), ())
 
 
-@query(
-    f"WITH {GRID}, {_box_sql((2,))} SELECT year, r, c, " + ", ".join(f"round(c{k}_2 / CAST(25 AS DOUBLE), 6) AS ratio_c{k}_2" for k in range(7))
-    + f", round((c1_2 + c2_2 + c3_2 + c4_2) / CAST(25 AS DOUBLE), 6) AS built_2, round(c5_2 / CAST(25 AS DOUBLE), 6) AS road_2, round({_entropy_sql(2)}, 6) AS entropy_2, CAST(list_position([{', '.join(f'c{k}_2' for k in range(7))}], greatest({', '.join(f'c{k}_2' for k in range(7))})) - 1 AS INT) AS dominant_2 FROM s"
-)
+@query(f"WITH {GRID}, {_box_sql(NEAR_RADII)} SELECT year, r, c, {near_sql(NEAR_RADII)} FROM s")
 def neighbourhood_features(spark, sf):
-    out = focal.neighbourhood(_two_years(spark, sf), (2,))
-    return out.select("year", "r", "c", *(F.round(x, 6).alias(x) if x != "dominant_2" else F.col(x) for x in out.columns[3:]))
+    return rounded(focal.neighbourhood(grid(spark, sf), NEAR_RADII), ())
 
 
-@query(f"WITH {GRID} SELECT a.year, a.r, a.c, max(b.lu) AS lu_5 FROM grid a JOIN grid b ON a.year = b.year AND b.r BETWEEN a.r - 5 AND a.r + 5 AND b.c BETWEEN a.c - 5 AND a.c + 5 WHERE a.year IN (1996, 1997) GROUP BY ALL")
+@query(f"WITH {GRID} SELECT a.year, a.r, a.c, max(b.lu) AS lu_5 FROM grid a JOIN grid b ON a.year = b.year AND b.r BETWEEN a.r - 5 AND a.r + 5 AND b.c BETWEEN a.c - 5 AND a.c + 5 GROUP BY ALL")
 def focal_max(spark, sf):
-    return focal.box(_two_years(spark, sf), ["lu"], [5], how=F.max).select("year", "r", "c", "lu_5")
+    return focal.box(grid(spark, sf), ["lu"], [5], how=F.max).select("year", "r", "c", "lu_5")
 
 
 @query(f"WITH {GRID}, d AS (SELECT CAST(x.range AS INT) AS dr, CAST(y.range AS INT) AS dc FROM range(-1, 2) x, range(-1, 2) y WHERE x.range <> 0 OR y.range <> 0) SELECT a.year, a.r, a.c, CAST(count(*) FILTER (WHERE b.lu <> a.lu) AS INT) AS diversity, CAST(count(DISTINCT b.lu) AS INT) AS distinct_classes FROM grid a, d JOIN grid b ON b.year = a.year AND b.r = least(greatest(a.r + dr, 0), {G - 1}) AND b.c = least(greatest(a.c + dc, 0), {G - 1}) GROUP BY ALL")

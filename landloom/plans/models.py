@@ -4,75 +4,106 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import scalars as S
 from ..operators import cells as K
 from ..operators import focal
 from ..operators import models as M
+from ..operators.durable import cut
 from .base import GRID, G, grid
-from .grid import _box_sql, _entropy_sql
+from .grid import FUNCTIONAL_RADII, NEAR_RADII, WHOLE, _box_sql, functional_sql, near_sql, rounded
 from .registry import query
+from .roads import METRICS, syntax_cells
 
 C = F.col
-HOT = [f"c{k}" for k in range(7)]
-NEAR = [*(f"ratio_c{k}_2" for k in range(7)), "built_2", "entropy_2"]
+CELL = [f"c{k}" for k in range(7)]
+NEAR = [f"{n}_{k}" for k in NEAR_RADII for n in (*(f"ratio_c{j}" for j in range(7)), "built", "road", "entropy", "dominant")]
+FUNCTIONAL = [*(f"fn_{n}_{k}" for k in FUNCTIONAL_RADII for n in ("entropy", "purity", "built", "boundary")), "cluster_size_log", "diversity"]
+SYNTAX = [f"{how}_{m}" for how in ("mean", "max") for m in METRICS]
+#: The feature sets of the ablation.
+SETS = {
+    "M0": CELL, "M1": [*CELL, *NEAR], "M2": [*CELL, *SYNTAX], "M3": [*CELL, *FUNCTIONAL], "M4": [*CELL, *NEAR, *SYNTAX], "M5": [*CELL, *NEAR, *FUNCTIONAL],
+    "M6": [*CELL, *SYNTAX, *FUNCTIONAL], "M7": [*CELL, *NEAR, *SYNTAX, *FUNCTIONAL],
+}
+#: Periods that begin before this year train, the others test.
+FIRST_TEST = 1996
 
 
 def _features(spark, sf):
-    """is_update with the class and neighbourhood of t1, for sampled cells of 1996 and 1997."""
+    """is_update with the class, neighbourhood and functional features of t1, of the sampled cells of every period."""
     full = grid(spark, sf)
-    own = full.where(C("year").isin(1996, 1997))
     later = full.select((C("year") - 1).alias("year"), "r", "c", C("lu").alias("lu2"))
-    near = focal.neighbourhood(own, (2,))
-    met = K.one_hot(own).join(later, ["year", "r", "c"]).join(near, ["year", "r", "c"]).where("lu between 1 and 6 and lu2 between 1 and 6")
-    return met.select("year", (C("year") * G * G + C("r") * G + C("c")).cast("long").alias("id"), (C("lu") != C("lu2")).cast("int").alias("is_update"), *(C(h).cast("double").alias(h) for h in HOT), *NEAR)
+    whole = focal.functional(full, FUNCTIONAL_RADII, G, G)
+    whole = whole.withColumnsRenamed({n: f"fn_{n}" for n in whole.columns[3:] if f"fn_{n}" in FUNCTIONAL})
+    met = K.one_hot(full).join(later, ["year", "r", "c"]).where("lu between 1 and 6 and lu2 between 1 and 6")
+    met = met.join(focal.neighbourhood(full, NEAR_RADII), ["year", "r", "c"]).join(whole, ["year", "r", "c"])
+    names = [*NEAR, *FUNCTIONAL]
+    return met.select("year", "r", "c", (C("year") * G * G + C("r") * G + C("c")).cast("long").alias("id"), (C("lu") != C("lu2")).cast("int").alias("is_update"), *(C(h).cast("double").alias(h) for h in CELL), *names)
 
 
 @query(
-    f"WITH {GRID}, {_box_sql((2,))} SELECT s.year, CAST(s.year * {G * G} + s.r * {G} + s.c AS BIGINT) AS id, CAST(a.lu <> b.lu AS INT) AS is_update, " + ", ".join(f"CAST(CASE WHEN a.lu = {k} THEN 1 ELSE 0 END AS DOUBLE) AS c{k}" for k in range(7)) + ", "
-    + ", ".join(f"round(c{k}_2 / CAST(25 AS DOUBLE), 6) AS ratio_c{k}_2" for k in range(7)) + f", round((c1_2 + c2_2 + c3_2 + c4_2) / CAST(25 AS DOUBLE), 6) AS built_2, round({_entropy_sql(2)}, 6) AS entropy_2 FROM s JOIN grid a ON a.year = s.year AND a.r = s.r AND a.c = s.c JOIN grid b ON b.year = s.year + 1 AND b.r = s.r AND b.c = s.c WHERE a.lu BETWEEN 1 AND 6 AND b.lu BETWEEN 1 AND 6"
+    f"WITH RECURSIVE {GRID}, {_box_sql(sorted({*NEAR_RADII, *FUNCTIONAL_RADII}))}, {WHOLE} SELECT s.year, CAST(s.year * {G * G} + s.r * {G} + s.c AS BIGINT) AS id, CAST(a.lu <> b.lu AS INT) AS is_update, "
+    + ", ".join(f"CAST(CASE WHEN a.lu = {k} THEN 1 ELSE 0 END AS DOUBLE) AS c{k}" for k in range(7)) + f", {near_sql(NEAR_RADII)}, {functional_sql(FUNCTIONAL_RADII, 'fn_')}, cluster_size_log, diversity "
+    "FROM s JOIN grid a ON a.year = s.year AND a.r = s.r AND a.c = s.c JOIN grid b ON b.year = s.year + 1 AND b.r = s.r AND b.c = s.c JOIN f ON f.year = s.year AND f.r = s.r AND f.c = s.c WHERE a.lu BETWEEN 1 AND 6 AND b.lu BETWEEN 1 AND 6"
 )
 def feature_matrix(spark, sf):
-    return _features(spark, sf).select("year", "id", "is_update", *HOT, *(F.round(n, 6).alias(n) for n in NEAR))
+    return rounded(_features(spark, sf).drop("r", "c"), CELL)
 
 
 def _split(spark, sf):
-    from ..operators.durable import cut
-
-    own = cut(_features(spark, sf))
-    return own.where("year = 1996"), own.where("year = 1997")
+    """Training and test periods of the whole feature table; the network's features of a cell hold for all periods."""
+    names = [*NEAR, *FUNCTIONAL, *SYNTAX]
+    own = _features(spark, sf).join(syntax_cells(spark, sf), ["r", "c"], "left")
+    own = cut(own.select("year", "id", "is_update", *CELL, *(S.finite(C(n).cast("double")).alias(n) for n in names)))
+    return own.where(C("year") < FIRST_TEST), own.where(C("year") >= FIRST_TEST)
 
 
 @query()
 def ablation(spark, sf):
     train, test = _split(spark, sf)
-    return M.ablation(train, test, "is_update", {"M0": HOT, "M1": NEAR, "M2": [*HOT, *NEAR]}, rounds=5, depth=3)
+    return M.ablation(train, test, "is_update", SETS)
 
 
 @query()
 def random_forest(spark, sf):
     train, test = _split(spark, sf)
-    model = M.forest([*HOT, *NEAR], "is_update", trees=20, depth=6).fit(M.balanced_weights(train, "is_update"))
+    model = M.forest(SETS["M7"], "is_update").fit(M.balanced_weights(train, "is_update"))
     return spark.createDataFrame([("forest", *M.evaluate(model, test, "is_update"))], "model string, auc double, ap double")
 
 
 @query()
 def logistic_regression(spark, sf):
     train, test = _split(spark, sf)
-    model = M.logistic([*HOT, *NEAR], "is_update", train.count()).fit(M.balanced_weights(train, "is_update"))
+    model = M.logistic(SETS["M7"], "is_update", train.count()).fit(M.balanced_weights(train, "is_update"))
     return spark.createDataFrame([("logistic", *M.evaluate(model, test, "is_update"))], "model string, auc double, ap double")
 
 
+def _fitted(spark, sf, features):
+    train, test = _split(spark, sf)
+    return M.boosted(features, "is_update", M.ROUNDS, M.DEPTH).fit(train), test
+
+
 @query()
 def permutation_importance(spark, sf):
-    train, test = _split(spark, sf)
-    model = M.boosted([*HOT, *NEAR], "is_update", 5, 3).fit(train)
-    return M.permutation_importance(model, test, "is_update", [*HOT, *NEAR], "id")
+    model, test = _fitted(spark, sf, SETS["M7"])
+    return M.permutation_importance(model, test, "is_update", SETS["M7"], "id")
+
+
+@query()
+def period_importance(spark, sf):
+    """Importance in each test period of the features of cells and their functional whole, and their group's share."""
+    model, test = _fitted(spark, sf, SETS["M3"])
+    years = sorted(r.year for r in test.select("year").distinct().collect())  # periods
+    out = None
+    for year in years:
+        own = M.permutation_importance(model, test.where(C("year") == year), "is_update", SETS["M3"], "id").withColumn("year", F.lit(year))
+        out = own if out is None else out.unionByName(own)
+    return out
 
 
 @query()
 def partial_dependence(spark, sf):
-    train, test = _split(spark, sf)
-    model = M.boosted([*HOT, *NEAR], "is_update", 5, 3).fit(train)
-    return M.partial_dependence(model, test, "entropy_2", [0.05 + 0.9 * k / 11 for k in range(12)])
+    model, test = _fitted(spark, sf, SETS["M3"])
+    return M.partial_dependence(model, test, "fn_entropy_5", [0.05 + 0.9 * k / 11 for k in range(12)])
 
 
 @query()

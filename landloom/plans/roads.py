@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from ..operators import focal
 from ..operators import roads as N
-from .base import VERTICES, read, vertices
+from ..operators.cells import spine
+from ..operators.durable import cut
+from .base import VERTICES, read, sql_least, vertices
 from .registry import query
 
 C = F.col
@@ -22,21 +24,13 @@ _ARCS = _STEPS + ", a AS (SELECT *, sum(len) OVER (PARTITION BY pid ORDER BY k)
 _ENDS = ", e AS (SELECT pid * 2 AS eid, pid, x, y FROM v WHERE k = 0 AND pid IN (SELECT pid FROM v GROUP BY 1 HAVING count(*) > 1) UNION ALL SELECT pid * 2 + 1, pid, arg_max(x, k), arg_max(y, k) FROM v GROUP BY pid HAVING count(*) > 1)"
 
 
-def _reach_sql(name: str, start: str, edges: str) -> str:
-    """name(id, root): the smallest id that edges(a, b), in both directions, lead to from each id of start."""
-    return (
-        f"{name}(id, root) USING KEY (id) AS (SELECT id, id FROM ({start}) UNION (SELECT e.b, min(w.root) FROM {name} w JOIN {edges} e ON e.a = w.id "
-        f"JOIN recurring.{name} k ON k.id = e.b WHERE w.root < k.root GROUP BY e.b))"
-    )
-
-
 def _nodes_sql(radius: float) -> str:
     """The ends of all polylines merged within the radius (under 2): places are whole numbers, so partners are at most a step away."""
     return (
         f"RECURSIVE {_CITY}{_ENDS}, place AS (SELECT x, y, min(eid) AS eid FROM e GROUP BY 1, 2), "
         f"beside AS (SELECT p.eid AS a, n.eid AS b FROM place p CROSS JOIN range(-1, 2) i CROSS JOIN range(-1, 2) j JOIN place n ON n.x = p.x + i.range AND n.y = p.y + j.range "
         f"WHERE n.eid <> p.eid AND (n.x - p.x) * (n.x - p.x) + (n.y - p.y) * (n.y - p.y) <= {radius * radius}), "
-        + _reach_sql("merged", "SELECT eid AS id FROM place", "beside")
+        + sql_least("merged", "SELECT eid AS id FROM place", "beside")
         + ", m AS (SELECT root AS nid, e.* FROM e JOIN place ON place.x = e.x AND place.y = e.y JOIN merged ON merged.id = place.eid), "
         "pn AS (SELECT a.pid, a.nid AS na, b.nid AS nb FROM m a JOIN m b ON a.pid = b.pid AND a.eid % 2 = 0 AND b.eid % 2 = 1)"
     )
@@ -78,8 +72,6 @@ def arc_midpoint(spark, sf):
 
 @query(f"WITH {VERTICES}{_ARCS}, t AS (SELECT pid, max(total) AS total, greatest(5, least(200, CAST(trunc(max(total)) AS INT))) AS n FROM a GROUP BY 1 HAVING max(total) >= 1), d AS (SELECT pid, i.range AS i, CASE WHEN i.range = n - 1 THEN total - 1e-9::DOUBLE ELSE i.range * total / (n - 1) END AS d FROM t, LATERAL range(n) i), f AS (SELECT d.pid, d.i, d.d, a.*, row_number() OVER (PARTITION BY d.pid, d.i ORDER BY k) AS j FROM d JOIN a ON a.pid = d.pid AND len > 0 AND d.d >= before AND d.d <= before + len), x AS (SELECT pid, CAST(round_even(x0 + (x1 - x0) * ((d - before) / len), 0) AS INT) AS c, CAST(round_even(y0 + (y1 - y0) * ((d - before) / len), 0) AS INT) AS r FROM f WHERE j = 1), h AS (SELECT pid, avg(CASE WHEN (r + c) % 2 = 0 AND r BETWEEN 0 AND 63 AND c BETWEEN 0 AND 63 THEN 1.0 ELSE 0.0 END) AS hit FROM x GROUP BY 1) SELECT v.pid, round(coalesce(max(hit), 0), 4) AS hit FROM v LEFT JOIN h ON h.pid = v.pid GROUP BY 1")
 def line_hit_ratio(spark, sf):
-    from ..operators.cells import spine
-
     board = spine(spark, 64, 64).where((C("r") + C("c")) % 2 == 0)
     return N.hit_ratio(vertices(spark, sf), board).select("pid", F.round("hit", 4).alias("hit"))
 
@@ -95,7 +87,7 @@ def distance_join(spark, sf):
     return N.within(N.endpoints(_city_vertices(spark, sf)).select("eid", "x", "y"), 1.5)
 
 
-_LINKED = _nodes_sql(1.5) + ", line AS (SELECT na AS a, nb AS b FROM pn UNION SELECT nb, na FROM pn), " + _reach_sql("joined", "SELECT a AS id FROM line", "line")
+_LINKED = _nodes_sql(1.5) + ", line AS (SELECT na AS a, nb AS b FROM pn UNION SELECT nb, na FROM pn), " + sql_least("joined", "SELECT a AS id FROM line", "line")
 
 
 @query(f"WITH {_LINKED}, z AS (SELECT pid, root AS component FROM pn JOIN joined ON joined.id = na) SELECT pid, component FROM z WHERE component = (SELECT component FROM z GROUP BY 1 ORDER BY count(*) DESC, component LIMIT 1)")
@@ -169,28 +161,49 @@ def gaussian_diffuse(spark, sf):
 _ALL = 1 << 31
 
 
+#: Six radii in the proportions of 1 to 5 km and the two of choice, in the board's units; measures of each.
+RADII, CHOICE_RADII = (60, 90, 120, 180, 240, 300), (60, 120)
+MEASURES = ("nc", "td", "tl", "md", "integration", "nain")
+METRICS = [*(f"r{r}_{m}" for r in RADII for m in MEASURES), *(f"r{r}_{m}" for r in CHOICE_RADII for m in ("choice", "nach"))]
+#: Width of the diffusion in cells.
+SIGMA = 5.0
+
+
 @query()
 def graph_metrics(spark, sf):
     _, _, segs, edges = _cities(spark, sf)
-    return N.graph_metrics(edges, segs, (60.0, 150.0))
+    return N.graph_metrics(edges, segs, [float(r) for r in RADII])
 
 
 @query()
 def betweenness(spark, sf):
     _, _, _, edges = _cities(spark, sf)
-    return N.betweenness(edges, 150.0, sources=_ALL)
+    return N.betweenness(edges, float(CHOICE_RADII[1]), sources=_ALL)
 
 
 @query()
 def syntax_wide(spark, sf):
+    """The forty measures of each segment."""
     _, _, segs, edges = _cities(spark, sf)
-    radii = (60.0, 150.0)
-    metrics = N.graph_metrics(edges, segs, radii)
-    names = ("nc", "td", "tl", "md", "integration", "nain")
-    wide = metrics.groupBy("city", "pid").pivot("radius", list(radii)).agg(*(F.first(n).alias(n) for n in names))
-    wide = wide.select("city", "pid", *(C(f"`{r}_{n}`").alias(f"r{int(r)}_{n}") for r in radii for n in names))
-    choice = N.betweenness(edges, radii[1], sources=_ALL)
-    return wide.join(choice, ["city", "pid"]).withColumn("r150_nach", N.nach(C("choice"), C("r150_td")))
+    edges = cut(edges)
+    metrics = N.graph_metrics(edges, segs, [float(r) for r in RADII])
+    wide = metrics.groupBy("city", "pid").agg(*(F.max(F.when(C("radius") == r, C(m))).alias(f"r{r}_{m}") for r in RADII for m in MEASURES))
+    for r in CHOICE_RADII:
+        wide = wide.join(N.betweenness(edges, float(r), sources=_ALL).withColumnRenamed("choice", f"r{r}_choice"), ["city", "pid"])
+    return wide.select("city", "pid", *(N.nach(C(f"{m[:-5]}_choice"), C(f"{m[:-5]}_td")).alias(m) if m.endswith("_nach") else C(m) for m in METRICS))
+
+
+@query()
+def syntax_cells(spark, sf):
+    """Eighty columns of each cell: logs of the segments' measures, the largest of a pixel, diffused and as largest nearby."""
+    logs = syntax_wide(spark, sf).select("pid", *(F.log1p(F.greatest(C(m), F.lit(0.0))).alias(m) for m in METRICS))
+    pixels = N.rasterise(vertices(spark, sf), 64, 64, per=2)
+    # a road without a measure is a road all the same
+    scattered = cut(pixels.join(logs, "pid", "left").groupBy("r", "c").agg(*(F.coalesce(F.max(m), F.lit(0.0)).alias(m) for m in METRICS)).withColumn("year", F.lit(0)))
+    mean = focal.diffuse(scattered, METRICS, 64, 64, SIGMA)
+    board = spine(spark, 64, 64).withColumn("year", F.lit(0)).join(scattered, ["year", "r", "c"], "left").na.fill(0.0, METRICS)
+    most = focal.box(board, METRICS, [int(SIGMA)], how=F.max)
+    return mean.select("r", "c", *(C(m).alias(f"mean_{m}") for m in METRICS)).join(most.select("r", "c", *(C(f"{m}_{int(SIGMA)}").alias(f"max_{m}") for m in METRICS)), ["r", "c"])
 
 
 @query()
