@@ -42,10 +42,30 @@ def angular_cost(ax: Column, ay: Column, bx: Column, by: Column) -> Column:
     return (180 - F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot))))) / 90
 
 
+#: Marks of network measures in feature names.
+NETWORK_MARKS = ("NACH", "Choice", "Integration", "NAIN", "_NC", "_TD", "_TL", "_MD")
+#: The pattern of a feature name and its fine group, earlier ones first.
+FINE_GROUPS = (
+    ("^cell_", "Cell class"), ("NACH|Choice", "Syntax-NACH/Choice"), ("Integration", "Syntax-Integration"), ("NAIN", "Syntax-NAIN"), ("_NC|_TD|_TL|_MD", "Syntax-NC/TD/TL/MD"),
+    ("cluster", "Functional-cluster"), ("^R.*(entropy|purity|boundary|builtup)", "Functional-morphology"), ("neighbor_diversity", "Functional-morphology"),
+    ("^nb_.*_class_", "Neighborhood-ratio"), ("shannon", "Neighborhood-shannon"), ("builtup|_road", "Neighborhood-builtup/road"), ("dominant", "Neighborhood-dominant"),
+)
+
+
+def fine_group(name: Column) -> Column:
+    """The fine group of a feature name; null for a name of none."""
+    return F.coalesce(*(F.when(name.rlike(pattern), group) for pattern, group in FINE_GROUPS))
+
+
+def slug(city: Column) -> Column:
+    """A city's name as part of a path: without the mark of a city, spaces as low lines."""
+    return F.replace(F.replace(city, F.lit("市"), F.lit("")), F.lit(" "), F.lit("_"))
+
+
 def family(name: Column) -> Column:
     """The family of a feature name; earlier rules win."""
     network = F.lit(False)
-    for mark in ("NACH", "Choice", "Integration", "NAIN", "_NC", "_TD", "_TL", "_MD"):
+    for mark in NETWORK_MARKS:
         network = network | F.contains(name, F.lit(mark))
     return F.when(F.startswith(name, F.lit("cell_")), "Cell class").when(F.startswith(name, F.lit("nb_")), "Neighborhood").when(network, "Syntax").otherwise("Functional")
 

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import grid_components
+from .durable import cut
 
 
 def disk(radius: int) -> list[tuple[int, int]]:
@@ -75,3 +77,17 @@ def within(mask: DataFrame, distance: float, rows: int, cols: int, group: str =
     """Cells at most so far (in cells, Euclidean) from the mask."""
     reach = math.floor(distance)
     return dilate(mask, [(a, b) for a, b in square(reach) if a * a + b * b <= distance * distance], rows, cols, group)
+
+
+def extent_steps(full: DataFrame, rows: int, cols: int, radius: int, largest: int, seeds: Sequence[int]) -> DataFrame:
+    """Cells of each step towards the extent, by year."""
+    seed = full.where(F.col("lu").isin(*seeds)).select("year", "r", "c")
+    closed = cut(close(seed, radius, rows, cols))
+    steps = {"seed_cells": seed, "closed_cells": closed, "hole_cells": holes(closed, full, rows, cols), "extent_cells": fill_holes(closed, full, rows, cols, largest=largest)}
+    parts = None
+    for name, mask in steps.items():
+        own = mask.select("year", F.lit(name).alias("step"))
+        parts = own if parts is None else parts.unionByName(own)
+    wide = parts.groupBy("year").pivot("step", list(steps)).count()
+    out = wide.select("year", *(F.coalesce(n, F.lit(0)).cast("long").alias(n) for n in steps))
+    return out.withColumn("extent_km2", F.round(F.col("extent_cells") * F.lit(0.01), 6))

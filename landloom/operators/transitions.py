@@ -92,21 +92,3 @@ def built_audit(pairs: DataFrame) -> DataFrame:
     allowed = F.array(*map(F.lit, built))
     fine = (F.size(F.array_except("origins", allowed)) == 0) & (F.size(F.array_except("targets", allowed)) == 0)
     return own.withColumns({"change_rate": F.round(F.col("changed").cast("double") / F.col("samples"), 6), "passed": fine})
-
-
-def extent_summary(spark, sf: str) -> DataFrame:
-    """Cells of each step towards the extent, by year."""
-    from ..plans.base import LARGEST, RADIUS, SEEDS, G, grid
-    from . import morphology as M
-
-    full = grid(spark, sf)
-    seed = full.where(F.col("lu").isin(*SEEDS)).select("year", "r", "c")
-    closed = M.close(seed, RADIUS, G, G)
-    steps = {"seed_cells": seed, "closed_cells": closed, "hole_cells": M.holes(closed, full, G, G), "extent_cells": M.fill_holes(closed, full, G, G, largest=LARGEST)}
-    parts = None
-    for name, mask in steps.items():
-        own = mask.select("year", F.lit(name).alias("step"))
-        parts = own if parts is None else parts.unionByName(own)
-    wide = parts.groupBy("year").pivot("step", list(steps)).count()
-    out = wide.select("year", *(F.coalesce(n, F.lit(0)).cast("long").alias(n) for n in steps))
-    return out.withColumn("extent_km2", F.round(F.col("extent_cells") * F.lit(0.01), 6))

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..operators import cells as C
 from ..operators import focal, transitions
-from .base import CELLS, EXTENT, GRID, PAIRS, G, cells, extents, grid, pairs, read, sql_least
+from ..operators import morphology as M
+from ..operators.durable import cut
+from .base import CELLS, EXTENT, GRID, LARGEST, PAIRS, RADIUS, SEEDS, G, cells, extents, grid, pairs, read, sql_least
 from .registry import query
 
 def _n():
@@ -110,7 +112,7 @@ _PAIRS_TAIL = PAIRS[len(GRID) + 2 :]
 
 @query(f"WITH {EXTENT}, {_PAIRS_TAIL}, {_IN_EXTENT}, u AS (SELECT y1, count(*) AS samples, count(*) FILTER (WHERE lu1 <> lu2) AS updates FROM t GROUP BY 1), e2 AS (SELECT y.y1, count(*) FILTER (WHERE a.year IS NOT NULL) AS t1_cells, count(*) FILTER (WHERE b.year IS NOT NULL) AS t2_cells, count(*) FILTER (WHERE b.year IS NOT NULL AND a.year IS NULL) AS expansion, count(*) FILTER (WHERE a.year IS NOT NULL AND b.year IS NULL) AS contraction FROM pairs y LEFT JOIN extent a ON a.year = y.y1 AND a.r = y.r AND a.c = y.c LEFT JOIN extent b ON b.year = y.y1 + 1 AND b.r = y.r AND b.c = y.c GROUP BY 1) SELECT y1 AS year_t1, y1 + 1 AS year_t2, y1 || '->' || (y1 + 1) AS period, samples, updates, round(CAST(updates AS DOUBLE) * 100 / samples, 6) AS update_rate_percent, t1_cells, t2_cells, expansion, contraction, t2_cells - t1_cells AS net FROM u JOIN e2 USING (y1)")
 def period_rates(spark, sf):
-    return transitions.period_rates(pairs(spark, sf), extents(spark, sf))
+    return transitions.period_rates(pairs(spark, sf), cut(extents(spark, sf)))  # three readers, one labelling
 
 
 @query(f"WITH {PAIRS}, n AS (SELECT y1, lu1, lu2, count(*) AS n FROM pairs WHERE {_SAMPLED} AND lu1 <> lu2 GROUP BY ALL) SELECT y.y1 || '->' || (y.y1 + 1) AS period, CAST(a.range AS INT) AS from_class, CAST(b.range AS INT) AS to_class, coalesce(n, 0) AS n, round(CAST(coalesce(n, 0) AS DOUBLE) * 100 / sum(coalesce(n, 0)) OVER (PARTITION BY y.y1), 6) AS share_percent FROM (SELECT DISTINCT y1 FROM pairs) y CROSS JOIN range(1, 7) a CROSS JOIN range(1, 7) b LEFT JOIN n ON n.y1 = y.y1 AND lu1 = a.range AND lu2 = b.range WHERE a.range <> b.range")
@@ -162,7 +164,7 @@ def built_audit(spark, sf):
 
 @query(f"WITH {EXTENT} SELECT g.year, count(*) FILTER (WHERE lu IN (1, 2)) AS seed_cells, (SELECT count(*) FROM closed k WHERE k.year = g.year) AS closed_cells, (SELECT count(*) FROM hole k WHERE k.year = g.year) AS hole_cells, (SELECT count(*) FROM extent k WHERE k.year = g.year) AS extent_cells, round((SELECT count(*) FROM extent k WHERE k.year = g.year) * CAST(0.01 AS DOUBLE), 6) AS extent_km2 FROM grid g GROUP BY 1")
 def extent_summary(spark, sf):
-    return transitions.extent_summary(spark, sf)
+    return M.extent_steps(grid(spark, sf), G, G, RADIUS, LARGEST, SEEDS)
 
 
 # ---------------------------------------------------------------- sets

@@ -9,7 +9,7 @@ from ..operators import cells as K
 from ..operators import focal
 from ..operators import models as M
 from ..operators.durable import cut
-from .base import GRID, G, grid
+from .base import GRID, PAIRS, G, grid, pairs
 from .grid import FUNCTIONAL_RADII, NEAR_RADII, WHOLE, _box_sql, functional_sql, near_sql, rounded
 from .registry import query
 from .roads import METRICS, syntax_cells
@@ -106,7 +106,12 @@ def partial_dependence(spark, sf):
     return M.partial_dependence(model, test, "fn_entropy_5", [0.05 + 0.9 * k / 11 for k in range(12)])
 
 
-@query()
+@query(
+    f"WITH {PAIRS}, s AS (SELECT y1 AS year, CAST(y1 * {G * G} + r * {G} + c AS BIGINT) AS id, CAST(lu1 <> lu2 AS INT) AS is_update FROM pairs WHERE lu1 BETWEEN 1 AND 6 AND lu2 BETWEEN 1 AND 6), "
+    "p AS (SELECT *, row_number() OVER (PARTITION BY year, is_update ORDER BY CAST('0x' || substr(md5(id || ' 42'), 1, 8) AS BIGINT), id) AS place, count(*) OVER (PARTITION BY year, is_update) AS size FROM s) "
+    "SELECT year, id, is_update, place <= round(size * 0.65) AS is_train FROM p"
+)
 def stratified_split(spark, sf):
-    split = M.stratified_split(_features(spark, sf), "is_update", "id", keys=["year"])
-    return split.groupBy("year", "is_update", "is_train").agg(F.count("*").alias("n"))
+    own = pairs(spark, sf).where("lu1 between 1 and 6 and lu2 between 1 and 6")
+    rows = own.select(C("y1").alias("year"), (C("y1") * G * G + C("r") * G + C("c")).cast("long").alias("id"), (C("lu1") != C("lu2")).cast("int").alias("is_update"))
+    return M.stratified_split(rows, "is_update", "id", keys=["year"]).select("year", "id", "is_update", "is_train")

@@ -81,17 +81,29 @@ def twfe_specifications(spark, sf):
     return spark.createDataFrame(out, "spec string, term string, coefficient double, se double, t double, p double, within_r2 double")
 
 
-@query()
+_REGIONS = ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")
+
+
+@query(
+    f"WITH {PANEL}, p AS (SELECT 'all' AS scope, region, n FROM panel UNION ALL SELECT 'recent', region, n FROM panel WHERE year >= 1999), "
+    "r AS (SELECT scope, region, CAST(rank() OVER (PARTITION BY scope ORDER BY n) AS DOUBLE) + (CAST(count(*) OVER (PARTITION BY scope, n) AS DOUBLE) - 1) / 2 AS k FROM p), "
+    "t AS (SELECT scope, sum(CAST(c AS DOUBLE) * c * c - c) AS ties FROM (SELECT scope, count(*) AS c FROM p GROUP BY scope, n) GROUP BY scope), "
+    "g AS (SELECT scope, region, sum(k) AS r, CAST(count(*) AS DOUBLE) AS m FROM r GROUP BY ALL), z AS (SELECT scope, sum(r * r / m) AS s, sum(m) AS m, count(*) AS groups FROM g GROUP BY scope), "
+    "h AS (SELECT scope, (12 / (m * (m + 1)) * s - 3 * (m + 1)) / (1 - ties / (m * m * m - m)) AS h, groups - 1 AS df FROM z JOIN t USING (scope)), "
+    "md AS (SELECT scope, " + ", ".join(f"median(n) FILTER (WHERE region = '{r}') AS {r.replace(' ', '_')}" for r in _REGIONS) + " FROM p GROUP BY scope) "
+    "SELECT scope, round(h, 6) AS h, df, round(exp(-h / 2) * (1 + h / 2), 6) AS p, " + ", ".join(r.replace(" ", "_") for r in _REGIONS) + " FROM h JOIN md USING (scope)"
+)
 def kruskal_scopes(spark, sf):
     """H, its p and the medians of each region, over all years and the recent ones."""
     own = panel(spark, sf)
     out = []
     for scope, part in (("all", own), ("recent", own.where("year >= 1999"))):
         r = S.kruskal(part, "region", "n").first()
-        out.append((scope, r.h, r.df, S.chi2_tail(r.h, r.df)))
+        out.append((scope, round(r.h, 6), r.df, round(S.chi2_tail(r.h, r.df), 6)))
     tests = spark.createDataFrame(out, "scope string, h double, df long, p double")
-    medians = own.withColumn("scope", F.explode(F.when(C("year") >= 1999, F.array(F.lit("all"), F.lit("recent"))).otherwise(F.array(F.lit("all"))))).groupBy("scope").pivot("region", ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]).agg(F.median("n"))
-    return tests.join(medians.withColumnRenamed("MIDDLE EAST", "MIDDLE_EAST"), "scope")
+    scopes = F.explode(F.when(C("year") >= 1999, F.array(F.lit("all"), F.lit("recent"))).otherwise(F.array(F.lit("all"))))
+    medians = own.withColumn("scope", scopes).groupBy("scope").pivot("region", list(_REGIONS)).agg(F.median("n"))
+    return tests.join(medians.withColumnsRenamed({r: r.replace(" ", "_") for r in _REGIONS}), "scope")
 
 
 @query()

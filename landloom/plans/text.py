@@ -114,6 +114,38 @@ def batch_status(spark, sf):
     return read(spark, sf, "events").groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("status"), F.count("*").alias("steps"), (seconds(F.max("ts")) - seconds(F.min("ts"))).alias("elapsed_s"), F.bool_or(C("event_type") == "error").alias("failed"))
 
 
+def _case(name):
+    return "CASE " + " ".join(f"WHEN regexp_matches({name}, '{pattern}') THEN '{group}'" for pattern, group in S.FINE_GROUPS) + " END"
+
+
+@query("WITH n(name) AS (VALUES " + ", ".join(f"('{n}')" for n in _NAMES) + f") SELECT name, {_case('name')} AS fine_group FROM n")
+def fine_feature_group(spark, sf):
+    return spark.createDataFrame([(n,) for n in _NAMES], "name string").withColumn("fine_group", S.fine_group(C("name")))
+
+
+@query("SELECT p_partkey, replace(replace(p_name || '市', '市', ''), ' ', '_') AS slug FROM part")
+def city_slug(spark, sf):
+    return read(spark, sf, "part").select("p_partkey", S.slug(F.concat("p_name", F.lit("市"))).alias("slug"))
+
+
+#: What a progress table shows for a step.
+STEP_LABELS = {"click": "selecting", "purchase": "storing"}
+
+
+@query(
+    "WITH log AS (SELECT user_id, event_id, CASE WHEN event_id % 3 = 0 THEN 'note ' ELSE 'RUN ' END || event_type || ' ' AS line FROM events), "
+    "last AS (SELECT user_id, trim(substr(arg_max(line, event_id) FILTER (WHERE starts_with(line, 'RUN ')), 5)) AS step FROM log GROUP BY 1) "
+    "SELECT user_id, CASE " + " ".join(f"WHEN step = '{k}' THEN '{v}'" for k, v in STEP_LABELS.items()) + " ELSE coalesce(nullif(step, ''), 'computing') END AS step FROM last"
+)
+def current_step(spark, sf):
+    line = F.concat(F.when(C("event_id") % 3 == 0, "note ").otherwise("RUN "), C("event_type"), F.lit(" "))
+    log = read(spark, sf, "events").select("user_id", "event_id", line.alias("line"))
+    last = log.groupBy("user_id").agg(F.max_by("line", F.when(C("line").startswith("RUN "), C("event_id"))).alias("line"))
+    step = F.trim(F.substring("line", 5, 1000))
+    shown = F.coalesce(*(F.when(step == k, v) for k, v in STEP_LABELS.items()), F.when(step != "", step), F.lit("computing"))
+    return last.select("user_id", F.when(C("line").startswith("RUN "), shown).otherwise("computing").alias("step"))
+
+
 # ---------------------------------------------------------------- arithmetic
 
 _E = "(SELECT event_id, CAST(value AS DOUBLE) AS v FROM events)"
