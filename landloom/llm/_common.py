@@ -3,28 +3,16 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 import zlib
-from collections.abc import Callable, Iterator
 
-import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_written: list[tuple[SparkSession, str]] = []
-
+from ..operators.durable import shared_folder
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; only where that is unset (tests) a folder of our own."""
-    sc = spark.sparkContext
-    if not (at := sc.getCheckpointDir()):
-        if not (at := spark.conf.get("spark.checkpoint.dir", None)):
-            at = tempfile.mkdtemp(prefix="landloom-")
-        sc.setCheckpointDir(at)
-        at = sc.getCheckpointDir()
-    return at
+_written: list[tuple[SparkSession, str]] = []
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -45,7 +33,7 @@ def _sweep() -> None:
 def materialise(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: lineage is cut and lost executors cost nothing."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/landloom-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/landloom-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
     _written.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
@@ -64,10 +52,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def map_rows(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(f, schema)
-
-
 def partition_id() -> int:
     context = TaskContext.get()
     return context.partitionId() if context else 0

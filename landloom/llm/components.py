@@ -37,10 +37,6 @@ def _contract(batches):
         yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in part], pa.int64()), pa.array([r for _, r in part], pa.int64())], names=["u", "v"])
 
 
-def _star(both: DataFrame, least: DataFrame) -> DataFrame:
-    return both.join(least, "u")
-
-
 def components(links: DataFrame) -> DataFrame:
     """links(a long, b long) -> (id, component): every id of a link with the smallest id that it reaches.
 
