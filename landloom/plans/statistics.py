@@ -106,11 +106,16 @@ def kruskal_scopes(spark, sf):
     return tests.join(medians.withColumnsRenamed({r: r.replace(" ", "_") for r in _REGIONS}), "scope")
 
 
-@query()
+@query(
+    f"WITH {PANEL}, r AS (SELECT rank() OVER (ORDER BY n) + (count(*) OVER (PARTITION BY n) - 1) / CAST(2 AS DOUBLE) AS a, rank() OVER (ORDER BY value) + (count(*) OVER (PARTITION BY value) - 1) / CAST(2 AS DOUBLE) AS b FROM panel), "
+    "s AS (SELECT corr(a, b) AS rho, count(*) AS n, CAST(count(*) - 2 AS DOUBLE) AS df FROM r), q AS (SELECT *, atan(abs(rho * sqrt(df / greatest(CAST(1e-12 AS DOUBLE), 1 - rho * rho))) / sqrt(df)) AS top FROM s), "
+    "f AS (SELECT rho, n, df, sum(CASE WHEN i.range IN (0, 2000) THEN 1 WHEN i.range % 2 = 1 THEN 4 ELSE 2 END * pow(cos(i.range * top / 2000), df - 1)) * any_value(top) / 6000 AS area FROM q, range(2001) i GROUP BY ALL) "
+    "SELECT round(rho, 6) AS rho, n, round(greatest(0, 1 - area / (sqrt(pi()) * exp(lgamma(df / 2) - lgamma((df + 1) / 2)) / 2)), 6) AS p FROM f"
+)
 def spearman_p(spark, sf):
     r = S.spearman(panel(spark, sf), "n", "value").first()
     t = r.rho * ((r.n - 2) / max(1e-12, 1 - r.rho**2)) ** 0.5
-    return spark.createDataFrame([(r.rho, r.n, S.student_p(t, r.n - 2))], "rho double, n long, p double")
+    return spark.createDataFrame([(round(r.rho, 6), r.n, round(S.student_p(t, r.n - 2), 6))], "rho double, n long, p double")
 
 
 @query(f"WITH {PAIRS} SELECT y1, round(CAST(count(*) FILTER (WHERE lu1 IN (1, 4) AND lu2 IN (1, 4)) AS DOUBLE) / count(*), 6) AS reciprocal, round(CAST(count(*) FILTER (WHERE lu2 IN (2, 3)) AS DOUBLE) / count(*), 6) AS to_services, round(CAST(count(*) FILTER (WHERE lu1 = 4 AND lu2 IN (2, 3)) AS DOUBLE) / nullif(count(*) FILTER (WHERE lu1 = 4), 0), 6) AS industry_to_services FROM pairs WHERE lu1 BETWEEN 1 AND 6 AND lu2 BETWEEN 1 AND 6 AND lu1 <> lu2 GROUP BY 1")
