@@ -88,11 +88,12 @@ def mix(docs: DataFrame, targets: tuple[Target, Target, Target] = TARGETS, topic
 def sample(docs: DataFrame, targets: tuple[Target, Target, Target] = GENTLE) -> DataFrame:
     """The documents that are kept, with all their columns."""
     described = _described(docs, None)
-    cells = materialise(weights(described, targets)).select(*(F.col(c).alias(f"mix {c}") for c in ("source", "lang", "topic")), F.round("weight", 9).alias("mix weight"))
-    name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("(none)"))
-    fits = (name("source") == F.col("mix source")) & (name("lang") == F.col("mix lang")) & (topic_of(F.coalesce("text", F.lit(""))) == F.col("mix topic"))
+    cells = materialise(weights(described, targets))
     small = F.broadcast(cells) if cells.count() <= ONE_PARTITION // 100 else cells
-    return docs.join(small, fits).where(draw_of(F.col("doc_id")) < F.col("mix weight")).select(*(docs[c] for c in docs.columns))
+    name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("(none)")).alias(c)
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")  # whatever other columns are called
+    held = docs.select(row, name("source"), name("lang"), topic_of(F.coalesce("text", F.lit(""))).alias("topic"), draw_of(F.col("doc_id")).alias("draw"))
+    return held.join(small, ["source", "lang", "topic"]).where(F.col("draw") < F.round("weight", 9)).select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
