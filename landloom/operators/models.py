@@ -51,6 +51,21 @@ def stratified_cap(df: DataFrame, label: str, row_id: str, most: int, seed: int
     return _place(df, [label], row_id, seed).where(C("place") <= quota[C(label)]).drop("place")
 
 
+def pooled_sample(df: DataFrame, key: str, label: str, row_id: str, most: int = 3000, seed: int = 42) -> DataFrame:
+    """At most ``most`` rows of each key (a sampling operator), the class shares of each key kept."""
+    sizes = df.groupBy(key, label).agg(F.count("*").alias("size")).withColumn("total", F.sum("size").over(Window.partitionBy(key)))
+    quota = F.when(C("total") <= most, C("size")).otherwise(F.greatest(F.lit(1.0), F.round(C("size") * F.lit(float(most)) / C("total"))))
+    placed = _place(df, [key, label], row_id, seed)
+    return placed.join(sizes.select(key, label, quota.alias("quota")), [key, label]).where(C("place") <= C("quota")).select(*df.columns)
+
+
+def chosen_set(results: DataFrame, prefix: str | None = None) -> str:
+    """The set whose name is or begins with ``prefix``; without one, or where none does, the set of the best AUC."""
+    rows = results.select("model", "auc").collect()  # sets
+    fits = sorted(r.model for r in rows if prefix and (r.model == prefix or r.model.startswith(f"{prefix} ")))
+    return fits[0] if fits else max(rows, key=lambda r: (-1.0 if r.auc is None else r.auc, r.model)).model
+
+
 def balanced_weights(df: DataFrame, label: str) -> DataFrame:
     """``weight``: rows over twice the class's rows."""
     counts = {r[0]: r[1] for r in df.groupBy(label).count().collect()}  # two classes

@@ -115,3 +115,17 @@ def stratified_split(spark, sf):
     own = pairs(spark, sf).where("lu1 between 1 and 6 and lu2 between 1 and 6")
     rows = own.select(C("y1").alias("year"), (C("y1") * G * G + C("r") * G + C("c")).cast("long").alias("id"), (C("lu1") != C("lu2")).cast("int").alias("is_update"))
     return M.stratified_split(rows, "is_update", "id", keys=["year"]).select("year", "id", "is_update", "is_train")
+
+
+_MOST = 500
+
+
+@query(
+    f"WITH {PAIRS}, s AS (SELECT y1 AS year, CAST(y1 * {G * G} + r * {G} + c AS BIGINT) AS id, CAST(lu1 <> lu2 AS INT) AS is_update FROM pairs WHERE lu1 BETWEEN 1 AND 6 AND lu2 BETWEEN 1 AND 6), "
+    "p AS (SELECT *, row_number() OVER (PARTITION BY year, is_update ORDER BY CAST('0x' || substr(md5(id || ' 42'), 1, 8) AS BIGINT), id) AS place, count(*) OVER (PARTITION BY year, is_update) AS size, count(*) OVER (PARTITION BY year) AS total FROM s) "
+    f"SELECT year, id, is_update FROM p WHERE place <= CASE WHEN total <= {_MOST} THEN size ELSE greatest(1, round(size * CAST({_MOST} AS DOUBLE) / total)) END"
+)
+def pooled_sample(spark, sf):
+    own = pairs(spark, sf).where("lu1 between 1 and 6 and lu2 between 1 and 6")
+    rows = own.select(C("y1").alias("year"), (C("y1") * G * G + C("r") * G + C("c")).cast("long").alias("id"), (C("lu1") != C("lu2")).cast("int").alias("is_update"))
+    return M.pooled_sample(rows, "year", "is_update", "id", _MOST)

@@ -63,3 +63,8 @@ def test_importance_of_each_period(query, table):
 def test_dependence_is_a_mean_score(query):
     rows = query("partial_dependence")
     assert rows and all(0 < r.mean_score < 1 for r in rows) and len({r.value for r in rows}) == len(rows)
+
+
+def test_a_set_is_chosen_by_name_or_by_its_auc(spark):
+    results = spark.createDataFrame([("M1 cell", 0.7), ("M2 all", 0.9), ("M10 more", None)], "model string, auc double")
+    assert M.chosen_set(results, "M1") == "M1 cell" and M.chosen_set(results) == M.chosen_set(results, "M7") == "M2 all"

@@ -49,3 +49,43 @@ def test_steps_store_resume_and_report(spark, tmp_path):
     assert len(calls) == 1
     again, status = steps.run(spark, plan, str(tmp_path), start="b", stop="b", overwrite=True)
     assert again["b"].count() == 2 and len(calls) == 1
+
+
+def test_polylines_of_shapefiles(spark, tmp_path):
+    import struct
+
+    from landloom.sources import shapes
+
+    records = [[[(0.0, 1.0), (2.0, 3.0)], [(5.0, 5.0), (6.0, 7.5), (8.0, 9.0)]], [], [[(1.0, 1.0), (1.0, 2.0)]]]
+    (tmp_path / "a.shp").write_bytes(shapes.encode_lines(records))
+    got = shapes.read_lines(spark, str(tmp_path / "*.shp")).orderBy("record", "part", "k").collect()
+    assert [(r.record, r.part, r.k, r.x, r.y) for r in got] == [(n, j, k, *p) for n, parts in enumerate(records) for j, part in enumerate(parts) for k, p in enumerate(part)]
+    fields = [(b"name", 8), (b"fclass", 4)]
+    rows = [(b"High St", b"a"), (b"", b"b"), (b"x", b"")]
+    head = struct.pack("<4BIHH20x", 3, 1, 1, 1, len(rows), 32 + 32 * len(fields) + 1, 1 + 12)
+    head += b"".join(struct.pack("<11sc4xBB14x", n, b"C", size, 0) for n, size in fields) + b"\r"
+    (tmp_path / "a.dbf").write_bytes(head + b"".join(b" " + a.ljust(8) + b.ljust(4) for a, b in rows))
+    own = shapes.read_attributes(spark, str(tmp_path / "*.dbf")).orderBy("record").collect()
+    assert [r.attributes for r in own] == [{"name": "High St", "fclass": "a"}, {"name": None, "fclass": "b"}, {"name": "x", "fclass": None}]
+    with pytest.raises(ValueError):
+        list(shapes.decode_lines(b"x" * 200))
+    x, y = shapes.web_metres(F.lit(180.0), F.lit(45.0))
+    at = spark.range(1).select(x.alias("x"), y.alias("y")).first()
+    assert abs(at.x - 20037508.342789244) < 1e-6 and abs(at.y - 5621521.486192066) < 1e-6
+
+
+def test_sheets_and_arrays(spark, tmp_path):
+    import numpy as np
+
+    from landloom.sinks import tables
+    from landloom.sources import sheets
+
+    df = spark.createDataFrame([("a", 1, None), ("b & c", None, 2.5)], "name string, n int, v double")
+    (tmp_path / "book.xlsx").write_bytes(tables.workbook({"first": df, "none": df.limit(0)}))
+    rows = sheets.read_sheets(spark, str(tmp_path / "*.xlsx"))
+    assert {(r.sheet, r.r, tuple(r.cells)) for r in rows.collect()} == {("first", 0, ("name", "n", "v")), ("first", 1, ("a", "1", None)), ("first", 2, ("b & c", None, "2.5")), ("none", 0, ("name", "n", "v"))}
+    assert sorted((r.r, r.fields["name"], r.fields["v"]) for r in sheets.with_header(rows).collect()) == [(1, "a", None), (2, "b & c", "2.5")]
+    np.save(tmp_path / "g.npy", np.arange(6).reshape(2, 3))
+    np.savez_compressed(tmp_path / "z.npz", lu=np.eye(2), line=np.array([7.0, 8.0]))
+    got = sheets.read_arrays(spark, str(tmp_path / "*.np[yz]")).collect()
+    assert {(r.name, r.r, r.c, r.value) for r in got} == {("", k // 3, k % 3, float(k)) for k in range(6)} | {("lu", 0, 0, 1.0), ("lu", 0, 1, 0.0), ("lu", 1, 0, 0.0), ("lu", 1, 1, 1.0), ("line", 0, 0, 7.0), ("line", 0, 1, 8.0)}
