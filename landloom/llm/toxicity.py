@@ -22,6 +22,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter, defaultdict
+from collections.abc import Sequence
 from heapq import nlargest
 from itertools import pairwise
 from operator import itemgetter
@@ -53,6 +54,8 @@ def _codes() -> np.ndarray:
 
 
 _CODE = _codes()
+#: The same by letter, for searches that look at one letter at a time.
+_LETTER = {chr(k): int(c) or OTHER for k, c in enumerate(_CODE[:0x250])}
 
 
 def encode(text: str) -> np.ndarray:
@@ -103,53 +106,58 @@ LEET = {
 AS_LETTER, AS_NOTHING, SEPARATOR, SHORTENED = 0.7, 9.0, 0.7, 1.0
 #: Readings that are features of a token: so many, and none so many nats behind the best.
 BEST, BEHIND = 6, 9.0
-_RUN = re.compile(r"(.)\1*", re.S)
 _TWICE = re.compile(r"(.)\1", re.S)
 
 
+_BRANCHING = re.compile(r"([^\W\d_])\1+|([\W\d_])\2*", re.S)
+
+
 def lattice(token: str) -> list[list[tuple[str, float]]]:
-    """The readings, with their costs, of each run of a character."""
-    out = []
-    for m in _RUN.finditer(token.lower()):
-        c, n = m.group(1), m.end() - m.start()
-        if c.isalpha():
-            readings = [(c * k, 0.0 if k == n else SHORTENED) for k in sorted({n, min(n, 2), 1})]
+    """The readings, with their costs, of each part: runs of a letter or of a symbol, and single letters between them."""
+    out, at, low = [], 0, token.lower()
+    for m in _BRANCHING.finditer(low):
+        if m.start() > at:
+            out.append([(low[at : m.start()], 0.0)])
+        at, c, n = m.end(), m.group()[0], m.end() - m.start()
+        if m.group(1):
+            readings = [(c, SHORTENED), (c * 2, 0.0 if n == 2 else SHORTENED)] + ([(c * n, 0.0)] if n > 2 else [])
         else:
             readings = [("", (AS_NOTHING if c.isalnum() or c in "@$" else SEPARATOR))]
             for x in LEET.get(c, ""):
                 cost = AS_LETTER + (2.0 if c == "*" else 0.0)
                 readings += [(x * k, cost * k if k == n else cost + SHORTENED) for k in sorted({n, 1})] if n < 4 else [(x, cost + SHORTENED)]
         out.append(readings)
-    return out
+    return out if at == len(low) else [*out, [(low[at:], 0.0)]]
 
 
-def _spelled(letters: str, a: int, b: int, model: np.ndarray) -> tuple[float, int, int]:
+def _spelled(letters: str, a: int, b: int, model: Sequence[float]) -> tuple[float, int, int]:
     """The log probability of the letters after the state (a, b), and the state they lead to."""
     total = 0.0
     for ch in letters:
-        z = int(_CODE[min(ord(ch), 0x250)]) or OTHER
-        total += float(model[a, b, z])
+        z = _LETTER.get(ch, OTHER)
+        total += model[(a << 12) + (b << 6) + z]
         a, b = b, z
     return total, a, b
 
 
-def spelling(word: str, model: np.ndarray) -> float:
+def spelling(word: str, model: Sequence[float]) -> float:
     """The log probability of a whole word."""
     total, a, b = _spelled(word, 0, 0, model)
-    return total + float(model[a, b, 0])
+    return total + model[(a << 12) + (b << 6)]
 
 
-def restore(token: str, model: np.ndarray, best: int = BEST) -> list[str]:
-    """The likeliest words that a disguised token stands for, best first."""
+def restore(token: str, model: Sequence[float], best: int = BEST) -> list[str]:
+    """The likeliest words that a disguised token stands for, best first; the model as one list, by three codes."""
     states: dict = {(0, 0): [(0.0, None)]}  # state -> its best paths: score, (path before, letters)
     for readings in lattice(token):
-        after: dict = defaultdict(list)
+        after: dict = {}
         for (a, b), paths in states.items():
             for letters, cost in readings:
                 add, x, y = _spelled(letters, a, b, model)
-                after[x, y] += [(s + add - cost, (path, letters) if letters else path) for s, path in paths]
-        states = {k: nlargest(best, v, key=itemgetter(0)) for k, v in after.items()}
-    ended = nlargest(best, ((s + float(model[a, b, 0]), path) for (a, b), paths in states.items() for s, path in paths), key=itemgetter(0))
+                add -= cost
+                after.setdefault((x, y), []).extend([(s + add, (path, letters) if letters else path) for s, path in paths])
+        states = {k: v if len(v) <= best else nlargest(best, v, key=itemgetter(0)) for k, v in after.items()}
+    ended = nlargest(best, ((s + model[(a << 12) + (b << 6)], path) for (a, b), paths in states.items() for s, path in paths), key=itemgetter(0))
     out = []
     for s, path in ended:
         letters = []
@@ -171,8 +179,9 @@ class Readings(dict):
 
     def __init__(self, model: np.ndarray, known: dict[str, int] | None):
         super().__init__()
-        self.model, self.known = model, known
+        self.model, self.known = model.ravel().tolist(), known
         self.long = {f: k for f, k in (known or {}).items() if len(f) > BEGINNING and not f.endswith("+")}
+        self.starts = {f[:k] for f in self.long for k in range(1, len(f))}
 
     def features(self, word: str) -> tuple:
         own = (word, word[:BEGINNING] + "+") if len(word) > BEGINNING else (word,)
@@ -207,7 +216,7 @@ class Readings(dict):
         """Features of known words that stand in two parts, where one word is likelier than two."""
         out: set = set()
         for a, b in pairwise(words):
-            if (w := a + b) in self.long and spelling(w, self.model) - SEPARATOR > spelling(a, self.model) + spelling(b, self.model):
+            if a in self.starts and (w := a + b) in self.long and spelling(w, self.model) - SEPARATOR > spelling(a, self.model) + spelling(b, self.model):
                 out |= set(self.features(w))
         return out
 

@@ -17,11 +17,15 @@ def model():
     return T.log_model(np.bincount((c[:-2] << 12) + (c[1:-1] << 6) + c[2:], minlength=T.CODES**3).astype(float))
 
 
+def flat(model):
+    return model.ravel().tolist()
+
+
 def every_path(token, model):
     out = []
     for path in itertools.product(*T.lattice(token)):
         word = "".join(letters for letters, _ in path)
-        out.append((T.spelling(word, model) - sum(cost for _, cost in path), word))
+        out.append((T.spelling(word, flat(model)) - sum(cost for _, cost in path), word))
     return sorted(out, reverse=True)
 
 
@@ -35,7 +39,7 @@ def test_viterbi_finds_the_best_of_all_paths(model, seed):
         if w and s > paths[0][0] - T.BEHIND:
             scores.setdefault(w, s)
     cut = paths[T.BEST - 1][0] if len(paths) >= T.BEST else -np.inf
-    got = T.restore(token, model)
+    got = T.restore(token, flat(model))
     assert {w for w, s in scores.items() if s > cut + 1e-5} <= set(got)
     assert all(any(abs(s - max(x for x, v in paths if v == w)) < 1e-4 or s >= cut - 1e-4 for s, v in paths if v == w) for w in got)
     if paths[0][1] and paths[0][0] > paths[1][0] + 1e-4 if len(paths) > 1 else paths[0][1]:
@@ -62,7 +66,7 @@ def test_clean_words_stay_clean(model):
 def test_very_long_tokens(model):
     rng = random.Random(1)
     token = "".join(rng.choice("stupid013@$!*") for _ in range(20_000))
-    assert T.restore(token, model)
+    assert T.restore(token, flat(model))
 
 
 def test_sparse_newton_equals_dense():
