@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from . import collision, hmm, mixing, nndescent, packing, secrets, sharding, simhash, toxicity, urls
+from . import alignment, collision, counts, hmm, kdtrees, mixing, nndescent, packing, secrets, sharding, simhash, toxicity, urls
 
 QUERIES = {
     "op10_simhash_near_dedup": simhash.query,
+    "op11_token_counts": counts.query,
+    "op12_tokenizer_alignment": alignment.query,
+    "op13_centroid_clustering": kdtrees.query,
     "op1_toxicity": toxicity.query,
     "op4_embedding_near_dedup": nndescent.query,
     "op5_nearest_neighbours": collision.query,
@@ -17,5 +20,6 @@ QUERIES = {
     "op3_best_fit_packing": packing.query,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op13_centroid_clustering": kdtrees.sql(),
     "op8_mixing": mixing.sql(),
 }
