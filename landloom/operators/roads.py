@@ -6,7 +6,6 @@ meet in an equi-join of neighbouring buckets instead of a comparison of all pair
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Sequence
 
 import numpy as np
@@ -16,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import angular_cost
 from .components import graph_components
+from .durable import cut
 
 C = F.col
 
@@ -142,61 +142,156 @@ def cell_links(pixels: DataFrame, rows: int, cols: int) -> DataFrame:
 # ---------------------------------------------------------------- searches
 
 
-def _adjacency(part: pd.DataFrame) -> tuple[np.ndarray, dict[int, list[tuple[int, float, float]]]]:
-    near: dict[int, list[tuple[int, float, float]]] = {}
-    for a, b, ang, geo in zip(part["src"], part["dst"], part["ang"], part["geo"], strict=True):
-        near.setdefault(int(a), []).append((int(b), float(ang), float(geo)))
-        near.setdefault(int(b), []).append((int(a), float(ang), float(geo)))
-    return np.array(sorted(near)), near
-
-
-def _search(source: int, near: dict, radius: float):
-    """Angular shortest paths within a metric radius: the order of settling, cost, length, ways and predecessors."""
-    cost, length, ways, before, settled = {source: 0.0}, {source: 0.0}, {source: 1.0}, {source: []}, []
-    done, heap = set(), [(0.0, source)]
-    while heap:
-        d, u = heapq.heappop(heap)
-        if u in done or d > cost[u] + 1e-9:
-            continue
-        done.add(u)
-        settled.append(u)
-        for v, ang, geo in near.get(u, ()):
-            far = length[u] + geo
-            if far > radius or v in done:
-                continue
-            new, old = d + ang, cost.get(v, np.inf)
-            if new < old - 1e-9:
-                cost[v], length[v], ways[v], before[v] = new, far, ways[u], [u]
-                heapq.heappush(heap, (new, v))
-            elif abs(new - old) <= 1e-9:
-                ways[v] += ways[u]
-                before[v].append(u)
-    return settled, cost, length, ways, before
-
-
-def _by_city(edges: DataFrame, lengths: DataFrame, group: str) -> tuple[DataFrame, DataFrame]:
-    return edges.select(C(group).alias("g"), "src", "dst", "ang", "geo"), lengths.select(C(group).alias("h"), C("pid"), "length")
-
-
-def graph_metrics(edges: DataFrame, lengths: DataFrame, radii: Sequence[float], group: str = "city") -> DataFrame:
+def _tiles(edges: DataFrame, places: DataFrame, radius: float, group: str, tile: float | None, most: int) -> tuple[DataFrame, DataFrame]:
+    """The edges and sources of each block: (g, i, j, part, src, dst, ang, geo) and (g, i, j, part, pid).
+
+    An edge joins places at most ``stretch`` times its length apart, so whatever a search of ``radius`` reaches lies within
+    ``stretch * radius`` of its source.  A block is a square of the grid with all edges inside that halo; the sources of a
+    dense square are dealt into parts of about ``most``, each with the square's edges."""
+    at = places.select(C(group).alias("g"), "pid", C("xm").cast("double").alias("xm"), C("ym").cast("double").alias("ym"))
+    end = lambda c: at.select("g", C("pid").alias(c), *(C(v).alias(f"{c}_{v}") for v in ("xm", "ym")))
+    placed = cut(edges.select(C(group).alias("g"), "src", "dst", C("ang").cast("double").alias("ang"), C("geo").cast("double").alias("geo")).join(end("src"), ["g", "src"]).join(end("dst"), ["g", "dst"]))
+    away = F.hypot(C("src_xm") - C("dst_xm"), C("src_ym") - C("dst_ym"))
+    stretch = placed.agg(F.max(F.try_divide(away, C("geo"))).alias("s")).first().s or 1.0
+    reach = stretch * radius * (1 + 1e-9) + 1e-6
+    size = tile or 2 * reach
+    place = lambda c, v, by: F.floor((C(f"{c}_{v}") + by) / size)
+    of = lambda c: placed.select("g", C(c).alias("pid"), place(c, "xm", 0.0).alias("i"), place(c, "ym", 0.0).alias("j"))
+    own = of("src").unionByName(of("dst")).distinct()
+    parts = own.groupBy("g", "i", "j").agg(F.ceil(F.count("*") / most).cast("int").alias("parts"))
+    span = lambda v: F.explode(F.sequence(F.greatest(place("src", v, -reach), place("dst", v, -reach)), F.least(place("src", v, reach), place("dst", v, reach))))
+    near = placed.where(C("geo") <= radius + 1e-9).withColumn("i", span("xm")).withColumn("j", span("ym")).select("g", "i", "j", "src", "dst", "ang", "geo")
+    whole = near.join(parts, ["g", "i", "j"]).withColumn("part", F.explode(F.sequence(F.lit(0), C("parts") - 1))).drop("parts")
+    dealt = own.join(parts, ["g", "i", "j"]).withColumn("part", F.pmod(F.xxhash64("pid"), C("parts")).cast("int")).drop("parts")
+    return whole, dealt
+
+
+class _Block:
+    """A block's graph as arrays: neighbours of segment k are ``to[at[k]:at[k + 1]]``; ids ascend, so places order like ids."""
+
+    def __init__(self, edges: pd.DataFrame, sources: pd.DataFrame):
+        a, b = edges["src"].to_numpy(np.int64), edges["dst"].to_numpy(np.int64)
+        own = np.unique(sources["pid"].to_numpy(np.int64))
+        self.ids = np.unique(np.concatenate([a, b, own]))
+        start, end = np.searchsorted(self.ids, np.concatenate([a, b])), np.searchsorted(self.ids, np.concatenate([b, a]))
+        order = np.argsort(start, kind="stable")
+        self.to, self.ang, self.geo = end[order], np.tile(edges["ang"].to_numpy(float), 2)[order], np.tile(edges["geo"].to_numpy(float), 2)[order]
+        self.at = np.searchsorted(start[order], np.arange(len(self.ids) + 1))
+        self.sources = np.searchsorted(self.ids, own)
+
+    def rounds(self, cells: int = 1 << 21):
+        """The sources in runs whose state fits ``cells`` numbers."""
+        step = max(1, cells // max(1, len(self.ids)))
+        for k in range(0, len(self.sources), step):
+            yield self.sources[k : k + step]
+
+    def search(self, sources: np.ndarray, radius: float, ways: bool = False):
+        """Label setting from all sources side by side, a segment of each at a time.
+
+        Open segments are settled by (angle, length, id).  A label gives way only to an angle smaller by more than 1e-9, so
+        its length is that of the first way of its angle; ways longer than the radius are not followed."""
+        n, v = len(sources), len(self.ids)
+        row = np.arange(n)
+        angle, length, turn = np.full((n, v), np.inf), np.full((n, v), np.inf), np.full((n, v), -1)
+        open_ = np.full((n, v), np.inf)  # the angle of what is labelled and not settled
+        angle[row, sources] = length[row, sources] = open_[row, sources] = 0.0
+        count = np.zeros((n, v) if ways else (0, 0))
+        version = np.zeros(count.shape, np.int32)
+        steps: list[tuple[np.ndarray, ...]] = []
+        if ways:
+            count[row, sources] = 1.0
+        at = 0
+        while len(row):
+            least = open_[row].min(1)
+            row = row[np.isfinite(least)]
+            if not len(row):
+                break
+            now = open_[row]
+            u = np.where(now == least[np.isfinite(least)][:, None], length[row], np.inf).argmin(1)
+            open_[row, u], turn[row, u] = np.inf, at
+            at += 1
+            many = self.at[u + 1] - self.at[u]
+            r, k = np.repeat(row, many), np.arange(many.sum()) - np.repeat(np.cumsum(many) - many - self.at[u], many)
+            back, to = np.repeat(u, many), self.to[k]
+            far, new = length[r, back] + self.geo[k], angle[r, back] + self.ang[k]
+            fine = (far <= radius + 1e-9) & (turn[r, to] < 0)
+            r, back, to, far, new = r[fine], back[fine], to[fine], far[fine], new[fine]
+            old = angle[r, to]
+            less = new < old - 1e-9
+            angle[r[less], to[less]] = open_[r[less], to[less]] = new[less]
+            length[r[less], to[less]] = far[less]
+            if ways:
+                same = ~less & (np.abs(new - old) < 1e-9)
+                version[r[less], to[less]] += 1
+                count[r[less], to[less]] = count[r[less], back[less]]
+                count[r[same], to[same]] += count[r[same], back[same]]
+                keep = less | same
+                steps.append((r[keep], to[keep], back[keep], version[r[keep], to[keep]]))
+        return angle, turn, count, version, steps
+
+    def passed(self, sources: np.ndarray, radius: float) -> np.ndarray:
+        """What the shortest ways of these sources lay on each segment, the sources themselves left out.
+
+        Shares are passed back by falling angle, and among equal angles in the order of settling."""
+        angle, turn, count, version, steps = self.search(sources, radius, ways=True)
+        n = len(sources)
+        order = np.lexsort((turn, np.where(turn >= 0, -angle, np.inf)), axis=1)
+        rank = np.empty_like(order)
+        np.put_along_axis(rank, order, np.arange(len(self.ids))[None].repeat(n, 0), 1)
+        share = np.zeros(angle.shape)
+        if steps:
+            r, to, back, of = (np.concatenate(x) for x in zip(*steps, strict=True))
+            held = (of == version[r, to]) & (turn[r, to] >= 0)
+            r, to, back = r[held], to[held], back[held]
+            turns = rank[r, to]
+            by = np.argsort(turns, kind="stable")
+            for own in np.split(by, np.flatnonzero(np.diff(turns[by])) + 1):
+                a, b, c = r[own], to[own], back[own]  # a segment of each source: no place twice
+                share[a, c] += count[a, c] / count[a, b] * (1.0 + share[a, b])
+        share[np.arange(n), sources] = 0.0
+        return share.sum(0)
+
+
+def _in_blocks(whole: DataFrame, dealt: DataFrame, run, schema: str) -> DataFrame:
+    """run(edges, sources) of every block."""
+    keys = ("g", "i", "j", "part")
+    own = dealt.withColumnsRenamed({k: f"own_{k}" for k in keys})
+    kind = whole.schema["g"].dataType.simpleString()
+    return whole.groupBy(*keys).cogroup(own.groupBy(*(f"own_{k}" for k in keys))).applyInPandas(run, f"g {kind}, {schema}")
+
+
+def _with_places(df: DataFrame) -> DataFrame:
+    """Without xm and ym all is at one place, so a group is one block."""
+    return df if "xm" in df.columns else df.select("*", F.lit(0.0).alias("xm"), F.lit(0.0).alias("ym"))
+
+
+def graph_metrics(edges: DataFrame, lengths: DataFrame, radii: Sequence[float], group: str = "city", tile: float | None = None, most: int = 2000) -> DataFrame:
     """Per segment and radius: nodes reached (the source too), total angle, total length, and the derived measures.
 
-    A city's graph is the unit of the search; cities run in parallel."""
+    lengths(group, pid, length, xm, ym).  A block of space with a halo of the largest radius is the unit of the search, so
+    no task holds a city; without xm and ym a group is one block."""
 
-    def run(e: pd.DataFrame, lens: pd.DataFrame) -> pd.DataFrame:
+    def run(e: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
         out = []
-        ids, near = _adjacency(e)
-        own = dict(zip(lens["pid"], lens["length"], strict=True))
-        g = (e["g"] if len(e) else lens["h"]).iloc[0]
-        for s in ids.tolist():
-            for radius in radii:
-                settled, cost, *_ = _search(s, near, radius)
-                out.append((g, s, float(radius), len(settled), sum(cost[v] for v in settled), sum(own.get(v, 0.0) for v in settled)))
-        return pd.DataFrame(out, columns=["g", "pid", "radius", "nc", "td", "tl"])
-
-    a, b = _by_city(edges, lengths, group)
-    kind = edges.schema[group].dataType.simpleString()
-    found = a.groupBy("g").cogroup(b.groupBy("h")).applyInPandas(run, f"g {kind}, pid long, radius double, nc long, td double, tl double")
+        if len(s):
+            block = _Block(e, s)
+            own = np.zeros(len(block.ids))
+            for side in ("src", "dst"):
+                own[np.searchsorted(block.ids, e[side].to_numpy(np.int64))] = e[f"{side}_length"].to_numpy(float)
+            own[np.searchsorted(block.ids, s["pid"].to_numpy(np.int64))] = s["length"].to_numpy(float)
+            for part in block.rounds():
+                for radius in radii:
+                    angle, turn, *_ = block.search(part, radius)
+                    in_ = turn >= 0
+                    out.append(pd.DataFrame({"g": s["own_g"].iloc[0], "pid": block.ids[part], "radius": float(radius), "nc": in_.sum(1), "td": np.where(in_, angle, 0.0).sum(1), "tl": in_ @ own}))
+        return pd.concat(out) if out else pd.DataFrame({n: [] for n in ("g", "pid", "radius", "nc", "td", "tl")})
+
+    own = lengths.select(C(group).alias("g"), "pid", F.coalesce(C("length"), F.lit(0.0)).cast("double").alias("length"))
+    whole, dealt = _tiles(edges, _with_places(lengths), max(radii), group, tile, most)
+    for side in ("src", "dst"):
+        whole = whole.join(own.withColumnsRenamed({"pid": side, "length": f"{side}_length"}), ["g", side])
+    dealt = dealt.join(own, ["g", "pid"])
+    found = _in_blocks(whole, dealt, run, "pid long, radius double, nc long, td double, tl double")
     td = F.when(C("td") > 0, C("td"))
     return found.select(
         C("g").alias(group), "pid", "radius", "nc", "td", "tl",
@@ -205,27 +300,29 @@ def graph_metrics(edges: DataFrame, lengths: DataFrame, radii: Sequence[float],
     )
 
 
-def betweenness(edges: DataFrame, radius: float, sources: int = 3000, group: str = "city") -> DataFrame:
-    """Sampled betweenness of segments: ``sources`` of them, those with the smallest hashes, scaled up to all."""
-
-    def run(e: pd.DataFrame) -> pd.DataFrame:
-        ids, near = _adjacency(e)
-        rank = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(11)
-        chosen = ids[np.lexsort((ids, rank))][:sources]
-        total = dict.fromkeys(ids.tolist(), 0.0)
-        for s in chosen.tolist():
-            settled, _, _, ways, before = _search(s, near, radius)
-            delta = dict.fromkeys(settled, 0.0)
-            for v in reversed(settled):
-                for u in before[v]:
-                    delta[u] += ways[u] / ways[v] * (1 + delta[v])
-                if v != s:
-                    total[v] += delta[v]
-        scale = len(ids) / max(1, len(chosen))
-        return pd.DataFrame({"g": e["g"].iloc[0], "pid": list(total), "choice": [x * scale for x in total.values()]})
-
-    own = edges.select(C(group).alias("g"), "src", "dst", "ang", "geo")
-    return own.groupBy("g").applyInPandas(run, f"g {edges.schema[group].dataType.simpleString()}, pid long, choice double").withColumnRenamed("g", group)
+def betweenness(edges: DataFrame, radius: float, sources: int = 3000, group: str = "city", places: DataFrame | None = None, tile: float | None = None, most: int = 2000) -> DataFrame:
+    """Sampled betweenness of segments: ``sources`` of a group, those with the smallest hashes, scaled up to all.
+
+    places(group, pid, xm, ym) cut the search into blocks of space; without them a group is one block."""
+
+    def run(e: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
+        if not len(s):
+            return pd.DataFrame({"g": [], "pid": [], "laid": []})
+        block = _Block(e, s)
+        total = np.zeros(len(block.ids))
+        for part in block.rounds():
+            total += block.passed(part, radius)
+        return pd.DataFrame({"g": s["own_g"].iloc[0], "pid": block.ids, "laid": total})
+
+    ids = edges.select(C(group).alias("g"), F.explode(F.array("src", "dst")).alias("pid")).distinct()
+    of_group = ids.groupBy("g").agg(F.count("*").alias("n"))
+    rank = F.row_number().over(Window.partitionBy("g").orderBy(F.xxhash64("pid"), "pid"))
+    chosen = ids.withColumn("rank", rank).where(C("rank") <= sources).select("g", "pid") if sources < 1 << 31 else None
+    whole, dealt = _tiles(edges, _with_places(ids.withColumnRenamed("g", group) if places is None else places), radius, group, tile, most)
+    found = _in_blocks(whole, dealt.join(chosen, ["g", "pid"], "left_semi") if chosen else dealt, run, "pid long, laid double")
+    laid = found.groupBy("g", "pid").agg(F.sum("laid").alias("laid"))
+    scale = C("n") / F.least(C("n"), F.lit(sources))
+    return ids.join(laid, ["g", "pid"], "left").join(of_group, "g").select(C("g").alias(group), "pid", (F.coalesce("laid", F.lit(0.0)) * scale).alias("choice"))
 
 
 def nach(choice: Column, td: Column) -> Column:

@@ -12,12 +12,15 @@ from .base import VERTICES, read, sql_least, vertices
 from .registry import query
 
 C = F.col
-#: Cities lie side by side, further apart than any polyline or search radius of one city's board reaches.
-_APART = 1000
+#: Cities lie side by side, further apart than any board or search radius reaches.
+_APART = 1 << 20
+#: A board's places by a city's orders: its side grows so that places, and thus nodes, are as crowded in any table.
+_PLACES = 7
 _CITY_OF = "home AS (SELECT o_orderkey AS pid, CAST(coalesce(min(c_nationkey), -1) AS INT) AS city FROM orders LEFT JOIN customer ON c_custkey = o_custkey GROUP BY 1)"
 _CITY = (
-    VERTICES.replace("v AS (", "own AS (", 1) + f", {_CITY_OF}, "
-    f"v AS (SELECT coalesce(city, -1) AS city, own.pid, k, x + {_APART} * coalesce(city, -1) AS x, y FROM own LEFT JOIN home ON home.pid = own.pid)"
+    VERTICES.replace("v AS (", "own AS (", 1).replace(" % 64 AS INT)", " AS INT)") + f", {_CITY_OF}, "
+    f"board AS (SELECT city, CAST(greatest(64, ceil(sqrt(CAST({_PLACES} * count(*) AS DOUBLE)))) AS INT) AS side FROM home GROUP BY 1), "
+    f"v AS (SELECT coalesce(home.city, -1) AS city, own.pid, k, CAST(x % coalesce(side, 64) AS BIGINT) + {_APART} * coalesce(home.city, -1) AS x, y % coalesce(side, 64) AS y FROM own LEFT JOIN home ON home.pid = own.pid LEFT JOIN board ON board.city = coalesce(home.city, -1))"
 )
 _STEPS = ", s AS (SELECT * FROM (SELECT pid, k, CAST(x AS DOUBLE) AS x0, CAST(y AS DOUBLE) AS y0, CAST(lead(x) OVER w AS DOUBLE) AS x1, CAST(lead(y) OVER w AS DOUBLE) AS y1 FROM v WINDOW w AS (PARTITION BY pid ORDER BY k)) WHERE x1 IS NOT NULL), l AS (SELECT *, sqrt((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0)) AS len FROM s)"
 _ARCS = _STEPS + ", a AS (SELECT *, sum(len) OVER (PARTITION BY pid ORDER BY k) - len AS before, sum(len) OVER (PARTITION BY pid) AS total FROM l)"
@@ -46,10 +49,16 @@ def _city_of(spark, sf):
     return home.groupBy("pid").agg(F.coalesce(F.min("c_nationkey"), F.lit(-1)).cast("int").alias("city"))
 
 
+def _boards(spark, sf):
+    """city, side: at most a row for each nation."""
+    return _city_of(spark, sf).groupBy("city").agg(F.greatest(F.lit(64), F.ceil(F.sqrt((F.count("*") * _PLACES).cast("double")))).cast("int").alias("side"))
+
+
 def _city_vertices(spark, sf):
     """city and the vertices of all orders; no two cities share a node."""
-    own = vertices(spark, sf).join(_city_of(spark, sf), "pid", "left").withColumn("city", F.coalesce("city", F.lit(-1)))
-    return own.select("city", "pid", "k", (C("x") + C("city") * _APART).alias("x"), "y")
+    own = vertices(spark, sf, None).join(_city_of(spark, sf), "pid", "left").withColumn("city", F.coalesce("city", F.lit(-1)))
+    side = F.coalesce("side", F.lit(64))
+    return own.join(F.broadcast(_boards(spark, sf)), "city", "left").select("city", "pid", "k", (C("x") % side + C("city") * _APART).alias("x"), (C("y") % side).alias("y"))
 
 
 @query(f"WITH {VERTICES}{_STEPS}, p AS (SELECT pid, x0, y0, x1, y1, i.range AS i, greatest(CAST(trunc(len) AS INT) * 3, 3) AS n FROM l, LATERAL range(greatest(CAST(trunc(len) AS INT) * 3, 3)) i) SELECT DISTINCT pid, CAST(round_even(y0 + (y1 - y0) * (CAST(i AS DOUBLE) / (n - 1)), 0) AS INT) AS r, CAST(round_even(x0 + (x1 - x0) * (CAST(i AS DOUBLE) / (n - 1)), 0) AS INT) AS c FROM p")
@@ -96,17 +105,20 @@ def largest_component(spark, sf):
     return N.largest_component(poly_nodes)
 
 
-_EDGE = f"(((x % {_APART}) + {_APART}) % {_APART} <= 2 OR y <= 2 OR ((x % {_APART}) + {_APART}) % {_APART} >= 61 OR y >= 61)"
+_EDGE = f"(x - {_APART} * floor(x / {_APART}) <= 2 OR y <= 2 OR x - {_APART} * floor(x / {_APART}) >= coalesce(side, 64) - 3 OR y >= coalesce(side, 64) - 3)"
 
 
-def _at_edge(x):
-    return (F.pmod(x, F.lit(_APART)) <= 2) | (C("y") <= 2) | (F.pmod(x, F.lit(_APART)) >= 61) | (C("y") >= 61)
+def _at_edge(nodes, spark, sf):
+    """nodes with boundary: within a few places of the border of their city's board."""
+    home = F.floor(C("x") / _APART)
+    x, last = C("x") - home * _APART, F.coalesce("side", F.lit(64)) - 3
+    return nodes.withColumn("home", home.cast("int")).join(F.broadcast(_boards(spark, sf).withColumnRenamed("city", "home")), "home", "left").withColumn("boundary", (x <= 2) | (C("y") <= 2) | (x >= last) | (C("y") >= last))
 
 
-@query(f"WITH {_NODES}, b AS (SELECT nid, avg(x) AS x, avg(y) AS y, count(DISTINCT pid) AS degree FROM m GROUP BY 1) SELECT nid, degree, {_EDGE} AS boundary, degree = 1 AS dead_end FROM b")
+@query(f"WITH {_NODES}, b AS (SELECT nid, avg(x) AS x, avg(y) AS y, count(DISTINCT pid) AS degree FROM m GROUP BY 1) SELECT nid, degree, {_EDGE} AS boundary, degree = 1 AS dead_end FROM b LEFT JOIN board ON board.city = floor(x / {_APART})")
 def boundary_nodes(spark, sf):
     nodes, _ = N.topology(_city_vertices(spark, sf), 0.3)
-    return nodes.select("nid", "degree", _at_edge(C("x")).alias("boundary"), (C("degree") == 1).alias("dead_end"))
+    return _at_edge(nodes, spark, sf).select("nid", "degree", "boundary", (C("degree") == 1).alias("dead_end"))
 
 
 _SEG = ", per AS (SELECT pid, count(*) - 1 AS parts FROM v GROUP BY 1), len AS (SELECT pid, max(total) AS total FROM a GROUP BY 1), dir AS (SELECT v.pid, max(CASE WHEN k = 0 THEN x END) ax, max(CASE WHEN k = 0 THEN y END) ay, max(CASE WHEN k = least(3, parts) THEN x END) a1x, max(CASE WHEN k = least(3, parts) THEN y END) a1y, max(CASE WHEN k = parts THEN x END) bx, max(CASE WHEN k = parts THEN y END) by_, max(CASE WHEN k = parts - least(3, parts) THEN x END) b1x, max(CASE WHEN k = parts - least(3, parts) THEN y END) b1y FROM v JOIN per ON per.pid = v.pid GROUP BY 1), sd AS (SELECT pn.pid, total, na AS n, a1x - ax AS dx, a1y - ay AS dy FROM pn JOIN dir USING (pid) JOIN len USING (pid) WHERE na <> nb AND total > 0 UNION ALL SELECT pn.pid, total, nb, b1x - bx, b1y - by_ FROM pn JOIN dir USING (pid) JOIN len USING (pid) WHERE na <> nb AND total > 0), ae AS (SELECT a.pid AS src, b.pid AS dst, min((180 - degrees(acos(greatest(-1, least(1, CAST(a.dx * b.dx + a.dy * b.dy AS DOUBLE) / (sqrt(CAST(a.dx * a.dx + a.dy * a.dy AS DOUBLE)) * sqrt(CAST(b.dx * b.dx + b.dy * b.dy AS DOUBLE)))))))) / 90) AS ang, min((a.total + b.total) / 2) AS geo FROM sd a JOIN sd b ON a.n = b.n AND a.pid < b.pid WHERE (a.dx <> 0 OR a.dy <> 0) AND (b.dx <> 0 OR b.dy <> 0) GROUP BY 1, 2)"
@@ -177,8 +189,8 @@ def graph_metrics(spark, sf):
 
 @query()
 def betweenness(spark, sf):
-    _, _, _, edges = _cities(spark, sf)
-    return N.betweenness(edges, float(CHOICE_RADII[1]), sources=_ALL)
+    _, _, segs, edges = _cities(spark, sf)
+    return N.betweenness(edges, float(CHOICE_RADII[1]), sources=_ALL, places=segs)
 
 
 @query()
@@ -189,7 +201,7 @@ def syntax_wide(spark, sf):
     metrics = N.graph_metrics(edges, segs, [float(r) for r in RADII])
     wide = metrics.groupBy("city", "pid").agg(*(F.max(F.when(C("radius") == r, C(m))).alias(f"r{r}_{m}") for r in RADII for m in MEASURES))
     for r in CHOICE_RADII:
-        wide = wide.join(N.betweenness(edges, float(r), sources=_ALL).withColumnRenamed("choice", f"r{r}_choice"), ["city", "pid"])
+        wide = wide.join(N.betweenness(edges, float(r), sources=_ALL, places=segs).withColumnRenamed("choice", f"r{r}_choice"), ["city", "pid"])
     return wide.select("city", "pid", *(N.nach(C(f"{m[:-5]}_choice"), C(f"{m[:-5]}_td")).alias(m) if m.endswith("_nach") else C(m) for m in METRICS))
 
 
@@ -210,4 +222,4 @@ def syntax_cells(spark, sf):
 def road_closure(spark, sf):
     nodes, poly_nodes, segs, _ = _cities(spark, sf)
     polys = segs.select("city", "pid", (C("pid") % 7).cast("int").alias("grade"), (C("pid") % 11).cast("string").alias("name"), "length", (C("pid") % 3 != 0).alias("alive"))
-    return N.close_roads(polys, poly_nodes, nodes.withColumn("boundary", _at_edge(C("x"))))
+    return N.close_roads(polys, poly_nodes, _at_edge(nodes, spark, sf))

@@ -165,6 +165,76 @@ def test_searches_equal_brute_force(spark):
         assert got[s].nc == len(dist) and abs(got[s].td - sum(dist.values())) < 1e-9 and abs(got[s].tl - sum(dist)) < 1e-9
 
 
+def _plain_search(source, near, radius):
+    """Settling by (angle, length, id) from a sorted list; a label changes only for an angle that is smaller by 1e-9."""
+    label, ways, before, order, queue = {source: 0.0}, {source: 1.0}, {source: []}, [], [(0.0, 0.0, source)]
+    while queue:
+        queue.sort()
+        angle, length, u = queue.pop(0)
+        if u in order or label[u] < angle - 1e-9:
+            continue
+        order.append(u)
+        for v, (x, g) in sorted(near[u].items()):
+            if v in order or length + g > radius + 1e-9:
+                continue
+            old = label.get(v, float("inf"))
+            if angle + x < old - 1e-9:
+                label[v], ways[v], before[v] = angle + x, ways[u], [u]
+                queue.append((angle + x, length + g, v))
+            elif abs(angle + x - old) < 1e-9:
+                ways[v] += ways[u]
+                before[v].append(u)
+    share = dict.fromkeys(order, 0.0)
+    for v in sorted(order, key=lambda v: -label[v]):
+        for u in before[v]:
+            share[u] += ways[u] / ways[v] * (1 + share[v])
+    share[source] = 0.0
+    return {v: label[v] for v in order}, share
+
+
+def test_equal_angles_settle_the_shorter_way_first(spark):
+    edges = [(0, 1, 10.0), (0, 2, 1.0), (1, 3, 1.0), (2, 3, 1.0), (3, 4, 1.0)]
+    df = spark.createDataFrame([(0, a, b, 0.0, g) for a, b, g in edges], "city int, src long, dst long, ang double, geo double")
+    lens = spark.createDataFrame([(0, k, 1.0) for k in range(5)], "city int, pid long, length double")
+    assert {r.pid: r.nc for r in roads.graph_metrics(df, lens, [11.5]).collect()}[0] == 5
+
+
+def test_searches_in_blocks_equal_the_search_of_the_whole(spark):
+    rng = random.Random(11)
+    spots = {k: (rng.uniform(0, 40), rng.uniform(0, 40)) for k in range(130)}
+    edges = {}
+    for a in spots:
+        for b in spots:
+            away = ((spots[a][0] - spots[b][0]) ** 2 + (spots[a][1] - spots[b][1]) ** 2) ** 0.5
+            if a < b and away < 6 and rng.random() < 0.6:
+                edges[a, b] = (rng.choice([0.0, 0.0, 0.5, 1.0, rng.random()]), round(away * rng.choice([0.9, 1.0, 1.3]), 1) + 0.1)
+    near = {}
+    for (a, b), v in edges.items():
+        near.setdefault(a, {})[b] = near.setdefault(b, {})[a] = v
+    df = spark.createDataFrame([(7, a, b, x, g) for (a, b), (x, g) in edges.items()], "city int, src long, dst long, ang double, geo double")
+    lens = spark.createDataFrame([(7, k, float(k), x, y) for k, (x, y) in spots.items()], "city int, pid long, length double, xm double, ym double")
+    radii = [4.0, 9.0]
+    plain = {(s, r): _plain_search(s, near, r) for s in near for r in radii}
+    choice = dict.fromkeys(near, 0.0)
+    for s in near:
+        for v, x in plain[s, 9.0][1].items():
+            choice[v] += x
+    for tile, most in ((1e6, 2000), (20.0, 2000), (7.0, 2000), (20.0, 4)):
+        got = roads.graph_metrics(df, lens, radii, tile=tile, most=most).collect()
+        assert len(got) == 2 * len(near)
+        for r in got:
+            label, _ = plain[r.pid, r.radius]
+            assert r.nc == len(label) and abs(r.td - sum(label.values())) < 1e-9 and abs(r.tl - sum(label)) < 1e-9
+        laid = {r.pid: r.choice for r in roads.betweenness(df, 9.0, places=lens, tile=tile, most=most).collect()}
+        assert laid.keys() == choice.keys() and all(abs(laid[k] - choice[k]) < 1e-9 for k in choice)
+
+
+def test_sampled_betweenness_is_scaled(spark):
+    df = spark.createDataFrame([(0, k, k + 1, 1.0, 1.0) for k in range(9)], "city int, src long, dst long, ang double, geo double")
+    whole, some = ({r.pid: r.choice for r in roads.betweenness(df, 1e9, sources=n).collect()} for n in (10, 5))
+    assert sum(whole.values()) == 240 and all(x % 2 == 0 for x in some.values()) and some != whole
+
+
 def test_betweenness_of_a_path(spark):
     df = spark.createDataFrame([(0, k, k + 1, 1.0, 1.0) for k in range(4)], "city int, src long, dst long, ang double, geo double")
     assert {r.pid: r.choice for r in roads.betweenness(df, 1e9).collect()} == {0: 4.0 - 4.0, 1: 6.0, 2: 8.0, 3: 6.0, 4: 0.0}
