@@ -330,38 +330,41 @@ def nach(choice: Column, td: Column) -> Column:
     return F.ln(choice + 1) / F.greatest(F.ln(td + 3), F.lit(1e-9))
 
 
+def _granted(wants: DataFrame) -> DataFrame:
+    """wants(nid, pid, order): the roads that the nodes get when they choose by ``order``, one after another by id.
+
+    All nodes ask for their best at once and a road goes to the smallest of them; those it refuses ask again.  As every
+    road prefers nodes in the same order, that ends where taking turns ends."""
+    refused = None
+    while True:
+        left = wants if refused is None else wants.join(refused, ["nid", "pid"], "left_anti")
+        asked = cut(left.groupBy("nid").agg(F.min("order").alias("o")).select("nid", C("o.pid").alias("pid")))
+        first = asked.groupBy("pid").agg(F.min("nid").alias("winner"))
+        lost = cut(asked.join(first, "pid").where("nid <> winner").select("nid", "pid"))
+        if lost.isEmpty():
+            return asked.select("pid")
+        refused = lost if refused is None else cut(refused.unionByName(lost))
+
+
 def close_roads(polys: DataFrame, poly_nodes: DataFrame, nodes: DataFrame, main: int = 3, rounds: int = 15) -> DataFrame:
     """Main-road closure.  polys(city, pid, grade, name, length, alive); nodes has boundary.
 
     At a node where one main road ends though other roads lead on (not at the boundary, not a dead end), the best of the
     main roads among those joins: the best grade, then the same name (empty ones differ), then the shortest; at most one
-    grade below.  The nodes of a round are fixed
-    when it begins, but what one node takes is no longer there for the next.  A city's network is the unit."""
-
-    def run(p: pd.DataFrame, n: pd.DataFrame) -> pd.DataFrame:
-        rows = {r.pid: r for r in p.itertuples()}
-        alive = {r.pid for r in p.itertuples() if r.alive}
-        at: dict[int, list[int]] = {}
-        for r in p.itertuples():
-            for node in {r.na, r.nb}:
-                at.setdefault(node, []).append(r.pid)
-        edge = {r.nid for r in n.itertuples() if r.boundary}
-        for _ in range(rounds):
-            broken = []
-            for node in sorted(at):
-                here = [q for q in at[node] if q in alive]
-                if len(here) == 1 and rows[here[0]].grade <= main and node not in edge and len(at[node]) > 1:
-                    broken.append((node, here[0]))
-            added = 0
-            for node, ref in broken:
-                want = [q for q in at[node] if q not in alive and rows[q].grade <= min(main, rows[ref].grade + 1)]
-                if want:
-                    alive.add(min(want, key=lambda q: (rows[q].grade, not rows[q].name or rows[q].name != rows[ref].name, rows[q].length, q)))
-                    added += 1
-            if not added:
-                break
-        return pd.DataFrame({"city": p["city"], "pid": p["pid"], "alive": p["pid"].isin(alive), "added": p["pid"].isin(alive) & ~p["alive"]})
-
+    grade below.  The nodes of a round are fixed when it begins, but what one node takes is no longer there for the next."""
     own = polys.join(poly_nodes, "pid")
-    places = own.select(C("city").alias("home"), F.explode(F.array("na", "nb")).alias("nid")).distinct().join(nodes.select("nid", "boundary"), "nid")
-    return own.groupBy("city").cogroup(places.groupBy("home")).applyInPandas(run, f"city {polys.schema['city'].dataType.simpleString()}, pid long, alive boolean, added boolean")
+    at = own.select("pid", "grade", "name", "length", F.explode(F.array_distinct(F.array("na", "nb"))).alias("nid"))
+    crossing = at.groupBy("nid").agg(F.count("*").alias("degree")).join(nodes.select("nid", "boundary"), "nid", "left").where((C("degree") > 1) & ~F.coalesce("boundary", F.lit(False)))
+    at = cut(at.join(crossing.select("nid"), "nid"))
+    alive = before = cut(own.where("alive").select("pid"))
+    for _ in range(rounds):
+        here = at.join(alive, "pid", "left_semi").groupBy("nid").agg(F.count("*").alias("n"), F.min(F.struct("pid", "grade", "name")).alias("ref")).where((C("n") == 1) & (C("ref.grade") <= main))
+        same = F.coalesce((C("name") != "") & (C("name") == C("ref.name")), F.lit(False))
+        beside = at.join(alive, "pid", "left_anti").join(here, "nid").where(C("grade") <= F.least(F.lit(main), C("ref.grade") + 1))
+        wants = cut(beside.select("nid", "pid", F.struct("grade", (~same).alias("other"), "length", "pid").alias("order")))
+        if wants.isEmpty():
+            break
+        alive = cut(alive.unionByName(_granted(wants)))
+    state = alive.select("pid", F.lit(True).alias("on")).join(before.select("pid", F.lit(True).alias("was")), "pid", "left")
+    on, was = (F.coalesce(C(c), F.lit(False)) for c in ("on", "was"))
+    return own.select("city", "pid").join(state, "pid", "left").select("city", "pid", on.alias("alive"), (on & ~was).alias("added"))

@@ -285,3 +285,51 @@ def test_road_closure_takes_main_roads_and_real_names_only(spark):
     ends = spark.createDataFrame([(1, 10, 11), (2, 11, 12), (3, 20, 21), (4, 21, 22), (5, 21, 23)], "pid long, na long, nb long")
     nodes = spark.createDataFrame([(n, n in (10, 20)) for n in (10, 11, 12, 20, 21, 22, 23)], "nid long, boundary boolean")
     assert {r.pid for r in roads.close_roads(polys, ends, nodes, main=3).collect() if r.added} == {5}
+
+
+def _closed_in_turn(polys, ends, boundary, main=3, rounds=15):
+    """Main-road closure node by node."""
+    rows, alive, at = {p[1]: p for p in polys}, {p[1] for p in polys if p[5]}, {}
+    for pid, a, b in ends:
+        for n in {a, b}:
+            at.setdefault(n, []).append(pid)
+    for _ in range(rounds):
+        single = [(n, own[0]) for n, own in ((n, [p for p in at[n] if p in alive]) for n in sorted(at)) if len(own) == 1]
+        added = False
+        for n, ref in [(n, ref) for n, ref in single if rows[ref][2] <= main and n not in boundary and len(at[n]) > 1]:
+            _, _, grade, name, _, _ = rows[ref]
+            there = [rows[p] for p in at[n] if p not in alive and rows[p][2] <= min(main, grade + 1)]
+            if there:
+                alive.add(min((g, not q or q != name, length, p) for _, p, g, q, length, _ in there)[3])
+                added = True
+        if not added:
+            break
+    return alive
+
+
+def test_road_closure_in_joined_rounds_equals_taking_turns(spark):
+    contested = 0
+    for seed in range(6):
+        rng = random.Random(seed)
+        polys, ends = [], []
+        for pid in range(160):
+            city = pid % 3
+            polys.append((city, pid, rng.randrange(6), rng.choice(["", "a", "b"]), float(rng.randrange(4)), rng.random() < 0.3))
+            ends.append((pid, *(100 * city + rng.randrange(22) for _ in range(2))))
+        boundary = {n for n in range(300) if n % 9 == 0}
+        want = _closed_in_turn(polys, ends, boundary)
+        got = roads.close_roads(
+            spark.createDataFrame(polys, "city int, pid long, grade int, name string, length double, alive boolean"), spark.createDataFrame(ends, "pid long, na long, nb long"),
+            spark.createDataFrame([(n, n in boundary) for n in range(300)], "nid long, boundary boolean"),
+        ).collect()
+        assert len(got) == len(polys) and {r.pid for r in got if r.alive} == want
+        assert {r.pid for r in got if r.added} == want - {p[1] for p in polys if p[5]}
+        contested += len(want) > sum(p[5] for p in polys)
+    assert contested == 6
+
+
+def test_nodes_that_want_one_road_take_turns(spark):
+    # 1 and 2 want road 10; 2 falls back on 20, which 3 wanted; 3 goes without
+    rows = [(1, 10, 0), (2, 10, 0), (2, 20, 1), (3, 20, 0)]
+    wants = spark.createDataFrame(rows, "nid long, pid long, rank int").select("nid", "pid", F.struct("rank", "pid").alias("order"))
+    assert sorted(r.pid for r in roads._granted(wants).collect()) == [10, 20]
