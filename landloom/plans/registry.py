@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = ("grid", "shape", "panel", "text", "roads", "statistics", "models")
+MODULES = ("grid", "shape", "panel", "text", "roads", "polygons", "statistics", "models")
 
 _queries: dict[str, Query] = {}
 _oracles: dict[str, str] = {}

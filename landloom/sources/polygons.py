@@ -1,21 +1,113 @@
-"""Polygons over cells: the box prefilters, an even-odd test of the ring decides."""
+"""Polygons over cells by scanlines: edges cross rows, sorted crossings are runs of cells, lines are cut where they cross.
+
+Rings are rings(ring_id, pts array<struct<x, y>>), closed by themselves; cell (r, c) has the corners (c, r) and (c + 1, r + 1).
+Everything meets in equi-joins on cells or rows of a ring; nothing compares boxes.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 C = F.col
 
 
+def edges(rings: DataFrame) -> DataFrame:
+    """ring_id, e, xa, ya, xb, yb of each side of the rings."""
+    n = F.size("pts")
+    after = F.concat(F.slice("pts", 2, n), F.slice("pts", 1, 1))
+    own = rings.where(n > 2).select("ring_id", F.posexplode(F.arrays_zip(C("pts").alias("a"), after.alias("b"))).alias("e", "s"))
+    return own.select("ring_id", "e", *(C(f"s.{p}.{v}").cast("double").alias(f"{v}{p}") for p in ("a", "b") for v in ("x", "y")))
+
+
+def _x_at(y: Column) -> Column:
+    return C("xa") + (C("xb") - C("xa")) * ((y - C("ya")) / (C("yb") - C("ya")))
+
+
+def touched(lines: DataFrame, *keys: str) -> DataFrame:
+    """lines(keys, xa, ya, xb, yb) -> (keys, r, c0, c1): the cells of each row that a line passes."""
+    low, high = F.least("ya", "yb"), F.greatest("ya", "yb")
+    rows = lines.withColumn("r", F.explode(F.sequence(F.floor(low), F.floor(high))))
+    at = lambda y: F.when(C("ya") == C("yb"), None).otherwise(_x_at(y))
+    one, two = at(F.greatest(low, C("r").cast("double"))), at(F.least(high, (C("r") + 1).cast("double")))
+    flat = C("ya") == C("yb")
+    # the ends themselves, where the line begins or ends in the row, whatever rounding makes of its quotient
+    left = F.when(flat, F.least("xa", "xb")).otherwise(F.greatest(F.least(one, two), F.least("xa", "xb")))
+    right = F.when(flat, F.greatest("xa", "xb")).otherwise(F.least(F.greatest(one, two), F.greatest("xa", "xb")))
+    return rows.select(*keys, "r", F.floor(left).alias("c0"), F.floor(right).alias("c1"))
+
+
+def merged(runs: DataFrame) -> DataFrame:
+    """Runs (ring_id, r, c0, c1) of a row that overlap or meet, as one."""
+    row = Window.partitionBy("ring_id", "r").orderBy("c0", "c1")
+    last = F.max("c1").over(row.rowsBetween(Window.unboundedPreceding, -1))
+    begun = F.sum(F.when(last.isNull() | (C("c0") > last + 1), 1).otherwise(0)).over(row)
+    islands = runs.withColumn("last", last).select("ring_id", "r", "c0", "c1", begun.alias("island"))
+    return islands.groupBy("ring_id", "r", "island").agg(F.min("c0").alias("c0"), F.max("c1").alias("c1")).drop("island")
+
+
+def runs(rings: DataFrame, all_touched: bool = False) -> DataFrame:
+    """(ring_id, r, c0, c1): the cells whose centres lie inside (even-odd); with ``all_touched`` also those that a side passes."""
+    own = edges(rings)
+    low, high = F.least("ya", "yb"), F.greatest("ya", "yb")
+    # rows whose centre line the side crosses: low <= r + 0.5 < high
+    span = own.where(F.ceil(high - 0.5) > F.ceil(low - 0.5)).withColumn("r", F.explode(F.sequence(F.ceil(low - 0.5), F.ceil(high - 0.5) - 1)))
+    crossed = span.select("ring_id", "r", "e", _x_at(C("r") + 0.5).alias("x"))
+    row = Window.partitionBy("ring_id", "r").orderBy("x", "e")
+    paired = crossed.withColumn("k", F.row_number().over(row)).withColumn("x1", F.lead("x").over(row)).where("k % 2 = 1")
+    inner = paired.select("ring_id", "r", F.ceil(C("x") - 0.5).alias("c0"), (F.ceil(C("x1") - 0.5) - 1).alias("c1")).where("c0 <= c1")
+    return merged(inner.unionByName(touched(own, "ring_id")) if all_touched else inner)
+
+
+def cells(rings: DataFrame, rows: int, cols: int, all_touched: bool = False) -> DataFrame:
+    """(ring_id, r, c) on a grid of rows x cols."""
+    own = runs(rings, all_touched).where(C("r").between(0, rows - 1)).select("ring_id", C("r").cast("int").alias("r"), F.greatest("c0", F.lit(0)).alias("c0"), F.least("c1", F.lit(cols - 1)).alias("c1")).where("c0 <= c1")
+    return own.select("ring_id", "r", F.explode(F.sequence(C("c0").cast("int"), C("c1").cast("int"))).alias("c"))
+
+
+def _odd(points: DataFrame, sides: DataFrame, keys: list[str], on: list[str]) -> DataFrame:
+    """keys of the points(keys, on, x, y) that an odd number of sides(on, xa, ya, xb, yb) lies to the right of."""
+    met = points.join(sides, on).where(((C("ya") > C("y")) != (C("yb") > C("y"))) & (C("x") < _x_at(C("y"))))
+    return met.groupBy(*keys).agg(F.count("*").alias("n")).where("n % 2 = 1").drop("n")
+
+
+def _by_row(sides: DataFrame) -> DataFrame:
+    return sides.withColumn("r", F.explode(F.sequence(F.floor(F.least("ya", "yb")), F.floor(F.greatest("ya", "yb")))))
+
+
 def inside(points: DataFrame, rings: DataFrame) -> DataFrame:
-    """points(x, y, ...) in rings(ring_id, pts array<struct<x, y>>), borders excluded on the upper right; (points, ring_id).
-
-    Rings are few next to points; their boxes and vertices are broadcast up to Spark's own size limit."""
-    box = lambda f, k: f(F.transform("pts", lambda p: p[k].cast("double")))
-    boxed = rings.select("ring_id", "pts", box(F.array_min, "x").alias("x0"), box(F.array_max, "x").alias("x1"), box(F.array_min, "y").alias("y0"), box(F.array_max, "y").alias("y1"))
-    met = points.join(boxed, C("x").between(C("x0"), C("x1")) & C("y").between(C("y0"), C("y1")))
-    after = F.concat(F.slice("pts", 2, F.size("pts")), F.slice("pts", 1, 1))
-    crossed = F.zip_with("pts", after, lambda a, b: F.when(((a["y"] > C("y")) != (b["y"] > C("y"))) & (C("x") < a["x"] + (b["x"] - a["x"]) * F.try_divide((C("y") - a["y"]).cast("double"), (b["y"] - a["y"]).cast("double"))), 1).otherwise(0))
-    odd = F.aggregate(crossed, F.lit(0), lambda s, v: s + v) % 2 == 1
-    return met.where(odd).select(*points.columns, "ring_id")
+    """points(x, y, ...) in rings, borders excluded on the upper right; (points, ring_id).
+
+    A point whose cell no side passes is inside with its cell's centre; only those of cells that a side passes are tested."""
+    own = points.select(F.struct(*points.columns).alias("p"), C("x").cast("double").alias("x"), C("y").cast("double").alias("y"), F.floor("y").alias("r"), F.floor("x").alias("c"))
+    edge = merged(touched(edges(rings), "ring_id")).select("ring_id", "r", F.explode(F.sequence("c0", "c1")).alias("c"))
+    whole = runs(rings).select("ring_id", "r", F.explode(F.sequence("c0", "c1")).alias("c")).join(edge, ["ring_id", "r", "c"], "left_anti")
+    plain = own.join(whole, ["r", "c"]).select("p", "ring_id")
+    near = own.join(edge, ["r", "c"])
+    tested = _odd(near.select("x", "y", "r", "ring_id").distinct(), _by_row(edges(rings)).drop("e"), ["x", "y", "ring_id"], ["ring_id", "r"])
+    return plain.unionByName(near.join(tested, ["x", "y", "ring_id"]).select("p", "ring_id")).select("p.*", "ring_id")
+
+
+def clipped(lines: DataFrame, rings: DataFrame) -> DataFrame:
+    """lines(id, xa, ya, xb, yb) -> (id, ring_id, t0, t1): the parts of each line inside each ring, as shares of its way.
+
+    A line is cut where it crosses a side that shares a cell with it; a part is inside if its middle is."""
+    sides = edges(rings)
+    way = lambda df, *keys: touched(df, *keys).select(*keys, "r", F.explode(F.sequence("c0", "c1")).alias("c"))
+    passed = way(lines, "id")
+    zone = runs(rings, all_touched=True).select("ring_id", "r", F.explode(F.sequence("c0", "c1")).alias("c"))
+    near = passed.join(zone, ["r", "c"]).select("id", "ring_id").distinct()
+    both = passed.join(way(sides, "ring_id", "e"), ["r", "c"]).select("id", "ring_id", "e").distinct()
+    side = sides.select("ring_id", "e", *(C(v).alias(f"s_{v}") for v in ("xa", "ya", "xb", "yb")))
+    met = both.join(lines, "id").join(side, ["ring_id", "e"])
+    dx, dy, ex, ey = C("xb") - C("xa"), C("yb") - C("ya"), C("s_xb") - C("s_xa"), C("s_yb") - C("s_ya")
+    turn = dx * ey - dy * ex
+    t = ((C("s_xa") - C("xa")) * ey - (C("s_ya") - C("ya")) * ex) / turn
+    u = ((C("s_xa") - C("xa")) * dy - (C("s_ya") - C("ya")) * dx) / turn
+    crossing = met.where(turn != 0).select("id", "ring_id", t.alias("t"), u.alias("u")).where("t > 0 and t < 1 and u >= 0 and u <= 1")
+    ends = near.select("id", "ring_id", F.explode(F.array(F.lit(0.0), F.lit(1.0))).alias("t"))
+    line = Window.partitionBy("id", "ring_id").orderBy("t")
+    parts = crossing.select("id", "ring_id", "t").unionByName(ends).distinct().withColumn("t1", F.lead("t").over(line)).where("t1 is not null").join(lines, "id")
+    middle = (C("t") + C("t1")) / 2
+    spots = parts.select("id", "ring_id", C("t").alias("t0"), "t1", (C("xa") + (C("xb") - C("xa")) * middle).alias("x"), (C("ya") + (C("yb") - C("ya")) * middle).alias("y"))
+    return _odd(spots.withColumn("r", F.floor("y")), _by_row(sides).drop("e"), ["id", "ring_id", "t0", "t1"], ["ring_id", "r"])
