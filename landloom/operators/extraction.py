@@ -43,7 +43,7 @@ def without_enclaves(labelled: DataFrame, distance: float, rows: int, cols: int)
 def isolated(built: DataFrame, road: DataFrame, rows: int, cols: int) -> DataFrame:
     """Whether no cell of a built cell's component lies on or beside a road."""
     labelled = grid_components(built, rows, cols)
-    touched = labelled.join(M.dilate(road, M.disk(1), rows, cols), ["year", "r", "c"], "left_semi").select("year", "comp", F.lit(True).alias("hit")).distinct()
+    touched = labelled.join(M.dilate_disk(road, 1, rows, cols), ["year", "r", "c"], "left_semi").select("year", "comp", F.lit(True).alias("hit")).distinct()
     return labelled.join(touched, ["year", "comp"], "left").select("year", "r", "c", F.col("hit").isNull().alias("isolated"))
 
 
@@ -83,7 +83,7 @@ def city_window(cells: DataFrame, classes: Sequence[int], year: int, r: int, c:
 
 def admin_groups(seed: DataFrame, buffer: int, rows: int, cols: int) -> DataFrame:
     """Groups of seed cells that a buffer joins; areas count seed cells only."""
-    labelled = grid_components(M.dilate(seed, M.disk(buffer), rows, cols), rows, cols)
+    labelled = grid_components(M.dilate_disk(seed, buffer, rows, cols), rows, cols)
     sizes = seed.join(labelled, ["year", "r", "c"]).groupBy("year", "comp").agg(F.count("*").alias("cells"))
     return sizes.groupBy("year").agg(F.count("*").alias("groups"), F.sum("cells").alias("total_cells"), F.max("cells").alias("largest_cells"))
 

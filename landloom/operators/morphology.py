@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import grid_components
@@ -37,9 +37,59 @@ def erode(mask: DataFrame, offsets: list[tuple[int, int]], rows: int, cols: int,
     return _moved(mask, offsets, rows, cols, group).groupBy(group, "r", "c").agg(F.count("*").alias("n")).where(F.col("n") == len(offsets)).drop("n")
 
 
+def _reach(square: int, away: Column) -> Column:
+    """How far along the row a disk of this squared radius goes, so far from its middle."""
+    return F.floor(F.sqrt((F.lit(square) - away * away).cast("double"))).cast("int")
+
+
+def dilate_disk(mask: DataFrame, radius: float, rows: int, cols: int, group: str = "year") -> DataFrame:
+    """Dilation with a disk in two passes: the nearest cell of the mask along the column, then its reach along the row.
+
+    In a column every cell goes to the nearest of the mask (at most ``radius`` away), so a cell appears once; in a row those
+    cells are runs, which are merged.  Each pass shuffles at most a row for each cell of the grid."""
+    square, near = math.floor(radius * radius), math.floor(radius)
+    column = Window.partitionBy(group, "c").orderBy("r")
+    r, before, after = F.col("r"), F.lag("r").over(column), F.lead("r").over(column)
+    first = F.greatest(r - near, F.lit(0), F.coalesce(F.floor((before + r) / 2).cast("int") + 1, F.lit(0)))
+    last = F.least(r + near, F.lit(rows - 1), F.coalesce(F.floor((r + after) / 2).cast("int"), F.lit(rows - 1)))
+    own = mask.select(group, "r", "c").distinct().withColumns({"first": first, "last": last}).where("first <= last")
+    tall = own.select(group, "c", F.col("r").alias("seed"), F.explode(F.sequence("first", "last")).alias("r"))
+    h = _reach(square, F.col("r") - F.col("seed"))
+    wide = tall.select(group, "r", F.greatest(F.col("c") - h, F.lit(0)).alias("c0"), F.least(F.col("c") + h, F.lit(cols - 1)).alias("c1"))
+    row = Window.partitionBy(group, "r").orderBy("c0", "c1")
+    end = F.max("c1").over(row.rowsBetween(Window.unboundedPreceding, -1))
+    # a run covers what no earlier run does
+    new = wide.withColumn("from", F.greatest("c0", F.coalesce(end + 1, F.lit(0)))).where("from <= c1")
+    return new.select(group, F.col("r").cast("int").alias("r"), F.explode(F.sequence("from", "c1")).alias("c"))
+
+
+def erode_disk(mask: DataFrame, radius: float, rows: int, cols: int, group: str = "year") -> DataFrame:
+    """Erosion with a disk in two passes over the mask's own cells; off the grid counts as empty.
+
+    In a column a cell's distance to the nearest empty cell follows from its run; in a row it goes if it is too near the end
+    of its run, or within reach of a cell that has an empty one above or below."""
+    square, near = math.floor(radius * radius), math.floor(radius)
+
+    def run(df: DataFrame, along: str, across: str) -> DataFrame:
+        """df with ``gap``: how far the nearest empty cell is along the line."""
+        line = Window.partitionBy(group, across).orderBy(along)
+        island = F.col(along) - F.row_number().over(line)
+        whole = Window.partitionBy(group, across, "island")
+        return df.withColumn("island", island).withColumn("gap", F.least(F.col(along) - F.min(along).over(whole), F.max(along).over(whole) - F.col(along)) + 1).drop("island")
+
+    own = run(mask.select(group, "r", "c").distinct(), "r", "c").withColumnRenamed("gap", "tall")
+    h = F.when(F.col("tall") <= near, _reach(square, F.col("tall")))
+    row = Window.partitionBy(group, "r").orderBy("c")
+    left = F.max(F.col("c") + h).over(row.rowsBetween(Window.unboundedPreceding, 0))
+    right = F.min(F.col("c") - h).over(row.rowsBetween(0, Window.unboundedFollowing))
+    seen = run(own, "c", "r").withColumns({"left": left, "right": right})
+    kept = (F.col("gap") > near) & (F.coalesce("left", F.lit(-1)) < F.col("c")) & (F.coalesce("right", F.lit(cols)) > F.col("c"))
+    return seen.where(kept).select(group, "r", "c")
+
+
 def close(mask: DataFrame, radius: int, rows: int, cols: int, group: str = "year", keep: bool = True) -> DataFrame:
     """Closing with a disk; ``keep`` puts the mask's own border cells back."""
-    out = erode(dilate(mask, disk(radius), rows, cols, group), disk(radius), rows, cols, group)
+    out = erode_disk(dilate_disk(mask, radius, rows, cols, group), radius, rows, cols, group)
     return out.unionByName(mask.select(group, "r", "c")).distinct() if keep else out
 
 
@@ -75,8 +125,7 @@ def extent(cells: DataFrame, rows: int, cols: int, radius: int, largest: int, se
 
 def within(mask: DataFrame, distance: float, rows: int, cols: int, group: str = "year") -> DataFrame:
     """Cells at most so far (in cells, Euclidean) from the mask."""
-    reach = math.floor(distance)
-    return dilate(mask, [(a, b) for a, b in square(reach) if a * a + b * b <= distance * distance], rows, cols, group)
+    return dilate_disk(mask, distance, rows, cols, group)
 
 
 def extent_steps(full: DataFrame, rows: int, cols: int, radius: int, largest: int, seeds: Sequence[int]) -> DataFrame:

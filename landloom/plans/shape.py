@@ -22,7 +22,7 @@ def _seed(name, *classes):
 
 @query(f"WITH {GRID}, {_seed('m', 1)}, {sql_disk('d3', 3)}, {sql_dilate('o', 'm', 'd3')} SELECT * FROM o")
 def disk_dilation(spark, sf):
-    return M.dilate(_mask(spark, sf, 1), M.disk(3), G, G)
+    return M.dilate_disk(_mask(spark, sf, 1), 3, G, G)
 
 
 @query(f"WITH {CLOSED} SELECT * FROM closed")

@@ -333,3 +333,20 @@ def test_nodes_that_want_one_road_take_turns(spark):
     rows = [(1, 10, 0), (2, 10, 0), (2, 20, 1), (3, 20, 0)]
     wants = spark.createDataFrame(rows, "nid long, pid long, rank int").select("nid", "pid", F.struct("rank", "pid").alias("order"))
     assert sorted(r.pid for r in roads._granted(wants).collect()) == [10, 20]
+
+
+@pytest.mark.parametrize("radius", [0, 1, 1.5, 2, 3.7, 10])
+def test_disks_in_two_passes_equal_their_offsets(spark, radius):
+    rng = random.Random(int(radius * 10))
+    cells_ = [(y, r, c) for y in (1, 2) for r in range(26) for c in range(31) if rng.random() < (0.03 if y == 1 else 0.93)] * 2
+    mask = spark.createDataFrame(cells_, "year int, r int, c int")
+    disk = [(a, b) for a in range(-10, 11) for b in range(-10, 11) if a * a + b * b <= radius * radius]
+    held = set(cells_)
+    inside = lambda r, c: 0 <= r < 26 and 0 <= c < 31
+    grown = {(y, r + a, c + b) for y, r, c in held for a, b in disk if inside(r + a, c + b)}
+    got = [tuple(x) for x in morphology.dilate_disk(mask, radius, 26, 31).collect()]
+    assert len(got) == len(set(got)) and set(got) == grown
+    got = [tuple(x) for x in morphology.erode_disk(mask, radius, 26, 31).collect()]
+    assert len(got) == len(set(got)) and set(got) == {(y, r, c) for y, r, c in held if all((y, r + a, c + b) in held for a, b in disk)}
+    if radius < 4:
+        assert {tuple(x) for x in morphology.dilate(mask, disk, 26, 31).collect()} == grown
