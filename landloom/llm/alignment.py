@@ -9,7 +9,8 @@ documents that refer to them.  From there on it is DataFrames only:
 * links: a group's bytes are cut by the ends of either side, and every piece lies in exactly one A and one B token; pieces
   and overlapping pairs correspond one to one.  So a text has n_a + n_b - n_groups links, and a group's links are the ids
   over its pieces.  They depend on the group alone and are built once for each distinct group of the corpus;
-* counts: occurrences of chunks, of groups, of id pairs; then back from pairs to groups, chunks and documents.  A join sends
+* counts: occurrences of groups, then of id pairs; then back from pairs to groups and to the chunks of each row, over whose
+  places ``aggregate`` sums a document (a row holds as many chunks as its bytes allow).  A join sends
   the keys that hold a ``FEW``-th of the rows (so at most ``FEW`` of them) by broadcast and shuffles the others, so no key
   of the shuffle holds more than that share.
 
@@ -29,12 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import materialise, table
+from ._common import discard, materialise, table
 from .packing import _byte_letters
 
 FEW = 1 << 16
 #: Distinct chunks that a Python worker remembers in either of two generations, and the longest that it does.
-CACHE, LONGEST = 200_000, 200
+CACHE, LONGEST = 120_000, 200
 #: Bytes of text to a row of chunks, and chunks that are encoded as one text.
 BATCH, JOINED = 1 << 22, 512
 #: Groups that are joined by their digest instead of themselves.
@@ -128,10 +129,9 @@ class Pair:
         place: dict[str, int] = {}
         refs = [[place.setdefault(c, len(place)) for c in chunks_of(t)] if t else [] for t in texts]
         known = self.ids(list(place))
-        if None in known:
+        if None in known:  # texts that hold such a chunk have no tokens
             lost = {k for k, v in enumerate(known) if v is None}
-            refs = [[] if lost.intersection(own) else own for own in refs]
-        known = [v or b"" for v in known]
+            return self.row(ids, [None if lost.intersection(own) else t for own, t in zip(refs, texts, strict=True)])
         flat = np.frombuffer(b"".join(known), np.int32)
         borders = np.concatenate([[0], np.cumsum([len(v) for v in known], dtype=np.int64) // 4]).astype(np.int64)
         right = flat >= _B
@@ -141,9 +141,10 @@ class Pair:
             ends = np.cumsum(sizes[own], dtype=np.int64)
             ends -= np.repeat(np.concatenate([[0], ends])[at[:-1]], np.diff(at))
             lists += [pa.ListArray.from_arrays(at.astype(np.int32), own), pa.ListArray.from_arrays(at.astype(np.int32), ends.astype(np.int32))]
+        times = np.bincount(np.fromiter(chain.from_iterable(refs), np.int64), minlength=len(known)).astype(np.int32)
         one = lambda values: pa.ListArray.from_arrays(np.array([0, len(values)], np.int32), values)
         docs = pa.StructArray.from_arrays([pa.array(ids, pa.int64()), pa.array(refs, pa.list_(pa.int32()))], names=["doc_id", "refs"])
-        return pa.RecordBatch.from_arrays([one(docs), one(pa.StructArray.from_arrays(lists, names=["a", "ae", "b", "be"]))], names=["docs", "chunks"])
+        return pa.RecordBatch.from_arrays([one(docs), one(pa.StructArray.from_arrays(lists, names=["a", "ae", "b", "be"])), one(pa.array(times))], names=["docs", "chunks", "times"])
 
 
 _pairs: dict[tuple[str, str], Pair] = {}
@@ -156,7 +157,7 @@ def pair(a: str, b: str) -> Pair:
 
 
 def encoded(docs: DataFrame, a: str, b: str, batch: int = BATCH) -> DataFrame:
-    """docs(doc_id, refs) and chunks(a, ae, b, be) of some megabytes of texts a row."""
+    """docs(doc_id, refs), chunks(a, ae, b, be) and how often each occurs, some megabytes of texts a row."""
 
     def run(batches):
         both = pair(a, b)
@@ -171,58 +172,53 @@ def encoded(docs: DataFrame, a: str, b: str, batch: int = BATCH) -> DataFrame:
                 held += n
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("n"))
-    return rows.mapInArrow(run, "docs array<struct<doc_id: long, refs: array<int>>>, chunks array<struct<a: array<int>, ae: array<int>, b: array<int>, be: array<int>>>")
+    return rows.mapInArrow(run, "docs array<struct<doc_id: long, refs: array<int>>>, chunks array<struct<a: array<int>, ae: array<int>, b: array<int>, be: array<int>>>, times array<int>")
 
 
-#: Of a chunk k: the common ends with their places p in A and q in B.
-_COMMON = "transform(array_intersect(k.ae, k.be), e -> named_struct('e', e, 'p', cast(array_position(k.ae, e) as int), 'q', cast(array_position(k.be, e) as int)))"
+#: Of a chunk k: the places p in A and q in B of the common ends.
+_COMMON = "transform(array_intersect(k.ae, k.be), e -> named_struct('p', cast(array_position(k.ae, e) as int), 'q', cast(array_position(k.be, e) as int)))"
 
 
-def _cut(side: str, place: str, inner: str = "{}") -> str:
+def _cut(side: str, place: str) -> str:
     """The tokens of a side between the last common end and this one, joined by commas."""
     was = f"coalesce(get(w, i - 1).{place}, 0)"
-    own = inner.format(f"slice(k.{side}, {was} + 1, x.{place} - {was})")
-    return f"array_join(cast({own} as array<string>), ',')"
-
-
-def _joined(left: str, right: str, inner: str = "{}") -> str:
-    """The groups' parts of two arrays of a chunk, as 'l1,l2|r1;l3|r2'."""
-    return f"array_join(flatten(transform(array({_COMMON}), w -> transform(w, (x, i) -> concat({_cut(left, 'p', inner)}, '|', {_cut(right, 'q', inner)})))), ';')"
+    return f"array_join(cast(slice(k.{side}, {was} + 1, x.{place} - {was}) as array<string>), ',')"
 
 
 _TEXT = "array_join(cast(k.{} as array<string>), ',')"
-#: One token on a side is one group; equal ends are groups of one token on each side.
-_ONE, _EACH = "size(k.a) = 1 or size(k.b) = 1", "k.ae = k.be"
-_COUNT = f"case when {_ONE} then 1 when {_EACH} then size(k.a) else size(array_intersect(k.ae, k.be)) end"
-GROUPS = f"""case when {_ONE} then concat({_TEXT.format("a")}, '|', {_TEXT.format("b")})
- when {_EACH} then array_join(zip_with(k.a, k.b, (x, y) -> concat(x, '|', y)), ';') else {_joined("a", "b")} end"""
-#: The ends inside its groups, counted from each group's beginning, where a group may hold several tokens of both sides.
-ENDS = f"if({_ONE} or {_EACH}, null, {_joined('ae', 'be', 'transform({}, y -> y - coalesce(get(w, i - 1).e, 0))')})"
+#: A chunk's groups, 'a1,a2|b1;a3|b2': one token on a side is one group; equal ends are groups of one token on each side.
+GROUPS = f"""case when size(k.a) = 1 or size(k.b) = 1 then concat({_TEXT.format("a")}, '|', {_TEXT.format("b")})
+ when k.ae = k.be then array_join(zip_with(k.a, k.b, (x, y) -> concat(x, '|', y)), ';')
+ else array_join(flatten(transform(array({_COMMON}), w -> transform(w, (x, i) -> concat({_cut("a", "p")}, '|', {_cut("b", "q")})))), ';') end"""
 
 
 def grouped(coded: DataFrame) -> DataFrame:
-    """batch, docs and for each chunk: s (its groups), e (their ends), n_a, n_b, n (how many tokens and groups)."""
-    each = {"s": GROUPS, "e": ENDS, "n_a": "size(k.a)", "n_b": "size(k.b)", "n": _COUNT}
-    return coded.select(F.monotonically_increasing_id().alias("batch"), "docs", *(F.expr(f"transform(chunks, k -> {x})").alias(n) for n, x in each.items()))
+    """batch, docs, times and for each chunk: s (its groups), n_a and n_b (how many tokens)."""
+    each = {"s": GROUPS, "n_a": "size(k.a)", "n_b": "size(k.b)"}
+    return coded.select(F.monotonically_increasing_id().alias("batch"), "docs", "times", *(F.expr(f"transform(chunks, k -> {x})").alias(n) for n, x in each.items()))
 
 
 def digests(coded: DataFrame) -> DataFrame:
-    """batch, i, doc_id, n_a, n_b, n_groups, groups_sha256 of each document."""
+    """The documents' rows, from what is known of each chunk: s, n_a, n_b, n, count_sum, n_best."""
     total = lambda c: f"aggregate(d.refs, 0L, (t, r) -> t + {c}[r])"
     sha = "if(size(d.refs) = 0, '', sha2(array_join(transform(d.refs, r -> s[r]), ';'), 256))"
-    return coded.select("batch", F.expr(f"inline(transform(docs, (d, i) -> named_struct('i', i, 'doc_id', d.doc_id, 'n_a', {total('n_a')}, 'n_b', {total('n_b')}, 'n_groups', {total('n')}, 'groups_sha256', {sha})))"))
+    sums = {"n_a": "n_a", "n_b": "n_b", "n_groups": "n", "n_best": "known.n_best", "count_sum": "known.count_sum"}
+    own = coded.select(F.expr(f"inline(transform(docs, d -> named_struct('doc_id', d.doc_id, 'groups_sha256', {sha}, {', '.join(f"'{n}', {total(c)}" for n, c in sums.items())})))"))
+    return own.select("doc_id", "n_a", "n_b", "n_groups", (F.col("n_a") + F.col("n_b") - F.col("n_groups")).alias("n_links"), "n_best", "count_sum", "groups_sha256")
 
 
 #: A group's links over the pieces that the ends of both sides cut it into; with one token on a side they are a sequence.
-LINKS = """case when e is null then transform(sequence(1, greatest(size(l), size(r))), i -> named_struct('a', l[least(i, size(l)) - 1], 'b', r[least(i, size(r)) - 1]))
+LINKS = """case when size(l) = 1 or size(r) = 1 then transform(sequence(1, greatest(size(l), size(r))), i -> named_struct('a', l[least(i, size(l)) - 1], 'b', r[least(i, size(r)) - 1]))
  else transform(array_sort(array_union(le, re)), c -> named_struct('a', l[size(filter(le, y -> y < c))], 'b', r[size(filter(re, y -> y < c))])) end"""
 
 
-def linked(groups: DataFrame) -> DataFrame:
-    """groups(g, e, ...) -> the same with a row (a, b) for each link."""
-    half = lambda c, k: F.split(F.split(c, r"\|")[k], ",").cast("array<int>")
-    parts = groups.select("*", *(half(F.col(c), k).alias(n) for c, k, n in (("g", 0, "l"), ("g", 1, "r"), ("e", 0, "le"), ("e", 1, "re"))))
-    return parts.select(*groups.columns, F.inline(F.expr(LINKS)))
+def linked(groups: DataFrame, sizes: tuple[Sequence[int], Sequence[int]]) -> DataFrame:
+    """groups(g, ...) -> the same with a row (a, b) for each link; sizes are the tokens' bytes by id."""
+    half = lambda k: F.split(F.split("g", r"\|")[k], ",").cast("array<int>")
+    ends = lambda c, own: F.when((F.size("l") > 1) & (F.size("r") > 1), F.transform(F.sequence(F.lit(1), F.size(c)), lambda i: F.aggregate(F.slice(c, 1, i), F.lit(0), lambda t, x: t + own[x])))
+    left, right = (F.split(F.lit(",".join(map(str, x))), ",").cast("array<int>") for x in sizes)  # folded to constants
+    parts = groups.select("*", half(0).alias("l"), half(1).alias("r"))
+    return parts.select("*", ends("l", left).alias("le"), ends("r", right).alias("re")).select(*groups.columns, F.inline(F.expr(LINKS)))
 
 
 def meet(left: DataFrame, right: DataFrame, on: list[str], few: int = FEW) -> list[DataFrame]:
@@ -243,25 +239,25 @@ def summed(parts: list[DataFrame], *by: str) -> DataFrame:
 
 def align(docs: DataFrame, a: str, b: str, batch: int = BATCH, few: int = FEW) -> DataFrame:
     """The digest of every document's alignment, and its counts in the whole corpus."""
+    both = pair(a, b)
+    sizes = both.a_sizes.tolist(), both.b_sizes.tolist()
     coded = materialise(grouped(encoded(docs, a, b, batch)))
-    named = lambda c: F.when(F.length(c) > LONG, F.sha2(c, 256)).otherwise(F.col(c))  # noqa: E731  short keys for joins
-    own = coded.select("batch", F.expr("inline(transform(docs, (d, i) -> named_struct('i', i, 'own', transform(d.refs, r -> named_struct('s', s[r], 'e', e[r])))))"))
-    each = own.select("batch", "i", F.inline("own"))
-    chunks = materialise(each.groupBy("s", "e").agg(F.count("*").alias("rows")).withColumn("chunk", named("s")))
-    parts = F.inline(F.arrays_zip(F.split("s", ";").alias("g"), F.coalesce(F.split("e", ";"), F.array()).alias("e")))
-    of_chunk = chunks.select("chunk", "rows", parts).withColumn("e", F.when(F.col("g").like("%,%|%,%"), F.col("e")))
-    groups = materialise(of_chunk.groupBy("g", "e").agg(F.sum("rows").alias("n"), F.count("*").alias("rows")).withColumn("group", named("g")))
-    pairs = materialise(linked(groups.select("g", "e", "n")).groupBy("a", "b").agg(F.sum("n").alias("links"), F.count("*").alias("rows")))
+    named = F.when(F.length("g") > LONG, F.sha2("g", 256)).otherwise(F.col("g")).alias("group")  # short keys for joins
+    each = coded.select("batch", F.expr("inline(transform(s, (x, i) -> named_struct('i', i, 's', x, 'times', times[i])))"))
+    held = each.select("batch", "i", "times", F.explode(F.split("s", ";")).alias("g"))
+    groups = materialise(held.groupBy("g").agg(F.sum("times").alias("n"), F.count("*").alias("rows")).withColumn("group", named))
+    links = materialise(linked(groups.select("group", "g", "n"), sizes).drop("g"))
+    pairs = materialise(links.groupBy("a", "b").agg(F.sum("n").alias("links"), F.count("*").alias("rows")))
     best = pairs.groupBy("b").agg(F.max("links").alias("most"))
     judged = pairs.join(best, "b").select("a", "b", "rows", F.col("links").alias("count_sum"), (F.col("links") == F.col("most")).cast("long").alias("n_best"))
-    of_group = summed(meet(linked(groups.select("group", "g", "e")), judged, ["a", "b"], few), "group")
-    per_group = materialise(groups.select("group", "rows").join(of_group, "group"))
-    per_chunk = summed(meet(of_chunk.select("chunk", named("g").alias("group")), per_group, ["group"], few), "chunk")
-    known = materialise(chunks.select("chunk", "rows").join(per_chunk, "chunk"))
-    per = summed(meet(each.select("batch", "i", named("s").alias("chunk")), known, ["chunk"], few), "batch", "i")
-    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    links = (F.col("n_a") + F.col("n_b") - F.col("n_groups")).alias("n_links")
-    return digests(coded).join(per, ["batch", "i"], "left").select("doc_id", "n_a", "n_b", "n_groups", links, zero("n_best"), zero("count_sum"), "groups_sha256")
+    known = materialise(groups.select("group", "rows").join(summed(meet(links.drop("n"), judged, ["a", "b"], few), "group"), "group"))
+    for done in (groups, links, pairs):
+        discard(done)
+    back = [p.select("batch", "i", "count_sum", "n_best") for p in meet(held.select("batch", "i", named), known, ["group"], few)]
+    dealt = back[0].unionByName(back[1]).repartition("batch").groupBy("batch", "i")  # one shuffle for both groupings
+    per = dealt.agg(F.sum("count_sum").alias("count_sum"), F.sum("n_best").alias("n_best")).groupBy("batch").agg(F.array_sort(F.collect_list(F.struct("i", "count_sum", "n_best"))).alias("known"))
+    n = F.expr("transform(s, x -> length(x) - length(replace(x, ';', '')) + 1)")
+    return digests(coded.withColumn("n", n).join(per, "batch", "left"))
 
 
 def default_tokenizers() -> tuple[str, str]:
