@@ -4,28 +4,55 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .durable import cut
+
 C = F.col
 
 
-def mid_rank(value: str, *keys: str) -> Column:
-    """Average rank among equals."""
-    line = Window.partitionBy(*keys).orderBy(value)
-    ties = F.count("*").over(Window.partitionBy(*keys, value)).cast("double")
-    return F.rank().over(line).cast("double") + (ties - 1) / 2
+def before(df: DataFrame, keys: Sequence[str], order: str, sums: Sequence[str], down: bool = False) -> DataFrame:
+    """df with ``<name>_before`` for each of ``sums``: its sum over the rows of the same keys that come earlier.
+
+    Rows are sorted into ranges, each range is summed by itself, and what lies in earlier ranges is joined back: a task
+    holds a range, not a key.  Rows of equal keys and order must be one."""
+    turn = lambda c: F.desc(c) if down else F.asc(c)
+    placed = cut(df.repartitionByRange(*(F.asc(k) for k in keys), turn(order))).withColumn("_part", F.spark_partition_id())
+    parts = placed.groupBy(*keys, "_part").agg(*(F.sum(c).alias(c) for c in sums))
+    if keys:
+        earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+        held = parts.select(*keys, "_part", *(F.coalesce(F.sum(c).over(earlier), F.lit(0.0)).alias(f"{c}_earlier") for c in sums))
+    else:  # a row a range
+        now, rows = [0.0] * len(sums), []
+        for r in sorted(parts.collect(), key=lambda r: r["_part"]):
+            rows.append((r["_part"], *now))
+            now = [a + float(r[c]) for a, c in zip(now, sums, strict=True)]
+        held = F.broadcast(df.sparkSession.createDataFrame(rows, ", ".join(["_part int", *(f"`{c}_earlier` double" for c in sums)])))
+    line = Window.partitionBy(*keys, "_part").orderBy(turn(order)).rowsBetween(Window.unboundedPreceding, -1)
+    own = placed.withColumns({f"{c}_own": F.coalesce(F.sum(c).over(line), F.lit(0.0)) for c in sums})
+    for k in keys:
+        held = held.withColumnRenamed(k, f"_{k}")
+    same = reduce(and_, (own[k].eqNullSafe(held[f"_{k}"]) for k in keys), own["_part"] == held["_part"])
+    return own.join(held, same).select(*(own[c] for c in df.columns), *((C(f"{c}_own") + C(f"{c}_earlier")).alias(f"{c}_before") for c in sums))
+
+
+def mid_ranks(df: DataFrame, value: str) -> DataFrame:
+    """value, n, rank: each distinct value, how often it occurs, and its average rank among all rows."""
+    per = df.groupBy(C(value).alias("value")).agg(F.count("*").cast("double").alias("n"))
+    return before(per, [], "value", ["n"]).select("value", "n", (C("n_before") + (C("n") + 1) / 2).alias("rank"))
 
 
 def auc(scored: DataFrame, label: str, score: str, keys: Sequence[str] = ()) -> DataFrame:
     """Area under the ROC curve by mid-ranks; null if a class is missing.
 
-    Ranks come from counts per distinct score, so only distinct scores are ordered together."""
+    Ranks come from counts per distinct score, so only distinct scores are ordered, in ranges."""
     per = scored.groupBy(*keys, score).agg(F.count("*").cast("double").alias("n"), F.count_if(C(label) == 1).cast("double").alias("pos"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy(*keys).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    ranked = per.withColumn("rank", before + (C("n") + 1) / 2)
+    ranked = before(per, keys, score, ["n"]).withColumn("rank", C("n_before") + (C("n") + 1) / 2)
     sums = ranked.groupBy(*keys).agg(F.sum(C("pos") * C("rank")).alias("r"), F.sum("pos").alias("p"), F.sum(C("n") - C("pos")).alias("q"))
     return sums.select(*keys, F.try_divide(C("r") - C("p") * (C("p") + 1) / 2, C("p") * C("q")).alias("auc"))
 
@@ -33,9 +60,9 @@ def auc(scored: DataFrame, label: str, score: str, keys: Sequence[str] = ()) ->
 def average_precision(scored: DataFrame, label: str, score: str, keys: Sequence[str] = ()) -> DataFrame:
     """Step-wise average precision; equal scores are one step."""
     per = scored.groupBy(*keys, score).agg(F.count("*").cast("double").alias("n"), F.count_if(C(label) == 1).cast("double").alias("pos"))
-    down = Window.partitionBy(*keys).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    run = per.withColumns({"tp": F.sum("pos").over(down), "all": F.sum("n").over(down)})
-    return run.groupBy(*keys).agg(F.try_divide(F.sum(C("pos") * C("tp") / C("all")), F.sum("pos")).alias("ap"))
+    run = before(per, keys, score, ["n", "pos"], down=True)
+    step = C("pos") * (C("pos_before") + C("pos")) / (C("n_before") + C("n"))
+    return run.groupBy(*keys).agg(F.try_divide(F.sum(step), F.sum("pos")).alias("ap"))
 
 
 def slopes(panel: DataFrame, key: str, time: str, value: str, per: float, least: int = 3) -> DataFrame:
@@ -45,16 +72,19 @@ def slopes(panel: DataFrame, key: str, time: str, value: str, per: float, least:
 
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
-    one = df.withColumn("all", F.lit(1))
-    return one.select(mid_rank(x, "all").alias("rx"), mid_rank(y, "all").alias("ry")).agg(F.corr("rx", "ry").alias("rho"), F.count("*").alias("n"))
+    own = df.select(C(x).alias("x"), C(y).alias("y"))
+    ranked = own.join(mid_ranks(own, "x").select(C("value").alias("x"), C("rank").alias("rx")), "x").join(mid_ranks(own, "y").select(C("value").alias("y"), C("rank").alias("ry")), "y")
+    return ranked.agg(F.corr("rx", "ry").alias("rho"), F.count("*").alias("n"))
 
 
 def kruskal(df: DataFrame, group: str, value: str, least: int = 3) -> DataFrame:
     """Kruskal-Wallis H with tie correction over groups with enough values, and its degrees of freedom."""
     big = df.groupBy(group).agg(F.count(value).alias("k")).where(C("k") >= least).select(group)
-    one = df.join(big, group, "left_semi").withColumn("all", F.lit(1)).withColumn("rank", mid_rank(value, "all"))
-    ties = one.groupBy(value).agg(F.count("*").cast("double").alias("t")).agg(F.sum(C("t") * C("t") * C("t") - C("t")).alias("ties"))
-    sums = one.groupBy(group).agg(F.sum("rank").alias("r"), F.count("*").cast("double").alias("n"))
+    one = df.join(big, group, "left_semi")
+    ranks = mid_ranks(one, value)
+    ties = ranks.agg(F.sum(C("n") * C("n") * C("n") - C("n")).alias("ties"))
+    placed = one.select(C(group).alias("group"), C(value).alias("value")).join(ranks.select("value", "rank"), "value")
+    sums = placed.groupBy("group").agg(F.sum("rank").alias("r"), F.count("*").cast("double").alias("n"))
     total = sums.agg(F.sum(C("r") * C("r") / C("n")).alias("s"), F.sum("n").alias("n"), F.count("*").alias("groups"))
     h = 12 / (C("n") * (C("n") + 1)) * C("s") - 3 * (C("n") + 1)
     return total.join(F.broadcast(ties)).select((h / (1 - C("ties") / (C("n") * C("n") * C("n") - C("n")))).alias("h"), (C("groups") - 1).alias("df"), C("n").cast("long").alias("n"))  # one row each
@@ -98,8 +128,6 @@ def within_balanced(panel: DataFrame, unit: str, time: str, columns: Sequence[st
 
 def within_iterated(panel: DataFrame, unit: str, time: str, columns: Sequence[str], tolerance: float = 1e-12, rounds: int = 1000) -> DataFrame:
     """The same for an unbalanced panel, by alternating means until the largest mean is below the tolerance."""
-    from .durable import cut
-
     now = panel.select(unit, time, *(C(c).cast("double").alias(c) for c in columns))
     for _ in range(rounds):
         for key in (unit, time):

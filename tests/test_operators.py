@@ -350,3 +350,25 @@ def test_disks_in_two_passes_equal_their_offsets(spark, radius):
     assert len(got) == len(set(got)) and set(got) == {(y, r, c) for y, r, c in held if all((y, r + a, c + b) in held for a, b in disk)}
     if radius < 4:
         assert {tuple(x) for x in morphology.dilate(mask, disk, 26, 31).collect()} == grown
+
+
+@pytest.mark.parametrize("keys", [[], ["g"]])
+@pytest.mark.parametrize("down", [False, True])
+def test_sums_before_a_row_come_from_ranges(spark, keys, down):
+    rng = random.Random(9)
+    rows = [(g, v, float(rng.randrange(9)), float(rng.randrange(9))) for g in ("a", "b", None) for v in rng.sample(range(500), 120)]
+    if not keys:
+        rows = [(g, 1000 * k + v, n, p) for k, (g, v, n, p) in enumerate(rows)]
+    df = spark.createDataFrame(rows, "g string, v int, n double, p double").repartition(5)
+    got = {(r.g, r.v): (r.n_before, r.p_before) for r in stats.before(df, keys, "v", ["n", "p"], down).collect()}
+    sign = -1 if down else 1
+    for g, v, *_ in rows:
+        earlier = [r for r in rows if (not keys or r[0] == g) and sign * r[1] < sign * v]
+        assert got[g, v] == (sum(r[2] for r in earlier), sum(r[3] for r in earlier))
+
+
+def test_rank_statistics_have_no_window_without_a_key(spark):
+    df = spark.createDataFrame([(k % 3, float(k % 7), float(k * k % 11)) for k in range(60)], "g int, x double, y double")
+    for out in (stats.spearman(df, "x", "y"), stats.kruskal(df, "g", "x"), stats.auc(df.withColumn("l", F.col("g") % 2), "l", "x")):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "Window" in plan and "SinglePartition" not in plan.split("Window")[-1].split("\n")[1]
