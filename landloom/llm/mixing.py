@@ -5,7 +5,8 @@ until they fit; a document's probability is its cell's weight over the largest w
 the target shares exactly, and it is kept if a hash of its id falls below that.
 
 Targets: a mapping of values to shares, or a power that flattens the present shares (1 keeps them, 0 makes them even).
-With a mapping, values that it does not name keep their present share; all is then scaled to one.  Tokens are spaces plus
+With a mapping, values that it does not name keep their present share; all is then scaled to one.  A
+share of 0 leaves a value out: its cells have the weight 0, and so have cells that only such values meet.  Tokens are spaces plus
 one.  The cells are one partition while there are at most ``ONE_PARTITION`` of them; beyond that the same windows shuffle.
 
 Rows: null text has one token; null source, language or topic is the value ``(none)``; a null id hashes like the text
@@ -73,8 +74,9 @@ def weights(described: DataFrame, targets: tuple[Target, Target, Target], rounds
     cells = cells.withColumn("weight", F.lit(1.0))
     for _ in range(rounds):
         for value in names:
-            cells = cells.withColumn("weight", F.col("weight") * F.col(f"t_{value}") / F.sum(F.col("weight") * F.col("tokens")).over(Window.partitionBy(value)))
-    return cells.select(*names, (F.col("weight") / F.max("weight").over(Window.partitionBy(F.lit(0)))).alias("weight"))
+            there = F.sum(F.col("weight") * F.col("tokens")).over(Window.partitionBy(value))
+            cells = cells.withColumn("weight", F.coalesce(F.try_divide(F.col("weight") * F.col(f"t_{value}"), there), F.lit(0.0)))
+    return cells.select(*names, F.coalesce(F.try_divide(F.col("weight"), F.max("weight").over(Window.partitionBy(F.lit(0)))), F.lit(0.0)).alias("weight"))
 
 
 def mix(docs: DataFrame, targets: tuple[Target, Target, Target] = TARGETS, topic: Column | None = None) -> DataFrame:
@@ -118,8 +120,8 @@ def sql(targets: tuple[Target, Target, Target] = TARGETS, rounds: int = ROUNDS)
     k = 0
     for _ in range(rounds):
         for v in ("source", "lang", "topic"):
-            ctes.append(f"w{k + 1} AS MATERIALIZED (SELECT * REPLACE (weight * t_{v} / sum(weight * tokens) OVER (PARTITION BY {v}) AS weight) FROM w{k})")
+            ctes.append(f"w{k + 1} AS MATERIALIZED (SELECT * REPLACE (coalesce(weight * t_{v} / nullif(sum(weight * tokens) OVER (PARTITION BY {v}), 0), 0) AS weight) FROM w{k})")
             k += 1
-    ctes.append(f"p AS (SELECT source, lang, topic, round(weight / max(weight) OVER (), 9) AS probability FROM w{k})")
+    ctes.append(f"p AS (SELECT source, lang, topic, round(coalesce(weight / nullif(max(weight) OVER (), 0), 0), 9) AS probability FROM w{k})")
     draw = "CAST(CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || ':mix'), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296.0"
     return "WITH " + ", ".join(ctes) + f" SELECT doc_id, source, lang, topic, CAST(tokens AS BIGINT) AS tokens, probability, {draw} < probability AS kept FROM d JOIN p USING (source, lang, topic)"

@@ -44,3 +44,14 @@ def test_samples_keep_columns_of_any_name(spark):
     assert kept.columns == docs.columns and 0 < kept.count() < docs.count()
     assert kept.join(docs, docs.columns, "left_anti").where("lang is not null").isEmpty()
     assert mixing.sample(docs.limit(0)).count() == 0
+
+
+def test_shares_of_zero_leave_their_values_out(spark):
+    rows = [(k, "word " * (k % 7 + 1), ("en", "de", "fr")[k % 3], ("web", "books")[k % 2], 0, 0, "x") for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, shard int, block string")
+    out = mixing.mix(docs, (1.0, {"en": 0.7, "de": 0.0, "fr": 0.3, "it": 0.5}, 1.0)).collect()
+    assert len(out) == 60 and all((r.probability == 0) == (r.lang == "de") for r in out) and not any(r.kept for r in out if r.lang == "de")
+    share = {c: sum(r.probability * r.tokens for r in out if r.lang == c) for c in ("en", "fr")}
+    assert abs(share["en"] / share["fr"] - 7 / 3) < 1e-4
+    none = mixing.mix(docs, ({"web": 0.0, "books": 0.0}, 1.0, 1.0)).collect()
+    assert len(none) == 60 and not any(r.probability or r.kept for r in none)
