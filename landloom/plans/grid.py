@@ -9,6 +9,7 @@ from ..operators import cells as C
 from ..operators import focal, transitions
 from ..operators import morphology as M
 from ..operators.durable import cut
+from ..operators.filters import drops
 from .base import CELLS, EXTENT, GRID, LARGEST, PAIRS, RADIUS, SEEDS, G, cells, extents, grid, pairs, read, sql_least
 from .registry import query
 
@@ -296,3 +297,15 @@ def focal_max(spark, sf):
 @query(f"WITH {GRID}, d AS (SELECT CAST(x.range AS INT) AS dr, CAST(y.range AS INT) AS dc FROM range(-1, 2) x, range(-1, 2) y WHERE x.range <> 0 OR y.range <> 0) SELECT a.year, a.r, a.c, CAST(count(*) FILTER (WHERE b.lu <> a.lu) AS INT) AS diversity, CAST(count(DISTINCT b.lu) AS INT) AS distinct_classes FROM grid a, d JOIN grid b ON b.year = a.year AND b.r = least(greatest(a.r + dr, 0), {G - 1}) AND b.c = least(greatest(a.c + dc, 0), {G - 1}) GROUP BY ALL")
 def neighbour_diversity(spark, sf):
     return focal.differing_neighbours(grid(spark, sf), G, G)
+
+
+#: What a training row must be: known in both years, not built in the first, away from the border.
+_TRAINABLE = {"known": "lu1 <> 0 AND lu2 <> 0", "unbuilt": "lu1 NOT IN (1, 2)", "inside": f"r BETWEEN 2 AND {G - 3} AND c BETWEEN 2 AND {G - 3}"}
+_DROPPED = ", ".join(f"count(*) FILTER (WHERE {' AND '.join([*(f'({x})' for x in list(_TRAINABLE.values())[:k]), f'NOT ({v})'])}) AS d{k + 1}" for k, v in enumerate(_TRAINABLE.values()))
+_STEPS_OF = " UNION ALL ".join(f"SELECT y1, {k + 1} AS step, '{n}' AS filter, d{k + 1} AS dropped, n - {' - '.join(f'd{j + 1}' for j in range(k + 1))} AS \"left\" FROM t" for k, n in enumerate(_TRAINABLE))
+
+
+@query(f"WITH {PAIRS}, t AS (SELECT y1, count(*) AS n, {_DROPPED} FROM pairs GROUP BY 1) {_STEPS_OF}")
+def filter_drops(spark, sf):
+    """How many pairs of cells each filter of the training rows drops in each period."""
+    return drops(pairs(spark, sf), {n: F.expr(x) for n, x in _TRAINABLE.items()}, ["y1"])

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from landloom.functions import scalars
-from landloom.operators import cells, components, focal, models, morphology, ranking, roads, stats, transitions
+from landloom.operators import cells, components, filters, focal, models, morphology, ranking, roads, stats, transitions
 
 
 def mask(spark, text, year=1):
@@ -372,3 +372,19 @@ def test_rank_statistics_have_no_window_without_a_key(spark):
     for out in (stats.spearman(df, "x", "y"), stats.kruskal(df, "g", "x"), stats.auc(df.withColumn("l", F.col("g") % 2), "l", "x")):
         plan = out._jdf.queryExecution().executedPlan().toString()
         assert "Window" in plan and "SinglePartition" not in plan.split("Window")[-1].split("\n")[1]
+
+
+def test_filters_count_what_they_drop_while_they_filter(spark):
+    rng = random.Random(2)
+    rows = [(k, rng.choice([None, 0, 1, 2, 3]), rng.random()) for k in range(300)]
+    df = spark.createDataFrame(rows, "id int, lu int, x double").repartition(3)
+    chain = {"known": F.col("lu") > 0, "low": F.col("x") < 0.7, "odd": F.col("id") % 2 == 1}
+    out, seen = filters.observed(df, chain)
+    kept = {r.id for r in out.collect()}
+    a = [r for r in rows if r[1]]
+    b = [r for r in a if r[2] < 0.7]
+    c = [r for r in b if r[0] % 2]
+    assert kept == {r[0] for r in c}
+    assert seen.get == {"rows": 300, "known": 300 - len(a), "low": len(a) - len(b), "odd": len(b) - len(c)}
+    table = [tuple(r) for r in filters.drops(df, chain).orderBy("step").collect()]
+    assert table == [(1, "known", 300 - len(a), len(a)), (2, "low", len(a) - len(b), len(b)), (3, "odd", len(b) - len(c), len(c))]
