@@ -48,7 +48,7 @@ def dynamic_extent(spark, sf):
 
 @query(f"WITH RECURSIVE {GRID}, {_seed('m', 1, 2)}, {sql_label('l', 'm')} SELECT year, comp, count(*) AS area, min(r) AS row_min, min(c) AS col_min, max(r) AS row_max, max(c) AS col_max, CAST(floor(avg(r)) AS INT) AS row_mid, CAST(floor(avg(c)) AS INT) AS col_mid FROM l GROUP BY 1, 2")
 def components_sizes(spark, sf):
-    return K.component_sizes(K.grid_components(_mask(spark, sf, 1, 2), G, G))
+    return K.component_sizes(K.grid_components(_mask(spark, sf, 1, 2), G, G, tile=24))  # tiles that do not divide the grid
 
 
 @query(f"WITH RECURSIVE {GRID}, {_seed('m', 1, 2)}, {sql_label('l', 'm')}, s AS (SELECT year, comp FROM l GROUP BY 1, 2 HAVING count(*) >= 5) SELECT l.year, r, c, CAST(dense_rank() OVER (PARTITION BY l.year ORDER BY l.comp) AS INT) AS label FROM l JOIN s ON s.year = l.year AND s.comp = l.comp")

@@ -57,6 +57,49 @@ def test_tiles_do_not_change_components(spark, eight):
     assert key(components.grid_components(own, 20, 20, eight)) == key(components.grid_components(own, 20, 20, eight, tile=6))
 
 
+def _flooded(cells, eight, cols):
+    """Every cell with the smallest number of its component, by plain flooding."""
+    left, out = set(cells), {}
+    while left:
+        todo, met = [left.pop()], []
+        while todo:
+            r, c = todo.pop()
+            met.append((r, c))
+            for a in (-1, 0, 1):
+                for b in (-1, 0, 1):
+                    if (eight or not a or not b) and (r + a, c + b) in left:
+                        left.remove((r + a, c + b))
+                        todo.append((r + a, c + b))
+        out.update(dict.fromkeys(met, min(r * cols + c for r, c in met)))
+    return out
+
+
+@pytest.mark.parametrize("eight", [True, False])
+@pytest.mark.parametrize("tile", [3, 7, 512])
+def test_runs_equal_flooding(spark, eight, tile):
+    rng = random.Random(tile)
+    kept = {y: {(r, c) for r in range(15) for c in range(22) if rng.random() < share} for y, share in (("a", 0.35), ("b", 0.55), ("c", 0.9))}
+    kept["spiral"] = {(r, c) for r in range(15) for c in range(22) if r % 2 == 0 or c == (21 if r % 4 == 1 else 0)}
+    rows = [(y, r, c) for y, own in kept.items() for r, c in own]
+    own = spark.createDataFrame([*rows, *rows[:40], ("a", None, 3), ("a", 3, None)], "kind string, r int, c int")
+    got = components.grid_components(own, 15, 22, eight, group="kind", tile=tile)
+    assert got.columns == ["kind", "r", "c", "comp"]
+    found = [(x.kind, x.r, x.c, x.comp) for x in got.collect()]
+    assert sorted(found) == sorted((y, *at, n) for y, cells in kept.items() for at, n in _flooded(cells, eight, 22).items())
+
+
+def test_runs_need_one_shuffle_of_cells(spark):
+    cells = spark.range(400).select(F.lit(1).alias("year"), F.expr("int(id div 20)").alias("r"), F.expr("int(id % 20)").alias("c"))
+    plan = components.grid_components(cells, 20, 20)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_graphs_of_several_keys_stay_apart(spark):
+    edges = spark.createDataFrame([("x", 1, 2), ("x", 2, 3), ("y", 3, 4), ("y", 9, 9)], "k string, a long, b long")
+    got = {(r.k, r.id): r.component for r in components.graph_components(edges, ["k"]).collect()}
+    assert got == {("x", 1): 1, ("x", 2): 1, ("x", 3): 1, ("y", 3): 3, ("y", 4): 3}
+
+
 def test_graph_components_equal_union_find(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(80), rng.randrange(80)) for _ in range(60)] + [(k, k + 1) for k in range(200, 260)]
