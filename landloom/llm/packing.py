@@ -2,9 +2,9 @@
 
 The lengths of all pieces are counted exactly.  On that histogram (at most ``capacity`` entries, whatever the size of the
 corpus) the configuration linear program is solved by multiplicative weights: a configuration is a multiset of lengths
-that fits one sequence, and the pricing problem - the most valuable configuration under the present weights - is an
-unbounded knapsack solved by dynamic programming.  The fractional solution is rounded down; what it leaves over is placed
-by best fit, in the histogram too.  The plan is a small table of runs (length, ranks, first sequence, offset); every piece
+that fits one sequence, and the pricing problem - the most valuable configurations under the present weights - is an
+unbounded knapsack solved by dynamic programming.  The solution is in whole sequences, rounded to the pieces there are;
+what it leaves over is placed by best fit, in the histogram too.  The plan is a small table of runs (length, ranks, first sequence, offset); every piece
 finds its place from its rank among the pieces of its length.
 
 Rows: null text counts as empty (one end token); null ``doc_id`` stays null; repeated rows are packed once each; an empty
@@ -136,47 +136,71 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
 # ---------------------------------------------------------------- plan over the histogram
 
 
-def _price(values: np.ndarray, units: int) -> list[int]:
-    """The most valuable multiset of sizes 1..units that fits: unbounded knapsack."""
-    last = np.zeros(units + 1, int)
+def _table(values: np.ndarray, units: int) -> np.ndarray:
+    """The worth of the most valuable multiset of sizes 1..units that fits each room 0..units: unbounded knapsack."""
     turned = np.zeros(units + 1)  # the best value of each room, the largest room first, so that sums run side by side
     sizes, gains = np.ascontiguousarray(values[1:]), np.empty(units)
     for room in range(1, units + 1):
-        own = np.add(sizes[:room], turned[units - room + 1 :], out=gains[:room])
-        k = int(own.argmax())
-        turned[units - room], last[room] = own[k], k + 1
-    out, room = [], units
-    while room > 0:
-        if values[last[room]] > 0:  # else room that stays empty
-            out.append(int(last[room]))
-        room -= last[room]
-    return out
+        turned[units - room] = np.add(sizes[:room], turned[units - room + 1 :], out=gains[:room]).max()
+    return turned[::-1].copy()
+
+
+def _filled(first: int, kinds: np.ndarray, values: np.ndarray, best: np.ndarray, free: np.ndarray, units: int) -> tuple[list[int], float]:
+    """A configuration that begins with ``first`` and goes on with what is worth most by the table among what is still free."""
+    own, room, worth = [first], units - first, values[first]
+    free = free.copy()
+    free[np.searchsorted(kinds, first)] -= 1
+    while n := int(np.searchsorted(kinds, room, side="right")):
+        at = np.where(free[:n] >= 1, values[kinds[:n]] + best[room - kinds[:n]], -1.0)
+        k = int(at.argmax())
+        if at[k] <= 0:
+            break
+        own.append(int(kinds[k]))
+        worth += values[kinds[k]]
+        room -= int(kinds[k])
+        free[k] -= 1
+    return own, worth
 
 
-def configurations(counts: np.ndarray, rounds: int = 200, rate: float = 4.0) -> list[tuple[list[int], float]]:
-    """Multiplicative weights on the covering program: min sum x_P with sum_P a_Pu x_P >= counts_u.
+def configurations(counts: np.ndarray, rate: float = 4.0, near: float = 0.004, widest: float = 0.6, part: float = 0.25) -> tuple[list[tuple[list[int], int]], float]:
+    """Multiplicative weights on the covering program: min sum x_P with sum_P a_Pu x_P >= counts_u; (configurations, bound).
 
     ``counts[u]`` is how many pieces have length u, up to the capacity.  A length's weight falls by the share of it that is
-    covered; each round adds the configuration that is worth most.  What ``rounds`` leave uncovered is for best fit."""
-    units, wanted = len(counts) - 1, counts.astype(float)
-    present = wanted > 0
-    covered, chosen = np.zeros(units + 1), defaultdict(float)
+    covered.  A round's table of the dynamic program prices every room, so it yields many configurations: one that begins
+    with each length, taken if it is within ``near`` of the most valuable and as full as that one.  A round covers at most
+    ``part`` of a length (or one piece), in whole sequences, so that rounding loses nothing.  A round that finds none (the most
+    valuable wants more pieces of a length than there are) doubles ``near``.  The rounds end when all is covered or ``near``
+    passes ``widest``: never by their number, which depends on the lengths and not on their counts.
+    The bound is the best dual value of the rounds: no packing takes fewer sequences."""
+    units, wanted = len(counts) - 1, counts.astype(np.int64)
+    covered, chosen, bound = np.zeros_like(wanted), defaultdict(int), 0.0
     sizes = np.arange(units + 1) / units
-    for _ in range(rounds if present.any() else 0):
-        share = np.divide(covered, wanted, out=np.ones_like(covered), where=present)
-        if share[present].min() >= 1:
-            break
+    while (left := wanted - covered).any():
+        share = np.divide(covered, wanted, out=np.ones(units + 1), where=wanted > 0)
         # a size's space prices it; the exponential of its uncovered share moves the price
-        values = np.where(present & (share < 1), sizes * np.exp(-rate * (share - 1)), 0.0)
-        if not (pattern := _price(values, units)):
+        values = np.where(left > 0, sizes * np.exp(-rate * (share - 1)), 0.0)
+        best = _table(values, units)
+        bound = max(bound, float((values * wanted).sum() / best[units]))
+        kinds = np.flatnonzero(left)
+        free = np.minimum(left, np.maximum(1, (part * wanted).astype(np.int64)))[kinds]
+        worth = values[kinds] + best[units - kinds]
+        added = False
+        full = sum(_filled(int(kinds[worth.argmax()]), kinds, values, best, np.full(len(kinds), units), units)[0])
+        for k in np.argsort(-worth, kind="stable").tolist():
+            while free[k] >= 1 and worth[k] >= (1 - near) * best[units]:
+                own, value = _filled(int(kinds[k]), kinds, values, best, free, units)
+                if value < (1 - near) * best[units] or sum(own) < full:
+                    break
+                sorts, times = np.unique(own, return_counts=True)
+                at = np.searchsorted(kinds, sorts)
+                step = int((free[at] // times).min())
+                chosen[tuple(sorted(own, reverse=True))] += step
+                covered[sorts] += step * times
+                free[at] -= step * times
+                added = True
+        if not added and (near := 2 * near) > widest:
             break
-        kinds, times = np.unique(pattern, return_counts=True)
-        step = max(1.0, min(0.125 * wanted[u] / a for u, a in zip(kinds, times, strict=True)))
-        step = min(step, *(max(0.5, (wanted[u] - covered[u]) / a) for u, a in zip(kinds, times, strict=True)))
-        chosen[tuple(sorted(pattern, reverse=True))] += step
-        for u, a in zip(kinds, times, strict=True):
-            covered[u] += step * a
-    return [(list(p), x) for p, x in chosen.items()]
+    return [(list(p), x) for p, x in chosen.items()], bound
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int, int]]:
@@ -193,7 +217,7 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int,
     for n, (_, there) in queue.items():
         counts[n] = there
     gaps: dict[int, list[tuple[int, int]]] = defaultdict(list)  # free tokens -> (first sequence, how many)
-    for pattern, x in sorted(configurations(counts), key=lambda p: -p[1]):
+    for pattern, x in sorted(configurations(counts)[0], key=lambda p: -p[1]):
         kinds, times = np.unique(pattern, return_counts=True)
         if (m := int(min(x, *(queue.get(n, (0, 0))[1] // a for n, a in zip(kinds.tolist(), times.tolist(), strict=True))))) <= 0:
             continue
@@ -240,6 +264,17 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int,
     return runs
 
 
+def audit(histogram: dict[int, int], capacity: int = CAPACITY) -> dict[str, float]:
+    """Sequences of the plan, the fewest that any packing could take (dual bound), pieces and those that configurations place."""
+    whole = histogram.get(capacity, 0)
+    counts = np.zeros(capacity + 1, np.int64)
+    for n, c in histogram.items():
+        counts[n] = c if n < capacity else 0
+    chosen, bound = configurations(counts)
+    sequences = max((first + many for _, _, many, _, first, _ in plan(histogram, capacity)), default=0)
+    return {"sequences": sequences, "bound": whole + bound, "pieces": sum(histogram.values()), "placed": whole + sum(len(p) * x for p, x in chosen)}
+
+
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """Place all documents: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     cut = materialise(pieces(docs, tokenizer, capacity, end_id))

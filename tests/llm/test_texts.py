@@ -114,8 +114,28 @@ def test_pricing_equals_enumeration():
         def best(room, least=1):
             return max([0.0] + [values[u] + best(room - u, u) for u in range(least, room + 1) if values[u] > 0])
 
-        own = packing._price(values, units)
-        assert sum(own) <= units and np.isclose(sum(values[u] for u in own), best(units))
+        table = packing._table(values, units)
+        assert np.allclose(table, [best(room) for room in range(units + 1)])
+        if (kinds := np.flatnonzero(values)).size:
+            first = int(kinds[(values[kinds] + table[units - kinds]).argmax()])
+            own, worth = packing._filled(first, kinds, values, table, np.full(len(kinds), units), units)
+            assert sum(own) <= units and np.isclose(sum(values[u] for u in own), best(units)) and np.isclose(worth, best(units))
+
+
+@pytest.mark.parametrize("times", [1, 20])
+def test_configurations_place_nine_tenths(times):
+    rng = np.random.default_rng(4)
+    lengths = np.minimum(1 + rng.lognormal(4, 1, 3000).astype(int), 512)
+    histogram = {int(n): int(c) * times for n, c in zip(*np.unique(lengths, return_counts=True), strict=True)}
+    got = packing.audit(histogram, 512)
+    assert got["placed"] >= 0.9 * got["pieces"]
+    least = max(got["bound"], sum(n * c for n, c in histogram.items()) / 512)
+    assert got["bound"] <= got["sequences"] <= 1.005 * least + 1
+
+
+def test_dual_bound_of_half_empty_sequences():
+    got = packing.audit({2049: 40, 4096: 2, 3000: 5})
+    assert got["sequences"] == 47 == np.ceil(got["bound"]) and got["placed"] == 47
 
 
 # ---------------------------------------------------------------- near-duplicates
