@@ -7,7 +7,9 @@ themselves.  Each layer carries the place of its characters in the original text
 for escapes, by groups of four characters for base64, by the whole part for compressed data.  Escapes are decoded where
 they stand in the whole layer; bytes that are not UTF-8 stay as they are.  Base64 may continue over line breaks and begin
 anywhere in a run of its letters (after a path, say): all four alignments are decoded, and whatever is readable or
-compressed in them is a layer.
+compressed in them, at any byte, is a layer.  Decoded bytes that hold the head of compressed data are a layer of bytes too
+(one character each), so compression inside compression is unwrapped by the same worklist, as are compressed bytes that
+are percent-escaped or written as ``\\x`` escapes.
 
 The worklist is a stack of generators: layers are made one at a time, the innermost first, so that memory is bounded by the
 depth of nesting and not by the number of layers.  Compressed data is read in windows of ``WINDOW`` characters; a window
@@ -51,6 +53,11 @@ _UTF8 = re.compile(rb"(?:[\t\n\r\x20-\x7e]|[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x
 _UTF16 = re.compile(rb"(?:[\t\n\r\x20-\x7e]\x00){8,}")
 #: How gzip, bzip2 and zlib data begins.
 _SQUEEZED = re.compile(rb"\x1f\x8b\x08|BZh[1-9]|\x78[\x01\x5e\x9c\xda]")
+_SQUEEZED_CHARS = re.compile("\x1f\x8b\x08|BZh[1-9]|\x78[\x01\x5e\x9c\xda]")
+_BYTES = re.compile("[\x00-\xff]+")
+#: Percent-escaped bytes with the letters beside them that need no escape.
+_URL_RUN = re.compile(r"[A-Za-z0-9_.~/-]*%[0-9A-Fa-f]{2}(?:%[0-9A-Fa-f]{2}|[A-Za-z0-9_.~/-])*")
+_URL_BYTE = re.compile(r"%[0-9A-Fa-f]{2}|.")
 _TAIL = re.compile(rb"[A-Za-z0-9+/_-]+\Z")
 OVERLAP = 4096
 #: A compressed part may grow to so many bytes in one layer; what is longer is read in windows of this size.
@@ -198,19 +205,18 @@ def _payloads(layer: Layer, body: str, at) -> Iterator[Layer]:
 
         done = 0
         for m in _SQUEEZED.finditer(data):
-            if m.start() % 3 or m.start() < done:
+            if m.start() < done:
                 continue
             content = _Inflated(memoryview(data)[m.start() :])
             for part in content:
-                a, b = place(m.start(), max(m.start() + 1, m.start() + content.used))
-                yield _anywhere(part, a, b)
+                yield from _anywhere(part, *place(m.start(), max(m.start() + 1, m.start() + content.used)))
                 done = m.start() + content.used
         if not done and shift == 0 and not _UTF8.fullmatch(data):
             content = _Inflated(memoryview(data))  # deflated without a head
             for part in content:
                 if not _UTF8.match(part):
                     break
-                yield _anywhere(part, *place(0, max(1, content.used)))
+                yield from _anywhere(part, *place(0, max(1, content.used)))
         for m in _UTF8.finditer(data):
             spots = [place(k, k + 1) for k in range(*m.span())]
             if found := _chars(m.group(), array("q", (a for a, _ in spots)), array("q", (b for _, b in spots))):
@@ -220,9 +226,50 @@ def _payloads(layer: Layer, body: str, at) -> Iterator[Layer]:
             yield Layer(m.group()[::2].decode(), array("q", (a for a, _ in spots)), array("q", (b for _, b in spots)))
 
 
-def _anywhere(part: bytes, a: int, b: int) -> Layer:
-    text = part.decode("utf-8", "replace")
-    return Layer(text, _Same(a, len(text)), _Same(b, len(text)))
+def _anywhere(part: bytes, a: int, b: int) -> Iterator[Layer]:
+    """Inflated bytes, all of whose characters stand at a to b: as text, as UTF-16, and as bytes where compressed data may begin."""
+
+    def layer(text: str) -> Layer:
+        return Layer(text, _Same(a, len(text)), _Same(b, len(text)))
+
+    yield layer(part.decode("utf-8", "replace"))
+    for m in _UTF16.finditer(part):
+        yield layer(m.group()[::2].decode())
+    if _SQUEEZED.search(part):
+        yield layer(part.decode("latin-1"))
+
+
+def _inflated(layer: Layer) -> Iterator[Layer]:
+    """What compressed bytes hold that stand in the layer one character a byte."""
+    done = 0
+    for m in _SQUEEZED_CHARS.finditer(layer.text):
+        if m.start() < done:
+            continue
+        data = _BYTES.match(layer.text, m.start()).group().encode("latin-1")
+        content = _Inflated(memoryview(data))
+        for part in content:
+            done = m.start() + max(1, content.used)
+            yield from _anywhere(part, *layer.place(m.start(), done))
+
+
+def _escaped_bytes(layer: Layer) -> Iterator[Layer]:
+    """What percent-escaped compressed bytes hold."""
+    if "%" not in layer.text:
+        return
+    for run in _URL_RUN.finditer(layer.text):
+        spots = [m.span() for m in _URL_BYTE.finditer(layer.text, *run.span())]
+        data, done = bytes(int(layer.text[a + 1 : b], 16) if b - a == 3 else ord(layer.text[a]) for a, b in spots), 0
+        for m in _SQUEEZED.finditer(data):
+            if m.start() < done:
+                continue
+            content = _Inflated(memoryview(data)[m.start() :])
+            for part in content:
+                done = m.start() + max(1, content.used)
+                yield from _anywhere(part, *layer.place(spots[m.start()][0], spots[done - 1][1]))
+
+
+def _decoded(layer: Layer) -> Iterator[Layer]:
+    return chain(_escapes(layer), _encoded(layer), _wrapped(layer), _inflated(layer), _escaped_bytes(layer))
 
 
 def _encoded(layer: Layer) -> Iterator[Layer]:
@@ -255,7 +302,7 @@ def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, in
     base = base_spans(text)
     spans = set(base)
     seen, first = set(), Layer(text, None, None)
-    work = [chain(_escapes(first), _encoded(first), _wrapped(first))]
+    work = [_decoded(first)]
     while work:
         if (layer := next(work[-1], None)) is None:
             work.pop()
@@ -266,7 +313,7 @@ def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, in
             for a, kind, b in base_spans(layer.text):
                 at, end = layer.place(a, b)
                 spans.add((at, kind, end))
-            work.append(chain(_escapes(layer), _encoded(layer), _wrapped(layer)))
+            work.append(_decoded(layer))
     return base, sorted(spans)
 
 

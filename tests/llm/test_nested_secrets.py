@@ -59,6 +59,39 @@ def test_random_nestings_are_found_where_they_stand(seed):
     assert not [s for s in again if s[1] == 0], (text, secrets.redact(text))
 
 
+PACKS = [
+    gzip.compress, zlib.compress, bz2.compress, lambda d: zlib.compress(d, 1), lambda d: b"\x00\x01\xfe" + d, lambda d: b"\xff" + d + b"\x80\x81",
+    lambda d: b64(d).encode(), lambda d: d + b" and so on",
+]
+WRITTEN = [b64, lambda d: urllib.parse.quote(d), lambda d: "".join(f"%{x:02x}" for x in d), lambda d: "".join(f"\\x{x:02x}" for x in d)]
+
+
+@pytest.mark.parametrize("seed", range(80))
+def test_layers_of_bytes_reach_the_fixpoint(seed):
+    rng = random.Random(seed)
+    data = (f"note {SAID} ." if rng.random() < 0.8 else f"note {SAID} .".encode("utf-16-le").decode("latin-1")).encode("latin-1")
+    data = rng.choice(PACKS[:3])(data)
+    for _ in range(rng.randrange(1, 5)):
+        data = rng.choice(PACKS)(data)
+    written = rng.choice(WRITTEN)(data)
+    text = f"see {written} end"
+    spans = [(a, b) for a, kind, b in secrets.scan(text)[1] if kind == 0]
+    assert spans and all(4 <= a < b <= 4 + len(written) for a, b in spans)
+
+
+def test_compressed_data_at_every_byte():
+    for squeeze in (gzip.compress, zlib.compress, bz2.compress):
+        for n in range(7):
+            assert [s for s in secrets.scan("x " + b64(bytes(n) + squeeze(SAID.encode())))[1] if s[1] == 0], (squeeze, n)
+
+
+def test_layers_that_hold_themselves_end():
+    layer = secrets.Layer("", None, None)
+    assert list(secrets._decoded(layer)) == []
+    data = gzip.compress(gzip.compress(b"word " * 50) * 30)
+    assert secrets.scan(b64(data))[1] == []
+
+
 @pytest.mark.parametrize("before", ["https://h/x/", "ab", "/", "key_", "a-b-c_", "x" * 7])
 @pytest.mark.parametrize("data", [SAID.encode(), SAID.encode("utf-16-le"), gzip.compress(SAID.encode()), b"\x00\x01\xff" + SAID.encode() + b"\x00\xfe"])
 def test_payloads_begin_anywhere_in_a_run(before, data):
