@@ -145,18 +145,20 @@ def _table(values: np.ndarray, units: int) -> np.ndarray:
     return turned[::-1].copy()
 
 
-def _filled(first: int, kinds: np.ndarray, values: np.ndarray, best: np.ndarray, free: np.ndarray, units: int) -> tuple[list[int], float]:
-    """A configuration that begins with ``first`` and goes on with what is worth most by the table among what is still free."""
+def _filled(first: int, kinds: np.ndarray, values: np.ndarray, best: np.ndarray, free: np.ndarray, units: int, least: float = 0.0) -> tuple[list[int], float]:
+    """A configuration that begins with ``first`` and goes on with what is worth most by the table among what is still free.
+
+    It stops where the table says that ``least`` is out of reach."""
     own, room, worth = [first], units - first, values[first]
-    free = free.copy()
+    free, prices = free.copy(), values[kinds]
     free[np.searchsorted(kinds, first)] -= 1
     while n := int(np.searchsorted(kinds, room, side="right")):
-        at = np.where(free[:n] >= 1, values[kinds[:n]] + best[room - kinds[:n]], -1.0)
+        at = np.where(free[:n] >= 1, prices[:n] + best[room - kinds[:n]], -1.0)
         k = int(at.argmax())
-        if at[k] <= 0:
+        if at[k] <= 0 or worth + at[k] < least:
             break
         own.append(int(kinds[k]))
-        worth += values[kinds[k]]
+        worth += prices[k]
         room -= int(kinds[k])
         free[k] -= 1
     return own, worth
@@ -184,12 +186,12 @@ def configurations(counts: np.ndarray, rate: float = 4.0, near: float = 0.004, w
         kinds = np.flatnonzero(left)
         free = np.minimum(left, np.maximum(1, (part * wanted).astype(np.int64)))[kinds]
         worth = values[kinds] + best[units - kinds]
-        added = False
+        added, least = False, (1 - near) * best[units]
         full = sum(_filled(int(kinds[worth.argmax()]), kinds, values, best, np.full(len(kinds), units), units)[0])
         for k in np.argsort(-worth, kind="stable").tolist():
-            while free[k] >= 1 and worth[k] >= (1 - near) * best[units]:
-                own, value = _filled(int(kinds[k]), kinds, values, best, free, units)
-                if value < (1 - near) * best[units] or sum(own) < full:
+            while free[k] >= 1 and worth[k] >= least:
+                own, value = _filled(int(kinds[k]), kinds, values, best, free, units, least)
+                if value < least or sum(own) < full:
                     break
                 sorts, times = np.unique(own, return_counts=True)
                 at = np.searchsorted(kinds, sorts)
