@@ -225,7 +225,7 @@ def ci_label(spark, sf):
 
 @query("SELECT doc_id, TRY_CAST(left(text, 2) AS INT) AS n FROM documents")
 def try_cast(spark, sf):
-    return read(spark, sf, "documents").select("doc_id", F.substring("text", 1, 2).try_cast("int").alias("n"))
+    return read(spark, sf, "documents").select("doc_id", S.whole_number(F.substring("text", 1, 2)).alias("n"))
 
 
 @query(f"SELECT event_id, CASE WHEN event_id % 5 = 0 THEN NULL ELSE round(v, 6) END AS v, CASE WHEN event_id % 5 = 0 THEN 0 ELSE round(v, 6) END AS zeroed FROM {_E}")
