@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import ranking as R
+from ..operators import stats as T
 from .base import MOVES, PANEL, moves, panel, read
 from .registry import query
 
@@ -308,8 +309,9 @@ def rank_order(spark, sf):
 @query("SELECT measure, count(v) AS n, round(avg(v), 6) AS mean, round(quantile_cont(v, 0.5), 6) AS median, round(quantile_cont(v, 0.25), 6) AS q25, round(quantile_cont(v, 0.75), 6) AS q75 FROM (SELECT 'quantity' AS measure, CAST(l_quantity AS DOUBLE) AS v FROM lineitem UNION ALL SELECT 'part', CAST(l_partkey AS DOUBLE) FROM lineitem) GROUP BY 1")
 def distribution_summary(spark, sf):
     wide = read(spark, sf, "lineitem").select(C("l_quantity").cast("double").alias("quantity"), C("l_partkey").cast("double").alias("part"))
-    q = lambda p: _r(F.percentile("v", F.lit(p)))
-    return wide.unpivot([], ["quantity", "part"], "measure", "v").groupBy("measure").agg(F.count("v").alias("n"), _r(F.avg("v")).alias("mean"), q(0.5).alias("median"), q(0.25).alias("q25"), q(0.75).alias("q75"))
+    own = wide.unpivot([], ["quantity", "part"], "measure", "v")
+    middle = T.quantiles(own, "v", [0.5, 0.25, 0.75], ["measure"]).select("measure", *(_r(C(q)).alias(n) for q, n in (("q0", "median"), ("q1", "q25"), ("q2", "q75"))))
+    return own.groupBy("measure").agg(F.count("v").alias("n"), _r(F.avg("v")).alias("mean")).join(middle, "measure", "left")
 
 
 @query("SELECT CAST(least(greatest(floor(l_quantity * 18 / 51), -1), 18) AS INT) + 1 AS bucket, count(*) AS n FROM lineitem GROUP BY 1")
