@@ -1,18 +1,18 @@
-"""Alignment of two tokenizers over the same bytes, built with higher-order functions of Spark after tokenising.
+"""Alignment of two tokenizers over the same bytes: one Arrow function encodes and cuts, what is corpus-wide is DataFrames.
 
-One Arrow function encodes.  Texts are cut into chunks at the spaces between two visible characters, over which neither
-library joins; some megabytes of texts are one row of distinct chunks, each with both sides' ids and byte ends, and of
-documents that refer to them.  From there on it is DataFrames only:
+Texts are cut into chunks at the spaces between two visible characters, over which neither library joins; some megabytes
+of texts are one row: the distinct groups of these texts and how often each occurs, the distinct chunks as places of their
+groups, and the documents as places of their chunks, with what a document's own tokens say (sizes and digest).
 
-* groups: ``array_intersect`` of a chunk's two arrays of ends gives the places where both end, ``transform`` slices the ids
-  there; a document's groups are those of its chunks in order;
+* groups: both sides' byte ends grow over a row's chunks alike, so the places where both end are one intersection of
+  two arrays; a document's groups are those of its chunks in order;
 * links: a group's bytes are cut by the ends of either side, and every piece lies in exactly one A and one B token; pieces
   and overlapping pairs correspond one to one.  So a text has n_a + n_b - n_groups links, and a group's links are the ids
   over its pieces.  They depend on the group alone and are built once for each distinct group of the corpus;
-* counts: occurrences of groups, then of id pairs; then back from pairs to groups and to the chunks of each row, over whose
-  places ``aggregate`` sums a document (a row holds as many chunks as its bytes allow).  A join sends
-  the keys that hold a ``FEW``-th of the rows (so at most ``FEW`` of them) by broadcast and shuffles the others, so no key
-  of the shuffle holds more than that share.
+* counts: occurrences of groups, then of id pairs; then back from pairs to groups and to the distinct groups of each row,
+  over whose places ``aggregate`` sums chunks and documents.  Only a row's distinct groups are shuffled, not its tokens or
+  chunks.  A join sends the keys that hold a ``FEW``-th of the rows (so at most ``FEW`` of them) by broadcast and shuffles
+  the others, so no key of the shuffle holds more than that share.
 
 Rows: texts that are null, empty or not given back by their tokens have zeros and an empty digest; null and repeated ids
 stay, one result per row; an empty table gives an empty result; other columns are ignored.
@@ -20,6 +20,7 @@ stay, one result per row; an empty table gives an empty result; other columns ar
 
 from __future__ import annotations
 
+import hashlib
 import os
 import re
 from collections.abc import Iterable, Sequence
@@ -124,27 +125,50 @@ class Pair:
             self.young.update((c, v) for c, v in found.items() if len(c) <= LONGEST)
         return got
 
+    def cut(self, known: list[bytes]) -> tuple[np.ndarray, ...]:
+        """Of chunks' ids: the tokens of A and of B and the groups of each chunk, the place of each group among the distinct ones, and those."""
+        flat = np.frombuffer(b"".join(known), np.int32)
+        borders = np.concatenate([[0], np.cumsum([len(v) for v in known], dtype=np.int64) // 4]).astype(np.int64)
+        right = flat >= _B
+        before = np.concatenate([[0], np.cumsum(right)])[borders]  # tokens of B before each chunk
+        a, b = flat[~right], flat[right] - _B
+        ae, be = np.cumsum(self.a_sizes[a], dtype=np.int64), np.cumsum(self.b_sizes[b], dtype=np.int64)
+        common = np.intersect1d(ae, be, assume_unique=True)  # a chunk's bytes are the same on both sides, so its end is one
+        p, q = np.searchsorted(ae, common) + 1, np.searchsorted(be, common) + 1
+        p0, q0 = np.concatenate([[0], p[:-1]]), np.concatenate([[0], q[:-1]])
+        single = (p - p0 == 1) & (q - q0 == 1)
+        at = np.zeros(len(common), np.int64)
+        pairs, at[single] = np.unique(a[p0[single]].astype(np.int64) * _B + b[q0[single]], return_inverse=True)
+        names = [f"{x}|{y}" for x, y in zip((pairs // _B).tolist(), (pairs % _B).tolist(), strict=True)]
+        left, right_, place = a.tobytes(), b.tobytes(), {}
+        spans = ((v[~single] * 4).tolist() for v in (p0, p, q0, q))
+        at[~single] = np.fromiter((place.setdefault((left[i:j], right_[k:m]), len(place)) for i, j, k, m in zip(*spans, strict=True)), np.int64) + len(names)
+        names += ["|".join(",".join(map(str, np.frombuffer(side, np.int32).tolist())) for side in group) for group in place]
+        ends = np.searchsorted(p, (borders - before)[1:]) + 1
+        return np.diff(borders - before), np.diff(before), np.diff(ends, prepend=0), at, names
+
     def row(self, ids: list[int | None], texts: list[str | None]) -> pa.RecordBatch:
-        """One row: the documents as places of their chunks, and the chunks' ids and byte ends."""
+        """One row: the documents as places of their chunks, the chunks as places of their groups, and the distinct groups."""
         place: dict[str, int] = {}
         refs = [[place.setdefault(c, len(place)) for c in chunks_of(t)] if t else [] for t in texts]
         known = self.ids(list(place))
         if None in known:  # texts that hold such a chunk have no tokens
             lost = {k for k, v in enumerate(known) if v is None}
             return self.row(ids, [None if lost.intersection(own) else t for own, t in zip(refs, texts, strict=True)])
-        flat = np.frombuffer(b"".join(known), np.int32)
-        borders = np.concatenate([[0], np.cumsum([len(v) for v in known], dtype=np.int64) // 4]).astype(np.int64)
-        right = flat >= _B
-        before = np.concatenate([[0], np.cumsum(right)])[borders]  # tokens of B before each chunk
-        lists = []
-        for own, at, sizes in ((flat[~right], borders - before, self.a_sizes), (flat[right] - _B, before, self.b_sizes)):
-            ends = np.cumsum(sizes[own], dtype=np.int64)
-            ends -= np.repeat(np.concatenate([[0], ends])[at[:-1]], np.diff(at))
-            lists += [pa.ListArray.from_arrays(at.astype(np.int32), own), pa.ListArray.from_arrays(at.astype(np.int32), ends.astype(np.int32))]
-        times = np.bincount(np.fromiter(chain.from_iterable(refs), np.int64), minlength=len(known)).astype(np.int32)
+        n_a, n_b, n, at, names = self.cut(known)
+        ends, spelled = np.cumsum(n), list(map(names.__getitem__, at.tolist()))
+        spelled = [";".join(spelled[i:j]) for i, j in zip((ends - n).tolist(), ends.tolist(), strict=True)]
+        sha = [hashlib.sha256(";".join(map(spelled.__getitem__, own)).encode()).hexdigest() if own else "" for own in refs]
+        flat = np.fromiter(chain.from_iterable(refs), np.int32)
+        borders = np.concatenate([[0], np.cumsum([len(own) for own in refs])]).astype(np.int32)
+        total = lambda sizes: pa.array(np.diff(np.concatenate([[0], np.cumsum(sizes[flat], dtype=np.int64)])[borders]))
+        times = np.repeat(np.bincount(flat, minlength=len(known)), n)
+        held = np.bincount(at, times, minlength=len(names)).astype(np.int64)
         one = lambda values: pa.ListArray.from_arrays(np.array([0, len(values)], np.int32), values)
-        docs = pa.StructArray.from_arrays([pa.array(ids, pa.int64()), pa.array(refs, pa.list_(pa.int32()))], names=["doc_id", "refs"])
-        return pa.RecordBatch.from_arrays([one(docs), one(pa.StructArray.from_arrays(lists, names=["a", "ae", "b", "be"])), one(pa.array(times))], names=["docs", "chunks", "times"])
+        docs = {"doc_id": pa.array(ids, pa.int64()), "n_a": total(n_a), "n_b": total(n_b), "n_groups": total(n), "groups_sha256": pa.array(sha, pa.string()), "refs": pa.ListArray.from_arrays(borders, flat)}
+        chunks = pa.ListArray.from_arrays(np.concatenate([[0], ends]).astype(np.int32), at.astype(np.int32))
+        columns = [pa.StructArray.from_arrays(list(docs.values()), names=list(docs)), chunks, pa.StructArray.from_arrays([pa.array(names, pa.string()), held], names=["g", "n"])]
+        return pa.RecordBatch.from_arrays(list(map(one, columns)), names=["docs", "chunks", "groups"])
 
 
 _pairs: dict[tuple[str, str], Pair] = {}
@@ -156,8 +180,11 @@ def pair(a: str, b: str) -> Pair:
     return _pairs[a, b]
 
 
+_ROW = "docs array<struct<doc_id: long, n_a: long, n_b: long, n_groups: long, groups_sha256: string, refs: array<int>>>, chunks array<array<int>>, groups array<struct<g: string, n: long>>"
+
+
 def encoded(docs: DataFrame, a: str, b: str, batch: int = BATCH) -> DataFrame:
-    """docs(doc_id, refs), chunks(a, ae, b, be) and how often each occurs, some megabytes of texts a row."""
+    """docs(doc_id, n_a, n_b, n_groups, groups_sha256, refs), chunks and groups(g, n), some megabytes of texts a row."""
 
     def run(batches):
         both = pair(a, b)
@@ -172,39 +199,17 @@ def encoded(docs: DataFrame, a: str, b: str, batch: int = BATCH) -> DataFrame:
                 held += n
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("n"))
-    return rows.mapInArrow(run, "docs array<struct<doc_id: long, refs: array<int>>>, chunks array<struct<a: array<int>, ae: array<int>, b: array<int>, be: array<int>>>, times array<int>")
-
-
-#: Of a chunk k: the places p in A and q in B of the common ends.
-_COMMON = "transform(array_intersect(k.ae, k.be), e -> named_struct('p', cast(array_position(k.ae, e) as int), 'q', cast(array_position(k.be, e) as int)))"
-
-
-def _cut(side: str, place: str) -> str:
-    """The tokens of a side between the last common end and this one, joined by commas."""
-    was = f"coalesce(get(w, i - 1).{place}, 0)"
-    return f"array_join(cast(slice(k.{side}, {was} + 1, x.{place} - {was}) as array<string>), ',')"
-
-
-_TEXT = "array_join(cast(k.{} as array<string>), ',')"
-#: A chunk's groups, 'a1,a2|b1;a3|b2': one token on a side is one group; equal ends are groups of one token on each side.
-GROUPS = f"""case when size(k.a) = 1 or size(k.b) = 1 then concat({_TEXT.format("a")}, '|', {_TEXT.format("b")})
- when k.ae = k.be then array_join(zip_with(k.a, k.b, (x, y) -> concat(x, '|', y)), ';')
- else array_join(flatten(transform(array({_COMMON}), w -> transform(w, (x, i) -> concat({_cut("a", "p")}, '|', {_cut("b", "q")})))), ';') end"""
-
-
-def grouped(coded: DataFrame) -> DataFrame:
-    """batch, docs, times and for each chunk: s (its groups), n_a and n_b (how many tokens)."""
-    each = {"s": GROUPS, "n_a": "size(k.a)", "n_b": "size(k.b)"}
-    return coded.select(F.monotonically_increasing_id().alias("batch"), "docs", "times", *(F.expr(f"transform(chunks, k -> {x})").alias(n) for n, x in each.items()))
+    return rows.mapInArrow(run, _ROW)
 
 
 def digests(coded: DataFrame) -> DataFrame:
-    """The documents' rows, from what is known of each chunk: s, n_a, n_b, n, count_sum, n_best."""
-    total = lambda c: f"aggregate(d.refs, 0L, (t, r) -> t + {c}[r])"
-    sha = "if(size(d.refs) = 0, '', sha2(array_join(transform(d.refs, r -> s[r]), ';'), 256))"
-    sums = {"n_a": "n_a", "n_b": "n_b", "n_groups": "n", "n_best": "known.n_best", "count_sum": "known.count_sum"}
-    own = coded.select(F.expr(f"inline(transform(docs, d -> named_struct('doc_id', d.doc_id, 'groups_sha256', {sha}, {', '.join(f"'{n}', {total(c)}" for n, c in sums.items())})))"))
-    return own.select("doc_id", "n_a", "n_b", "n_groups", (F.col("n_a") + F.col("n_b") - F.col("n_groups")).alias("n_links"), "n_best", "count_sum", "groups_sha256")
+    """The documents' rows, from known(count_sum, n_best) of each distinct group of a row."""
+    chunk = "transform(chunks, k -> aggregate(k, 0L, (t, g) -> t + known[g].{0})) as {0}".format  # noqa: UP032
+    own = coded.selectExpr("docs", chunk("count_sum"), chunk("n_best"))
+    total = lambda c: f"'{c}', aggregate(d.refs, 0L, (t, r) -> t + {c}[r])"
+    plain = ", ".join(f"'{c}', d.{c}" for c in ("doc_id", "n_a", "n_b", "n_groups", "groups_sha256"))
+    rows = own.select(F.expr(f"inline(transform(docs, d -> named_struct({plain}, {total('count_sum')}, {total('n_best')})))"))
+    return rows.select("doc_id", "n_a", "n_b", "n_groups", (F.col("n_a") + F.col("n_b") - F.col("n_groups")).alias("n_links"), "n_best", "count_sum", "groups_sha256")
 
 
 #: A group's links over the pieces that the ends of both sides cut it into; with one token on a side they are a sequence.
@@ -241,11 +246,10 @@ def align(docs: DataFrame, a: str, b: str, batch: int = BATCH, few: int = FEW) -
     """The digest of every document's alignment, and its counts in the whole corpus."""
     both = pair(a, b)
     sizes = both.a_sizes.tolist(), both.b_sizes.tolist()
-    coded = materialise(grouped(encoded(docs, a, b, batch)))
+    coded = materialise(encoded(docs, a, b, batch).select(F.monotonically_increasing_id().alias("batch"), "*"))
     named = F.when(F.length("g") > LONG, F.sha2("g", 256)).otherwise(F.col("g")).alias("group")  # short keys for joins
-    each = coded.select("batch", F.expr("inline(transform(s, (x, i) -> named_struct('i', i, 's', x, 'times', times[i])))"))
-    held = each.select("batch", "i", "times", F.explode(F.split("s", ";")).alias("g"))
-    groups = materialise(held.groupBy("g").agg(F.sum("times").alias("n"), F.count("*").alias("rows")).withColumn("group", named))
+    held = coded.select("batch", F.posexplode("groups").alias("i", "k")).select("batch", "i", "k.g", "k.n")
+    groups = materialise(held.groupBy("g").agg(F.sum("n").alias("n"), F.count("*").alias("rows")).withColumn("group", named))
     links = materialise(linked(groups.select("group", "g", "n"), sizes).drop("g"))
     pairs = materialise(links.groupBy("a", "b").agg(F.sum("n").alias("links"), F.count("*").alias("rows")))
     best = pairs.groupBy("b").agg(F.max("links").alias("most"))
@@ -254,10 +258,9 @@ def align(docs: DataFrame, a: str, b: str, batch: int = BATCH, few: int = FEW) -
     for done in (groups, links, pairs):
         discard(done)
     back = [p.select("batch", "i", "count_sum", "n_best") for p in meet(held.select("batch", "i", named), known, ["group"], few)]
-    dealt = back[0].unionByName(back[1]).repartition("batch").groupBy("batch", "i")  # one shuffle for both groupings
-    per = dealt.agg(F.sum("count_sum").alias("count_sum"), F.sum("n_best").alias("n_best")).groupBy("batch").agg(F.array_sort(F.collect_list(F.struct("i", "count_sum", "n_best"))).alias("known"))
-    n = F.expr("transform(s, x -> length(x) - length(replace(x, ';', '')) + 1)")
-    return digests(coded.withColumn("n", n).join(per, "batch", "left"))
+    dealt = back[0].unionByName(back[1]).repartition("batch")
+    per = dealt.groupBy("batch").agg(F.array_sort(F.collect_list(F.struct("i", "count_sum", "n_best"))).alias("known"))
+    return digests(coded.drop("groups").join(per, "batch", "left"))
 
 
 def default_tokenizers() -> tuple[str, str]:

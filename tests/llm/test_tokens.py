@@ -141,6 +141,17 @@ def test_chunks_are_encoded_as_inside_their_text(rows):
                 assert [k for k in flat if k < alignment._B] == [k for k, _ in left] and [k - alignment._B for k in flat if k >= alignment._B] == [k for k, _ in right]
 
 
+def test_a_row_of_texts_holds_each_group_once(spark):
+    texts = ["the ouen of thing don't stonre"] * 50 + ["thing the bleth É日本 <s> naïve--so"] * 30
+    docs = spark.createDataFrame([(k, t, 0, 0, "") for k, t in enumerate(texts)], SCHEMA).coalesce(1)
+    (row,) = alignment.encoded(docs, *alignment.default_tokenizers()).collect()
+    _, _, groups = plain_alignment(texts)
+    want = Counter(g for own in groups for g in own)
+    assert len(row.groups) == len(want) < sum(want.values())
+    assert {g.g: g.n for g in row.groups} == want
+    assert [[row.groups[g].g for r in d.refs for g in row.chunks[r]] for d in row.docs] == groups
+
+
 def test_alignment_of_an_empty_table(spark):
     assert alignment.align(spark.createDataFrame([], SCHEMA), *alignment.default_tokenizers()).count() == 0
 
