@@ -69,5 +69,6 @@ _LINES = f"""{VERTICES}, line AS (SELECT pid, k, CAST(x AS DOUBLE) AS xa, CAST(y
 )
 def polygon_clip(spark, sf):
     """The length of each order's polyline inside each ring."""
-    steps = N.steps(vertices(spark, sf)).where("len > 0").select(F.struct("pid", "k", "len").alias("id"), *(C(a).cast("double").alias(b) for a, b in (("x0", "xa"), ("y0", "ya"), ("x1", "xb"), ("y1", "yb"))))
-    return P.clipped(steps, _rings(spark, sf)).groupBy("ring_id", C("id.pid").alias("pid")).agg(F.round(F.sum((C("t1") - C("t0")) * C("id.len")), 6).alias("length"))
+    steps = N.steps(vertices(spark, sf)).where("len > 0").select("pid", "len", *(C(a).cast("double").alias(b) for a, b in (("x0", "xa"), ("y0", "ya"), ("x1", "xb"), ("y1", "yb"))))
+    own = P.clipped(steps, F.broadcast(_rings(spark, sf)))  # a ring a nation: 25 rows
+    return own.groupBy("ring_id", "pid").agg(F.round(F.sum((C("t1") - C("t0")) * C("len")), 6).alias("length"))

@@ -1,7 +1,7 @@
 """Polygons over cells by scanlines: edges cross rows, sorted crossings are runs of cells, lines are cut where they cross.
 
 Rings are rings(ring_id, pts array<struct<x, y>>), closed by themselves; cell (r, c) has the corners (c, r) and (c + 1, r + 1).
-Everything meets in equi-joins on cells or rows of a ring; nothing compares boxes.
+Cells and points meet in equi-joins on cells or rows of a ring; lines meet the rings of their tile, whose boxes are compared.
 """
 
 from __future__ import annotations
@@ -88,26 +88,44 @@ def inside(points: DataFrame, rings: DataFrame) -> DataFrame:
     return plain.unionByName(near.join(tested, ["x", "y", "ring_id"]).select("p", "ring_id")).select("p.*", "ring_id")
 
 
-def clipped(lines: DataFrame, rings: DataFrame) -> DataFrame:
-    """lines(id, xa, ya, xb, yb) -> (id, ring_id, t0, t1): the parts of each line inside each ring, as shares of its way.
-
-    A line is cut where it crosses a side that shares a cell with it; a part is inside if its middle is."""
-    sides = edges(rings)
-    way = lambda df, *keys: touched(df, *keys).select(*keys, "r", F.explode(F.sequence("c0", "c1")).alias("c"))
-    passed = way(lines, "id")
-    zone = runs(rings, all_touched=True).select("ring_id", "r", F.explode(F.sequence("c0", "c1")).alias("c"))
-    near = passed.join(zone, ["r", "c"]).select("id", "ring_id").distinct()
-    both = passed.join(way(sides, "ring_id", "e"), ["r", "c"]).select("id", "ring_id", "e").distinct()
-    side = sides.select("ring_id", "e", *(C(v).alias(f"s_{v}") for v in ("xa", "ya", "xb", "yb")))
-    met = both.join(lines, "id").join(side, ["ring_id", "e"])
-    dx, dy, ex, ey = C("xb") - C("xa"), C("yb") - C("ya"), C("s_xb") - C("s_xa"), C("s_yb") - C("s_ya")
-    turn = dx * ey - dy * ex
-    t = ((C("s_xa") - C("xa")) * ey - (C("s_ya") - C("ya")) * ex) / turn
-    u = ((C("s_xa") - C("xa")) * dy - (C("s_ya") - C("ya")) * dx) / turn
-    crossing = met.where(turn != 0).select("id", "ring_id", t.alias("t"), u.alias("u")).where("t > 0 and t < 1 and u >= 0 and u <= 1")
-    ends = near.select("id", "ring_id", F.explode(F.array(F.lit(0.0), F.lit(1.0))).alias("t"))
-    line = Window.partitionBy("id", "ring_id").orderBy("t")
-    parts = crossing.select("id", "ring_id", "t").unionByName(ends).distinct().withColumn("t1", F.lead("t").over(line)).where("t1 is not null").join(lines, "id")
-    middle = (C("t") + C("t1")) / 2
-    spots = parts.select("id", "ring_id", C("t").alias("t0"), "t1", (C("xa") + (C("xb") - C("xa")) * middle).alias("x"), (C("ya") + (C("yb") - C("ya")) * middle).alias("y"))
-    return _odd(spots.withColumn("r", F.floor("y")), _by_row(sides).drop("e"), ["id", "ring_id", "t0", "t1"], ["ring_id", "r"])
+#: Of a line l and the sides whose boxes overlap its own: turn, and turn times the shares of both ways at which they meet.
+_TURNS = """transform(filter(sides, s -> s.x0 <= l.x1 and s.x1 >= l.x0 and s.y0 <= l.y1 and s.y1 >= l.y0), s -> named_struct('turn', l.dx * s.dy - l.dy * s.dx,
+ 't', (s.xa - l.xa) * s.dy - (s.ya - l.ya) * s.dx, 'u', (s.xa - l.xa) * l.dy - (s.ya - l.ya) * l.dx))"""
+_MET = "transform(filter(turns, m -> m.turn <> 0 and m.u / m.turn >= 0 and m.u / m.turn <= 1 and m.t / m.turn > 0 and m.t / m.turn < 1), m -> m.t / m.turn)"
+_CUTS = "if(size(cuts) = 0, array(0D, 1D), sort_array(array_distinct(concat(array(0D), cuts, array(1D)))))"
+#: The parts between cuts, with their middles; and how many sides lie to the right of one.
+_PARTS = """transform(sequence(1, size(cuts) - 1), i -> named_struct('t0', cuts[i - 1], 't1', cuts[i],
+ 'x', l.xa + l.dx * ((cuts[i - 1] + cuts[i]) / 2), 'y', l.ya + l.dy * ((cuts[i - 1] + cuts[i]) / 2)))"""
+_RIGHT = "size(filter(sides, s -> (s.ya > p.y) <> (s.yb > p.y) and p.x < s.xa + s.dx * ((p.y - s.ya) / s.dy)))"
+
+
+def _spanned(a: Column, b: Column) -> Column:
+    """xa, ya, xb, yb, dx, dy and the box x0, x1, y0, y1 of the way from a to b."""
+    own = {f"{v}{k}": p[v].cast("double") for k, p in (("a", a), ("b", b)) for v in ("x", "y")}
+    own |= {f"d{v}": own[f"{v}b"] - own[f"{v}a"] for v in ("x", "y")} | {f"{v}{k}": how(own[f"{v}a"], own[f"{v}b"]) for v in ("x", "y") for k, how in ((0, F.least), (1, F.greatest))}
+    return F.struct(*(v.alias(n) for n, v in own.items()))
+
+
+def clipped(lines: DataFrame, rings: DataFrame, tile: float = 64.0) -> DataFrame:
+    """lines(..., xa, ya, xb, yb) -> (..., ring_id, t0, t1): the parts of each line inside each ring, as shares of its way.
+
+    A line meets the rings whose boxes it passes, in the tile that holds the lower corner of both boxes' overlap, so no pair
+    is made twice.  A pair's row has the ring's sides: where they cross the line, it is cut, and a part is inside if its
+    middle is.  Nothing is shuffled after the join, and the join shuffles nothing where the rings are broadcast."""
+    keys = [c for c in lines.columns if c not in ("xa", "ya", "xb", "yb")]
+    span = lambda c, v: F.explode(F.sequence(F.floor(C(f"{c}.{v}0") / tile), F.floor(C(f"{c}.{v}1") / tile)))
+    dealt = lambda df, c: df.withColumn("i", span(c, "x")).withColumn("j", span(c, "y"))
+    own = dealt(lines.select(*keys, _spanned(F.struct(C("xa").alias("x"), C("ya").alias("y")), F.struct(C("xb").alias("x"), C("yb").alias("y"))).alias("l")), "l")
+    n = F.size("pts")
+    around = rings.where(n > 2).select("ring_id", F.zip_with("pts", F.concat(F.slice("pts", 2, n), F.slice("pts", 1, 1)), _spanned).alias("sides"))
+    box = F.struct(*(how(f"sides.{v}{k}").alias(f"{v}{k}") for v in "xy" for k, how in ((0, F.array_min), (1, F.array_max))))
+    met = own.join(dealt(around.withColumn("box", box), "box"), ["i", "j"])
+    low = {v: F.greatest(f"l.{v}0", f"box.{v}0") for v in "xy"}
+    mid, half = ({v: by(C(f"box.{v}1"), C(f"box.{v}0")) / 2 for v in "xy"} for by in (lambda a, b: a + b, lambda a, b: a - b))
+    away = F.abs(C("l.dx") * (mid["y"] - C("l.ya")) - C("l.dy") * (mid["x"] - C("l.xa")))  # of the box's centre, times the line's length
+    near = away <= (half["x"] * F.abs("l.dy") + half["y"] * F.abs("l.dx")) * (1 + 1e-9) + 1e-9
+    both = [low[v] <= F.least(f"l.{v}1", f"box.{v}1") for v in "xy"]
+    met = met.where(both[0] & both[1] & (F.floor(low["x"] / tile) == C("i")) & (F.floor(low["y"] / tile) == C("j")) & near)
+    for name, how in (("turns", _TURNS), ("cuts", _MET), ("cuts", _CUTS)):
+        met = met.select(*keys, "ring_id", "l", "sides", F.expr(how).alias(name))
+    return met.select(*keys, "ring_id", "sides", F.explode(F.expr(_PARTS)).alias("p")).where(F.expr(f"{_RIGHT} % 2 = 1")).select(*keys, "ring_id", "p.t0", "p.t1")

@@ -127,3 +127,14 @@ def test_scanlines_and_clips_equal_plain_tests(spark):
         for k, pts in shapes.items():
             share = sum(_crossings(pts, xa + (xb - xa) * (t + 0.5) / 4000, ya + (yb - ya) * (t + 0.5) / 4000) % 2 for t in range(4000)) / 4000
             assert abs(held.get((j, k), 0.0) - share) < 0.005
+
+
+def test_clipping_shuffles_nothing_and_makes_no_pair_twice(spark):
+    rings = spark.createDataFrame([(0, [(1.0, 1.0), (9.0, 1.0), (9.0, 9.0), (1.0, 9.0)]), (1, [(-3.0, 2.0), (2.5, 2.0), (2.5, 3.0)])], "ring_id int, pts array<struct<x: double, y: double>>")
+    lines = spark.createDataFrame([(0, 0.0, 5.0, 10.0, 5.0), (1, 2.0, 2.0, 8.0, 8.0), (2, 9.5, 0.0, 9.5, 10.0), (3, -2.0, 2.5, 2.0, 2.5)], "id int, xa double, ya double, xb double, yb double")
+    for tile in (64.0, 0.75):
+        got = polygons.clipped(lines, F.broadcast(rings), tile)
+        assert "Exchange hashpartitioning" not in got._jdf.queryExecution().executedPlan().toString()
+        rows = sorted((r.id, r.ring_id, round(r.t0, 9), round(r.t1, 9)) for r in got.collect())
+        assert [r for r in rows if r[1] == 0] == [(0, 0, 0.1, 0.9), (1, 0, 0.0, 1.0), (3, 0, 0.75, 1.0)]
+        assert [r[:2] for r in rows if r[1] == 1] == [(1, 1), (3, 1)]
