@@ -35,6 +35,14 @@ def test_the_table_has_all_features_and_periods(table):
     assert some.a > 0 and some.b > 0 and some.c > 0
 
 
+def test_the_network_is_searched_only_for_its_own_features(spark, table, monkeypatch):
+    monkeypatch.setattr(plans, "syntax_cells", lambda *_: pytest.fail("the network is searched for features that are not its own"))
+    names = plans.SETS["M3"]
+    for own, whole in zip(plans._split(spark, SF, names), table, strict=True):
+        assert own.columns == ["year", "id", "is_update", *names]
+        assert sorted(own.collect()) == sorted(whole.select(own.columns).collect())
+
+
 def test_ablation_has_every_set(query):
     rows = {r.model: r for r in query("ablation")}
     assert {m: r.n_dim for m, r in rows.items()} == {m: len(f) for m, f in plans.SETS.items()}
