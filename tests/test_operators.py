@@ -431,3 +431,18 @@ def test_filters_count_what_they_drop_while_they_filter(spark):
     assert seen.get == {"rows": 300, "known": 300 - len(a), "low": len(a) - len(b), "odd": len(b) - len(c)}
     table = [tuple(r) for r in filters.drops(df, chain).orderBy("step").collect()]
     assert table == [(1, "known", 300 - len(a), len(a)), (2, "low", len(a) - len(b), len(b)), (3, "odd", len(b) - len(c), len(c))]
+
+
+def test_small_components_are_dealt_whole_and_once(spark):
+    places = [(0, k, float(k % 40 * 9), float(k // 40 * 9)) for k in range(400)]
+    chains = [(0, k, k + 1, 0.5, 9.0) for k in range(399) if k % 4 < 3]
+    long = [(0, 1000 + k, 1001 + k, 0.5, 1.0) for k in range(9)]
+    edges = spark.createDataFrame(chains + long, "city int, src long, dst long, ang double, geo double")
+    at = spark.createDataFrame(places + [(0, 1000 + k, float(k), -50.0) for k in range(10)], "city int, pid long, xm double, ym double")
+    whole, dealt = roads._tiles(edges, at, 100.0, "city", None, 6)
+    rows = [(r.src, r.part) for r in whole.collect()]
+    small = [s for s, part in rows if part < 0]
+    assert sorted(small) == sorted(e[1] for e in chains)  # no halo, no copy a part
+    assert {s for s, part in rows if part >= 0} == {e[1] for e in long}
+    own = [r.pid for r in dealt.collect()]
+    assert sorted(own) == sorted({k for e in chains + long for k in e[1:3]})
