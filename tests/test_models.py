@@ -43,6 +43,15 @@ def test_the_network_is_searched_only_for_its_own_features(spark, table, monkeyp
         assert sorted(own.collect()) == sorted(whole.select(own.columns).collect())
 
 
+def test_importance_of_periods_needs_no_network(spark, table, monkeypatch):
+    monkeypatch.setattr(plans, "syntax_cells", lambda *_: pytest.fail("the network is searched for features that are not its own"))
+    monkeypatch.setattr(M, "ROUNDS", 1)
+    monkeypatch.setattr(M, "DEPTH", 1)
+    rows = registry.queries()["period_importance"](spark, SF).collect()
+    years = {r.year for r in table[1].select("year").distinct().collect()}
+    assert sorted((r.year, r.feature) for r in rows) == sorted((y, f) for y in years for f in plans.SETS["M3"])
+
+
 def test_ablation_has_every_set(query):
     rows = {r.model: r for r in query("ablation")}
     assert {m: r.n_dim for m, r in rows.items()} == {m: len(f) for m, f in plans.SETS.items()}
