@@ -4,6 +4,7 @@ import pytest
 from landloom.operators import models as M
 from landloom.plans import models as plans
 from landloom.plans import registry
+from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
 MODELS = {"ablation", "random_forest", "logistic_regression", "permutation_importance", "period_importance", "partial_dependence"}
@@ -43,6 +44,20 @@ def test_the_network_is_searched_only_for_its_own_features(spark, table, monkeyp
         assert sorted(own.collect()) == sorted(whole.select(own.columns).collect())
 
 
+def test_rows_lie_alike_however_they_were_shuffled(spark):
+    names, lie = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled"), []
+    was = [spark.conf.get(n) for n in names]
+    try:
+        for values in (("3", "false"), ("5", "false")):
+            for n, v in zip(names, values, strict=True):
+                spark.conf.set(n, v)
+            lie.append([part.select(F.spark_partition_id(), "id").collect() for part in plans._split(spark, SF, plans.SETS["M3"])])
+    finally:
+        for n, v in zip(names, was, strict=True):
+            spark.conf.set(n, v)
+    assert lie[0] == lie[1] and all(lie[0])
+
+
 def test_importance_of_periods_needs_no_network(spark, table, monkeypatch):
     monkeypatch.setattr(plans, "syntax_cells", lambda *_: pytest.fail("the network is searched for features that are not its own"))
     monkeypatch.setattr(M, "ROUNDS", 1)
