@@ -1,7 +1,7 @@
 """Alignment of two tokenizers over the same bytes: one Arrow function encodes and cuts, what is corpus-wide is DataFrames.
 
-Texts are cut into chunks at the spaces between two visible characters, over which neither library joins; some megabytes
-of texts are one row: the distinct groups of these texts and how often each occurs, the distinct chunks as places of their
+Texts are cut into chunks at the spaces between two visible characters, over which neither library joins; about a megabyte
+of texts is one row: the distinct groups of these texts and how often each occurs, the distinct chunks as places of their
 groups, and the documents as places of their chunks, with what a document's own tokens say (sizes and digest).
 
 * groups: both sides' byte ends grow over a row's chunks alike, so the places where both end are one intersection of
@@ -38,7 +38,9 @@ FEW = 1 << 16
 #: Distinct chunks that a Python worker remembers in either of two generations, and the longest that it does.
 CACHE, LONGEST = 120_000, 200
 #: Bytes of text to a row of chunks, and chunks that are encoded as one text.
-BATCH, JOINED = 1 << 22, 512
+BATCH, JOINED = 1 << 20, 512
+#: Bytes of a row group of encoded rows: a reader holds one whole, and by itself the writer first looks after 100 rows.
+BLOCK = 1 << 23
 #: Groups that are joined by their digest instead of themselves.
 LONG = 64
 _PLACE = re.compile(r"(?<=[^\s▁]) (?=[^\s▁])")
@@ -184,7 +186,7 @@ _ROW = "docs array<struct<doc_id: long, n_a: long, n_b: long, n_groups: long, gr
 
 
 def encoded(docs: DataFrame, a: str, b: str, batch: int = BATCH) -> DataFrame:
-    """docs(doc_id, n_a, n_b, n_groups, groups_sha256, refs), chunks and groups(g, n), some megabytes of texts a row."""
+    """docs(doc_id, n_a, n_b, n_groups, groups_sha256, refs), chunks and groups(g, n), about a megabyte of texts a row."""
 
     def run(batches):
         both = pair(a, b)
@@ -246,7 +248,7 @@ def align(docs: DataFrame, a: str, b: str, batch: int = BATCH, few: int = FEW) -
     """The digest of every document's alignment, and its counts in the whole corpus."""
     both = pair(a, b)
     sizes = both.a_sizes.tolist(), both.b_sizes.tolist()
-    coded = materialise(encoded(docs, a, b, batch).select(F.monotonically_increasing_id().alias("batch"), "*"))
+    coded = materialise(encoded(docs, a, b, batch).select(F.monotonically_increasing_id().alias("batch"), "*"), **{"parquet.block.size": BLOCK, "parquet.page.size.row.check.min": 1})
     named = F.when(F.length("g") > LONG, F.sha2("g", 256)).otherwise(F.col("g")).alias("group")  # short keys for joins
     held = coded.select("batch", F.posexplode("groups").alias("i", "k")).select("batch", "i", "k.g", "k.n")
     groups = materialise(held.groupBy("g").agg(F.sum("n").alias("n"), F.count("*").alias("rows")).withColumn("group", named))

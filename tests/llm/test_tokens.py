@@ -215,3 +215,22 @@ def test_few_none_and_too_large_vectors(spark):
 
 def test_given_vectors_have_the_width():
     assert len(pq.read_table("/root/testdata/sf0.001/embeddings.parquet")["embedding"][0]) == kdtrees.WIDTH
+
+
+from landloom.llm._common import materialise as _write  # noqa: E402
+
+
+def test_encoded_rows_lie_in_small_row_groups(spark, monkeypatch):
+    """A reader holds a row group whole, so its bytes must not grow with the rows of a task."""
+    import glob
+
+    import pyarrow.parquet as pq
+    from landloom.llm import alignment
+
+    kept = []
+    monkeypatch.setattr(alignment, "materialise", lambda df, *a, **k: kept.append(_write(df, *a, **k)) or kept[-1])
+    monkeypatch.setattr(alignment, "BLOCK", 1 << 12)
+    docs = spark.createDataFrame([(k, " ".join(f"w{k}x{j}" for j in range(400))) for k in range(30)], "doc_id long, text string").coalesce(1)
+    alignment.align(docs, *alignment.default_tokenizers(), batch=1 << 12).collect()
+    files = [pq.ParquetFile(f).metadata for f in glob.glob(kept[0]._landloom_path.removeprefix("file:") + "/*.parquet")]
+    assert sum(m.num_rows for m in files) > 20 and max(m.row_group(k).num_rows for m in files for k in range(m.num_row_groups)) <= 4
